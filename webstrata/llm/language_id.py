@@ -22,6 +22,11 @@ from webstrata.llm.common import map_batches, with_text
 DIMS = 1 << 12
 NGRAMS = (1, 2, 3)
 LETTER = re.compile(r"[^\W\d_]")
+#: Bytes after lower-casing: all of ASCII but a-z becomes a space.
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[k for k in range(128) if not 97 <= k <= 122]] = 32
+#: A text of fewer bytes is accepted at a smaller cosine: short vectors are far from all centroids.
+FULL_LENGTH = 400
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
@@ -31,10 +36,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def counts(texts: list[str]) -> np.ndarray:
-    """float32 (texts, DIMS): hashed counts of byte n-grams of the lower-cased texts."""
+    """float32 (texts, DIMS): hashed counts of byte n-grams of the lower-cased words; digits and symbols only part words."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for row, text in zip(out, texts, strict=True):
-        codes = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+        codes = PLAIN[np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)]
+        codes = codes[np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))].astype(np.uint32)
         value = np.zeros_like(codes)
         for n in range(1, max(NGRAMS) + 1):
             value = value[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
@@ -61,8 +67,9 @@ class Model:
         out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
         if known and self.langs:
             near = self.vectors(counts([texts[i] for i in known])) @ self.centroids.T
-            for i, k, s in zip(known, near.argmax(1), near.max(1), strict=True):
-                out[i] = (self.langs[k], float(min(max(s, 0.0), 1.0)), bool(s < self.least[k]))
+            short = np.sqrt(np.minimum([len(texts[i]) / FULL_LENGTH for i in known], 1.0))
+            for i, k, s, part in zip(known, near.argmax(1), near.max(1), short, strict=True):
+                out[i] = (self.langs[k], float(min(max(s, 0.0), 1.0)), bool(s < self.least[k] * part))
         return out
 
 
