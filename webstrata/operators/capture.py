@@ -42,7 +42,7 @@ def merge_resource_bodies(network: DataFrame, resources: DataFrame, most_network
     place = Window.partitionBy(*key).orderBy("request_sequence", "resource_id")
     bodies = resources.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= most_bodies)
     body = F.struct("resource_id", "body_bytes", "body_sha256", "was_truncated")
-    first = bodies.groupBy(*key, "request_sequence").agg(F.min_by(body, "resource_id").alias("body"))
+    first = bodies.groupBy(*key, "request_sequence").agg(F.min(body).alias("body"))
     out = rows.join(first, [*key, "request_sequence"], "left")
     return out.select(
         *rows.columns, F.col("body.resource_id").isNotNull().alias("body_captured"), F.col("body.resource_id").alias("resource_id"),

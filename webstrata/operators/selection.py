@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.functions import rules, urls
+from webstrata.operators.links import written
 
 #: Paths that are not pages: fixed values.
 DOWNLOAD = r"(?i)\.(?:7z|avi|csv|docx?|exe|gz|mp3|mp4|mov|pdf|rar|tar|webm|xlsx?|zip)$"
@@ -114,7 +115,7 @@ def select_design_pages(pages: DataFrame) -> DataFrame:
     status_code, content_type, canonical_url, html_lang, hreflang, h1, h2,
     schema_org_types, scripts, stylesheets. Order is binary order of URLs and ids.
     """
-    rows = design_urls(pages)
+    rows = written(design_urls(pages))  # parsed once, read several times below
     rows = page_locale(rows).join(root_locales(rows), "scan_id")
     mime = F.lower(F.trim(F.substring_index(rules.text(F.col("content_type")), ";", 1)))
     path = urls.url_path(F.col("normalized_url"))
@@ -139,7 +140,7 @@ def select_design_pages(pages: DataFrame) -> DataFrame:
         F.regexp_replace(F.substring_index("raw_url", "#", 1), r"^[^?]*\??", "").rlike(".").alias("had_query"),
         F.coalesce(without_query(F.col("own_canonical")) == without_query(F.col("normalized_url")), F.lit(False)).alias("canonical_self"),
     )
-    judged = judged.withColumn("template", rules.route_template(F.col("normalized_url"), F.col("role"), F.col("root_locale")))
+    judged = written(judged.withColumn("template", rules.route_template(F.col("normalized_url"), F.col("role"), F.col("root_locale"))))
     out = ["scan_id", "id", "raw_url", "budget_limited", "normalized_url", "locale", "role", "template"]
     first = canonical_winners(judged.where("reason is null"))
     variant = F.when(F.col("own_canonical").isNotNull(), "CANONICAL_DUPLICATE").otherwise("TRACKING_OR_QUERY_VARIANT")
