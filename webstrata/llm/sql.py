@@ -1,5 +1,35 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express over whole tables."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+#: A-Z lower-cased, words of a text and its 5-word shingles.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD, WHITE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+
+OP1 = f"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') as w from documents),
+  grams as (select distinct doc_id, unnest(case when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] when len(w) > 0 then [concat(len(w), ' ', array_to_string(w, ' '))] else [] end) as g from words),
+  sizes as (select doc_id, count(*) as n from grams group by 1),
+  shared as (select x.doc_id as a, y.doc_id as b, count(*) as i from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+  links as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * i >= 75 * (p.n + q.n - i)),
+  both_ways as (select a, b from links union select b, a from links),
+  reach as (select doc_id as node, doc_id as other from documents union select r.node, e.b from reach r join both_ways e on e.a = r.other)
+select r.node as doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.other) as component_id from reach r left join sizes s on s.doc_id = r.node group by 1"""
+
+#: formatted_chars: every example up to and with each assistant turn, and the whole conversation if it ends otherwise.
+OP3 = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  marks as (select *, len(regexp_extract_all(text, '\[/?INST\]')) + len(regexp_extract_all(text, '</?s>|</?SYS|<\|')) + len(regexp_extract_all(text, '\|>')) + len(regexp_extract_all(text, '\\')) as more from t),
+  sized as (select *, row_number() over w as k, count(*) over (partition by conv_id) as n, sum(length(role) + length(text) + more + 5 + 5) over w as upto from marks window w as (partition by conv_id order by turn, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(upto) filter (role = 'assistant' or k = n) as bigint) as formatted_chars from sized group by 1"""
+
+OP5 = f"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '{WHITE}', ' ', 'g')) as h from documents)
+select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size, doc_id = min(doc_id) over (partition by h) as kept, h as text_sha256 from d"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op1_ngram_jaccard_join": OP1, "op3_chat_format": OP3, "op5_exact_dedup": OP5}
