@@ -12,9 +12,10 @@ share a token in their first size - o + 1.
   their shared tokens fall into few runs, one of which has k = 3 (k = 2, where the
   union has 8 tokens or less) neighbours that are neighbours in both.
 
-So no link is lost. What shares an index entry is a candidate pair, verified on the
-texts. Buckets of more than a few sets are linked to their first set at once; only where
-this leaves several components in a bucket, their sets are compared across components.
+So no link is lost. What shares an index entry is a candidate pair; sizes and parity
+sketches rule out most that don't link, the others are verified on the texts. Buckets of
+more than a few sets are first linked to one of their sets; only where this leaves
+several components in a bucket, their sets are compared across components.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webstrata.llm import wordhash as W
 from webstrata.llm.common import map_batches, materialize, utf8, with_text
@@ -41,8 +43,16 @@ LEAST_FREQUENT = 8
 COUNTED = 2_000_000
 #: Up to so many sets in a bucket, all pairs are candidates.
 FEW = 4
+#: Sets of an open bucket that one task compares with each other; larger buckets are dealt into blocks.
+BLOCK = 2048
+#: Before all pairs of an open bucket are tried: buckets that a set is looked up in, and its nearest sets there.
+PROBES, NEAREST = 8, 2
+#: Bits of a set's sketch: each bit is the parity of the set's tokens that fall on it.
+BITS = 1024
 #: Pairs verified against one set in one group of rows.
 SIDE = 100
+#: Pairs whose places (some 60 bytes each) are sent to all tasks; beyond, they are joined by shuffle.
+SMALL = 100_000
 DOC, TOKEN = 0, 1
 K1, K2, K3 = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -54,37 +64,60 @@ def set_id(tokens: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """BITS parities. Two sketches differ in at most as many bits as their sets in tokens."""
+    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
+    """Which pairs sizes and sketches (rows of 64-bit words) don't rule out. What is ruled out can't link."""
+    total = n_a + n_b
+    least = -(-PERCENT * total // (100 + PERCENT))  # of the overlap
+    fits = least <= np.minimum(n_a, n_b)
+    fits[fits] = np.bitwise_count(bits_a[fits] ^ bits_b[fits]).sum(1, dtype=np.int64) <= (total - 2 * least)[fits]
+    return fits
+
+
+def words_of(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
 def sets_and_counts(docs: DataFrame) -> DataFrame:
-    """(kind, a, b, n): for each document DOC, doc_id, set_id, set size; for tokens seen repeatedly TOKEN, token, 0, times."""
+    """(kind, a, b, n, bits): for each document DOC, doc_id, set_id, set size, sketch; for tokens seen repeatedly TOKEN, token, 0, times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         held = 0
 
-        def emit(kind: int, a: pa.Array, b, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["kind", "a", "b", "n"])
+        def emit(kind: int, a: pa.Array, b, n, bits) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["kind", "a", "b", "n", "bits"]
+            )
 
         def tokens() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(waiting), return_counts=True)
             often = times >= 2
-            return emit(TOKEN, pa.array(found[often].view(np.int64)), np.zeros(int(often.sum()), np.int64), times[often])
+            return emit(TOKEN, pa.array(found[often].view(np.int64)), np.zeros(int(often.sum()), np.int64), times[often], [None] * int(often.sum()))
 
         for batch in batches:
-            texts, ids, sizes = utf8(batch.column(1)), [], []
+            texts, ids, sizes, bits = utf8(batch.column(1)), [], [], []
             for at in range(0, len(texts), 64):
                 for s in W.shingle_sets(texts[at : at + 64], WORDS):
                     ids.append(set_id(s) if len(s) else None)
                     sizes.append(len(s))
+                    bits.append(sketch(s) if len(s) else None)
                     waiting.append(s)
                     held += len(s)
-            yield emit(DOC, batch.column(0).cast(pa.int64()), ids, sizes)
+            yield emit(DOC, batch.column(0).cast(pa.int64()), ids, sizes, bits)
             if held >= COUNTED:
                 yield tokens()
                 waiting, held = [], 0
         if waiting:
             yield tokens()
 
-    return map_batches(with_text(docs, "doc_id"), run, "kind int, a long, b long, n long")
+    return map_batches(with_text(docs, "doc_id"), run, "kind int, a long, b long, n long, bits binary")
 
 
 def frequent_tokens(counts: DataFrame) -> np.ndarray:
@@ -228,26 +261,45 @@ def candidates(entries: DataFrame) -> DataFrame:
             yield out(PAIR, np.unique(np.concatenate(pairs), axis=0))
 
     dealt = entries.repartition("sig").sortWithinPartitions("sig", "set_id")
-    dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    wide_batches(dealt)
     return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of those pairs of set ids whose texts link.
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, doc_a, doc_b) of the pairs of set ids that sizes and sketches don't rule out.
+
+    ``sets``: set_id, doc_id, n, bits, one row a set.
+    """
+    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = may_link(batch.column(4).to_numpy(), batch.column(5).to_numpy(), words_of(batch.column(6)), words_of(batch.column(7)))
+            yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(keep))
+
+    wide_batches(rows)
+    return rows.mapInArrow(run, "a long, b long, doc_a long, doc_b long")
+
 
-    ``sets``: set_id, doc_id, n, one row a set. For each pair the text of b goes to where
-    the text of a is; where a has many partners, to one of several such places.
+def wide_batches(df: DataFrame) -> None:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+
+
+def verify(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of those pairs (a, b, doc_a, doc_b; a written table) whose texts link.
+
+    For each pair the text of b goes to where the text of a is; where a has many
+    partners, to one of several such places.
     """
-    one = sets.select("set_id", "doc_id", "n")
-    near = pairs.join(one.select(F.col("set_id").alias("a"), F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a")), "a")
-    near = near.join(one.select(F.col("set_id").alias("b"), F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b")), "b")
-    near = near.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     many = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides"), F.first("doc_a").alias("doc_a"))
-    near = materialize(near.select("a", "b", "doc_b").join(many.select("a", "sides"), "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("sides")).cast("int")), "near")
     heads = many.select(F.col("doc_a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("a").alias("own"), F.lit(0).alias("role"))
-    tails = near.select(F.col("doc_b").alias("doc_id"), "a", "side", F.col("b").alias("own"), F.lit(1).alias("role"))
+    placed = near.join(many.select("a", "sides"), "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("sides")).cast("int"))
+    tails = placed.select(F.col("doc_b").alias("doc_id"), "a", "side", F.col("b").alias("own"), F.lit(1).alias("role"))
     texts = with_text(docs.where("doc_id is not null"), "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = texts.join(heads.unionByName(tails), "doc_id").select("a", "side", "role", "own", "text")
+    places = heads.unionByName(tails)
+    # few places go to the texts; else the texts are dealt by id
+    rows = texts.join(F.broadcast(places) if near.count() <= SMALL else places, "doc_id").select("a", "side", "role", "own", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, np.empty(0, np.uint64)
@@ -271,22 +323,104 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(dealt, run, "a long, b long").distinct()
 
 
+def across(members: DataFrame, nearest: int | None) -> DataFrame:
+    """(a, b), a < b: pairs of sets in one bucket but in different components that may link.
+
+    ``nearest``: only so many pairs of each set, those whose sketches differ least; None: all.
+
+    ``members``: sig, set_id, component, n, bits. A bucket is compared in numpy, all but
+    its largest component with everything; one of more than BLOCK sets is dealt into
+    blocks, each pair of blocks a group of its own.
+    """
+    size = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    cells = members.join(size, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "component", "set_id", "n", "bits")
+
+    def pairs(component: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
+        kinds, kind, times = np.unique(component, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return
+        few = np.flatnonzero(kind != times.argmax())
+        place = np.full(len(ids), len(ids), np.int64)
+        place[few] = np.arange(len(few))  # of two such sets, the pair is looked at once
+        for at in range(0, len(few), 32):
+            row = few[at : at + 32]
+            fits = (kind[row][:, None] != kind) & (100 * np.minimum(n[row][:, None], n) >= PERCENT * np.maximum(n[row][:, None], n)) & (place[row][:, None] < place)
+            i, j = np.nonzero(fits)
+            i = row[i]
+            ok = may_link(n[i], n[j], bits[i], bits[j])
+            i, j = i[ok], j[ok]
+            if nearest is not None and len(i):
+                order = np.lexsort((ids[j], np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64), i))
+                i, j = i[order], j[order]
+                begin = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                first = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i)))) < nearest
+                i, j = i[first], j[first]
+            i, j = ids[i], ids[j]
+            yield np.stack([np.minimum(i, j), np.maximum(i, j)], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        found: list[np.ndarray] = []
+
+        def work(table: pa.Table) -> None:
+            table = table.combine_chunks()
+            sig, x, y, component, ids, n = (table[c].to_numpy() for c in ("sig", "x", "y", "component", "set_id", "n"))
+            bits = words_of(table["bits"])
+            edge = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True])))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                found.extend(pairs(component[a:b], ids[a:b], n[a:b], bits[a:b]))
+
+        def out() -> pa.RecordBatch:
+            ab = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy(), pa.int64()), pa.array(ab[:, 1].copy(), pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            last = [table[c][-1].as_py() for c in ("sig", "x", "y")] if len(table) else None
+            if last is None:
+                continue
+            sig, x, y = (table[c].to_numpy() for c in ("sig", "x", "y"))
+            cut = int(np.argmax((sig == last[0]) & (x == last[1]) & (y == last[2])))  # the last group may go on
+            if cut:
+                work(table.slice(0, cut))
+            rest = table.slice(cut)
+            if sum(map(len, found)) > 200_000:
+                yield out()
+        if rest is not None and len(rest):
+            work(rest)
+        yield out()
+
+    dealt = cells.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, counts: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): verified links between set ids, enough of them to connect all that is connected."""
     found = materialize(candidates(index(docs, frequent_tokens(counts))), "candidates")
-    pairs = materialize(found.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
-    linked = materialize(verify(pairs, docs, sets), "linked")
-    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("set_id")).distinct()
-    cluster = components(linked)
-    members = members.join(cluster.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("sig")
-    open_ = members.join(mixed, "sig").join(sets.select("set_id", "n"), "set_id")
-    open_ = materialize(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, F.col("x.sig") == F.col("y.sig")).where("x.component < y.component and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)")
-    cross = cross.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    more = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
-    return linked.unionByName(verify(more, docs, sets))
+    near = materialize(plausible(found.where(F.col("kind") == PAIR).select("a", "b").distinct(), sets), "near")
+    linked = materialize(verify(near, docs), "linked")
+    bucket = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("set_id")).distinct()
+    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # first what is nearest, so that a group of copies becomes one component by few pairs; then all that is left
+    for nearest in (NEAREST, None):
+        cluster = components(linked)
+        members = bucket.join(cluster.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        members = materialize(members, "members")
+        mixed = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("sig")
+        open_ = members.join(mixed, "sig", "left_semi")
+        if nearest is not None:
+            place = Window.partitionBy("set_id").orderBy("sig")
+            open_ = open_.withColumn("place", F.row_number().over(place)).where(F.col("place") <= PROBES).drop("place")
+        open_ = open_.join(sets.select("set_id", "n", "bits"), "set_id")
+        more = materialize(plausible(across(open_, nearest).join(tried, ["a", "b"], "left_anti"), sets), "more")
+        tried = tried.unionByName(more.select("a", "b"))
+        linked = materialize(linked.unionByName(verify(more, docs)), "linked")
+    return linked
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -299,14 +433,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
     are hashed in stretches; extra columns are ignored; an empty table gives no rows.
     """
     counts = materialize(sets_and_counts(docs), "sets")
-    rows = counts.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), "n")
-    sets = materialize(rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "distinct")
+    rows = counts.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), "n", "bits")
+    sets = materialize(rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct")
     cluster = components(links(docs, counts, sets))
     named = sets.join(cluster.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "component", "doc_id")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     home = sets.join(named.join(least, "component").select("set_id", "least"), "set_id", "left").select("set_id", F.coalesce("least", "doc_id").alias("component_id"))
     known = F.col("doc_id").isNotNull()
-    # copies of one set are dealt over several tasks, each with a row for the set
     out = rows.join(home, "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
