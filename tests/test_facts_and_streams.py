@@ -78,7 +78,7 @@ def test_ingest_stream(spark, tmp_path):
     df.unionByName(df.withColumn("payload", F.lit("{")).limit(1).withColumn("batch_id", F.lit("bad"))).write.parquet(source)
     for run in range(2):
         q = events_ingest(spark, df, source, path, str(tmp_path / f"cp{run}"))
-        q.awaitTermination(120)
+        assert q.awaitTermination(120)
     assert spark.read.parquet(f"{path}/page_metrics").count() == 2
     assert {r.problem for r in spark.read.parquet(f"{path}/quarantine").collect()} == {"INVALID_JSON"}
 
@@ -135,14 +135,14 @@ def test_stream_equals_batch(spark, tmp_path):
     df.coalesce(1).sortWithinPartitions("arrival").write.parquet(source)
     stream = events.project_stream(spark.readStream.schema(df.schema).parquet(source).drop("arrival"))
     q = stream.writeStream.format("memory").queryName("projected").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     want = {(r.message_id, r.outcome, r.state) for r in events.project_batch(df).collect()}
     assert {(r.message_id, r.outcome, r.state) for r in spark.table("projected").collect()} == want
     rows = df.select(F.col("aggregate_id").alias("scan_id"), F.col("aggregate_version").alias("version"), "status", (F.col("occurred_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("aggregate_version") * 0.3)).alias("occurred_at"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in2"))
     sampled = events.sample_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in2")))
     q = sampled.writeStream.format("memory").queryName("sampled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert {r.version for r in spark.table("sampled").collect()} == {r.version for r in workflow.sample_progress(rows).collect()}
 
 

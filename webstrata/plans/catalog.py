@@ -35,10 +35,13 @@ def query(sql: str | None = None, *, shapes: tuple[str, ...] = (), extra: str |
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from webstrata.plans import staged  # noqa: F401  registers its queries
+
+    return dict(sorted(_queries.items()))
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_oracles)
 
 

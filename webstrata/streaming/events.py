@@ -151,8 +151,14 @@ def final_projection(outcome_rows: DataFrame) -> DataFrame:
     return outcome_rows.groupBy("aggregate_id").agg(last).select("aggregate_id", "last.*")
 
 
-def project_stream(events: DataFrame, kind: str = "scan", keep_hours: int = 24) -> DataFrame:
-    """Streaming: outcomes of the events of each micro-batch; state goes ``keep_hours`` after the last event of an ended aggregate."""
+def project_stream(events: DataFrame, kind: str = "scan", keep_hours: int | None = None) -> DataFrame:
+    """Streaming: outcomes of the events of each micro-batch.
+
+    ``keep_hours``: state goes so long after the last event of an ended aggregate, by
+    processing time; for streams that run on. With None state stays, and a stream over
+    what is available now ends by itself.
+    """
+    timeout = GroupStateTimeout.NoTimeout if keep_hours is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -162,10 +168,10 @@ def project_stream(events: DataFrame, kind: str = "scan", keep_hours: int = 24)
         for rows in batches:
             yield outcomes(kind, p, rows)
         state.update((json.dumps(asdict(p)),))
-        if p.status in TERMINAL:
+        if keep_hours is not None and p.status in TERMINAL:
             state.setTimeoutDuration(keep_hours * 3_600_000)
 
-    return events.groupBy("aggregate_id").applyInPandasWithState(run, OUTCOME, "projection string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("aggregate_id").applyInPandasWithState(run, OUTCOME, "projection string", "append", timeout)
 
 
 def sample_stream(events: DataFrame) -> DataFrame:
