@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.common import WHITE, materialize
 
+#: Rows of ids and digests (some 60 bytes each) that are sent to all tasks at most.
+SMALL = 100_000
+
 
 def normalised(text: Column) -> Column:
     """Null is empty; each run of white space is one space."""
@@ -91,18 +94,30 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, arrivals: int = 1) -> DataF
     )
 
 
+def near_or_dealt(small: DataFrame) -> DataFrame:
+    """A written table with a hint to send it to all tasks if it is counted to be small; else joins deal it out."""
+    return F.broadcast(small) if small.count() <= SMALL else small
+
+
 def dedup_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, one row a text, all columns as they were.
 
-    Joined by digest and id, so that a repeated id with another text is judged by
-    its own text; of fully repeated rows one stays.
+    Rows are judged by digest and id, so that a repeated id with another text is judged by
+    its own text; of fully repeated rows one stays. What goes is told by a table of ids and
+    digests; texts are shuffled only if more than SMALL rows go, and then once.
     """
-    firsts = digests(docs).groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+    rows = materialize(digests(docs), "digests")
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
     new = materialize(index.unseen(firsts), "unseen")
     index.append(new)
+    each = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    stays = (each["digest"] == new["digest"]) & each["doc_id"].eqNullSafe(new["keep_id"])
+    gone = materialize(each.join(new, stays, "left_anti").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i")), "gone")
+    twice = materialize(each.where("times > 1").join(new, stays, "left_semi").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i")), "twice")
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    stay = new.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    on = [keyed["_digest"] == stay["_digest"], keyed["doc_id"].cast("long").eqNullSafe(stay["_keep"])]
-    joined = keyed.join(stay, on, "left_semi")
-    # ids are unique as a rule; only rows of one id and one text are left to be told apart
-    return joined.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    same = (F.col("_digest") == F.col("_d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_i"))
+    kept = keyed.join(near_or_dealt(gone), same, "left_anti")
+    if twice.limit(1).count():
+        again = near_or_dealt(twice)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
+    return kept.drop("_digest")
