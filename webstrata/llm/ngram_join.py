@@ -328,13 +328,12 @@ def across(members: DataFrame, nearest: int | None) -> DataFrame:
 
     ``nearest``: only so many pairs of each set, those whose sketches differ least; None: all.
 
-    ``members``: sig, set_id, component, n, bits. A bucket is compared in numpy, all but
-    its largest component with everything; one of more than BLOCK sets is dealt into
-    blocks, each pair of blocks a group of its own.
+    ``members``: sig, blocks, set_id, component, n, bits. A bucket is compared in numpy,
+    all but its largest component with everything; a large one is dealt into blocks of
+    about BLOCK sets, each pair of blocks a group of its own.
     """
-    size = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    cells = members.join(size, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "component", "set_id", "n", "bits")
 
     def pairs(component: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
@@ -404,15 +403,16 @@ def links(docs: DataFrame, counts: DataFrame, sets: DataFrame) -> DataFrame:
     found = materialize(candidates(index(docs, frequent_tokens(counts))), "candidates")
     near = materialize(plausible(found.where(F.col("kind") == PAIR).select("a", "b").distinct(), sets), "near")
     linked = materialize(verify(near, docs), "linked")
-    bucket = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("set_id")).distinct()
+    bucket = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("set_id"))
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # first what is nearest, so that a group of copies becomes one component by few pairs; then all that is left
     for nearest in (NEAREST, None):
         cluster = components(linked)
         members = bucket.join(cluster.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         members = materialize(members, "members")
-        mixed = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("sig")
-        open_ = members.join(mixed, "sig", "left_semi")
+        blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+        mixed = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), blocks)
+        open_ = members.join(mixed.where("least < most").select("sig", "blocks"), "sig")
         if nearest is not None:
             place = Window.partitionBy("set_id").orderBy("sig")
             open_ = open_.withColumn("place", F.row_number().over(place)).where(F.col("place") <= PROBES).drop("place")
