@@ -24,6 +24,8 @@ from webstrata.llm.common import map_batches, materialize, with_text
 
 WINDOW = 2048
 END_ID = 1
+#: Fixed value of the vocabulary: its one special string, which the ids' definition reads as one id inside texts, too.
+SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _encoders: dict = {}
 
@@ -41,7 +43,7 @@ def encoder(ranks_path: str | None = None):
     if path not in _encoders:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoders[path]
 
 
@@ -49,11 +51,11 @@ def tokenise(docs: DataFrame, window: int = WINDOW, ranks_path: str | None = Non
     """The pieces of each row: whole windows, then the rest; ids_crc32 is over little-endian 32-bit ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path).encode_ordinary
+        encode = encoder(ranks_path).encode
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text), END_ID], "<u4")
+                ids = np.array([*encode(text, allowed_special="all"), END_ID], "<u4")
                 rows += [(doc_id, a, len(x := ids[a : a + window]), zlib.crc32(x.tobytes()), len(ids)) for a in range(0, len(ids), window)]
             columns = zip(*rows, strict=True) if rows else ([] for _ in range(5))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
