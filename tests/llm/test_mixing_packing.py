@@ -66,6 +66,31 @@ def test_mixed_documents(spark):
     assert words == {k: v for k, v in taken.items() if v} and max(n.values()) <= 3
 
 
+def test_mixed_documents_follow_the_plan(spark):
+    """Rows and parts against the plan, row by row: hot, small, null and empty sources, rows without words, repeated rows and ids; both joins."""
+    plan = [(k, " ".join(f"w{k}x{j}" for j in range(k % 23)), "hot") for k in range(300)] + [(1000 + k, f"\ta{k}  b c\n d e f", "s%d" % (k % 9)) for k in range(60)]
+    plan += [(2000, None, "hot"), (2001, " \n", "none"), (2002, "x y z", None), (None, "one two", "hot"), (3000, "p q r s", "s1"), (3000, "p q r s", "s1"), (3001, "p q", "s2"), (3001, "p q r s t u", "s2")]
+    df = docs(spark, plan)
+    times = defaultdict(list)
+    for r in M.mix(df).collect():
+        times[r.doc_id, r.source].append((r.size, r.taken))
+    want = []
+    for doc_id, text, source in plan:
+        size, taken = max(times[doc_id, source])
+        words = (text or "").split()
+        if taken and words:
+            want += [(doc_id or -1, source or "", text)] * (taken // size)
+            if taken % size:
+                want.append((doc_id or -1, source or "", " ".join(words[: taken % size])))
+    few = M.SMALL
+    try:
+        for M.SMALL in (few, 0):
+            assert sorted((r.doc_id or -1, r.source or "", r.text) for r in M.mixed_documents(df).collect()) == sorted(want)
+    finally:
+        M.SMALL = few
+    assert M.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_schedule_is_even(spark):
     """Any stretch of the schedule has each source about as often as its share."""
     src = spark.createDataFrame([("sa", "a", 6000, 6000.0), ("sb", "b", 3000, 3000.0), ("sc", "c", 1000, 1000.0)], "key string, source string, source_size long, target double")

@@ -26,6 +26,8 @@ GOLDEN, RANGE = 2654435769, 1 << 32
 #: More sources than this are refused: their table goes to every task.
 MOST_SOURCES = 1_000_000
 SMALL = 100_000
+#: A source's rows are dealt to so many places where its ranges are not sent to all tasks.
+SALTS = 64
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
@@ -78,6 +80,11 @@ def key_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
+def shuffle_hash(seed: int, doc_id: Column | str = "doc_id", key: Column | str = "key") -> Column:
+    """40 bits that order a source's documents; ``doc_id`` is a long, ``key`` as by key_of."""
+    return F.pmod(F.xxhash64(F.lit(seed), doc_id, key), F.lit(1 << 40))
+
+
 def stream(rows: DataFrame, seed: int) -> DataFrame:
     """Adds pos: where the row's words begin in its source's shuffled stream.
 
@@ -86,8 +93,7 @@ def stream(rows: DataFrame, seed: int) -> DataFrame:
     """
     n = rows.count()
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) / 500)), 2, 24))
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("key")), F.lit(1 << 40))
-    rows = rows.withColumn("h", h).withColumn("part", F.shiftright("h", 40 - bits))
+    rows = rows.withColumn("h", shuffle_hash(seed)).withColumn("part", F.shiftright("h", 40 - bits))
     sums = rows.groupBy("key", "part").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("key", "part", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("base"))
@@ -169,21 +175,41 @@ def mix(docs: DataFrame, *, epochs: int = EPOCHS, seed: int = 9) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pos")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def ranges(plan: DataFrame, seed: int) -> DataFrame:
+    """(key, parts, low, high): the plan (key, doc_id, size, taken; only rows that are taken) as ranges of the shuffle hash.
+
+    ``parts``: 0 for a whole copy, else the words of a part. A source's stream is taken from
+    its start, epoch after epoch, so along the hash its documents come one time more often,
+    then one is cut, then the rest come one time less often: three ranges a source at most.
+    """
+    one = plan.groupBy("key", shuffle_hash(seed).alias("h")).agg(F.max(F.struct("size", "taken")).alias("most"))
+    whole, rest = F.floor(F.col("most.taken") / F.col("most.size")).cast("int"), F.col("most.taken") % F.col("most.size")
+    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    return one.groupBy("key", parts.alias("parts")).agg(F.min("h").alias("low"), F.max("h").alias("high"))
+
+
+def mixed_documents(docs: DataFrame, *, epochs: int = EPOCHS, seed: int = 9) -> DataFrame:
     """The rows that the mix takes, as often as it takes them, all columns as they were.
 
     A document taken one and a half times comes twice: whole, and with the first half
     of its words. Only the last block of a source cuts a document, so such parts are
     few; n_chars, where there is one, follows the text. Rows of one id in one source
-    are served like the longest of them.
+    are served like the longest of them; rows without words are not taken. Texts are not
+    shuffled: what becomes of a row is told by its hash and its source's ranges, which are
+    sent to all tasks if they are counted to be few, else joined by source, salted.
     """
-    plan = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), key_of(F.col("source")).alias("_key"))
-    plan = plan.agg(F.max(F.struct("size", "taken")).alias("_most"))
-    whole, rest = F.floor(F.col("_most.taken") / F.col("_most.size")).cast("int"), F.col("_most.taken") % F.col("_most.size")
-    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    plan = materialize(plan.select("_id", "_key", parts.alias("_parts")), "mix")
-    on = [docs["doc_id"].cast("long").eqNullSafe(plan["_id"]), key_of(docs["source"]) == plan["_key"]]
-    rows = docs.join(plan, on).withColumn("_words", F.explode("_parts"))
+    plan = mix(docs, epochs=epochs, seed=seed).where("taken > 0").withColumn("key", key_of(F.col("source")))
+    told = ranges(plan, seed).select(F.col("key").alias("_key"), F.col("parts").alias("_parts"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    told = materialize(told, "mix")
+    keyed = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("_key", key_of(F.col("source")))
+    keyed = keyed.withColumn("_h", shuffle_hash(seed, F.col("doc_id").cast("long"), F.col("_key")))
+    on = ["_key"]
+    if told.count() <= SMALL:
+        told = F.broadcast(told)
+    else:
+        on, told = ["_key", "_salt"], told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keyed = keyed.withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
+    rows = keyed.join(told, on).where(F.col("_h").between(F.col("_low"), F.col("_high"))).withColumn("_words", F.explode("_parts"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.concat_ws(" ", F.slice(words, F.lit(1), F.col("_words").cast("int")))
     rows = rows.withColumn("text", F.when(F.col("_words") > 0, cut).otherwise(F.col("text")))
