@@ -445,6 +445,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, all columns as they were; rows without an id stay."""
-    found = join_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of ``docs`` whose doc_id is its component's smallest, all columns as they were; rows without an id stay.
+
+    Texts are shuffled only if more than SMALL rows go.
+    """
+    found = materialize(join_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    found = F.broadcast(found) if found.count() <= SMALL else found
     return docs.join(found, docs["doc_id"].cast("long") == found["_gone"], "left_anti")
