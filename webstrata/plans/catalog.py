@@ -35,7 +35,7 @@ def query(sql: str | None = None, *, shapes: tuple[str, ...] = (), extra: str |
 
 
 def queries() -> dict[str, Query]:
-    from webstrata.plans import scalars, staged  # noqa: F401  these register their queries
+    from webstrata.plans import scalars, signals, staged  # noqa: F401  these register their queries
 
     return dict(sorted(_queries.items()))
 
