@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from webstrata.functions import html
 from webstrata.plans.catalog import long, query
 
-K = F.col("page_id")
-
 
 def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of the pages with a longer head and body; null pages are empty ones with the same."""
-    n = K.cast("string")
-    robots = F.when(K % 2 == 0, '<meta name="ROBOTS" content="noindex"><meta name="robots" content="follow">').otherwise("")
-    target = F.when(K % 3 == 0, F.col("url")).when(K % 3 == 1, "/other").otherwise("mailto:x@example.com")
-    links = F.concat(F.lit('<link rel="canonical" href="'), target, F.lit('"><link rel="alternate" hreflang="de" href="/de"><link rel="stylesheet" href="/s.css">'), F.when(K % 2 == 1, '<link rel="alternate" href="/feed">').otherwise(""))
+    k = F.col("page_id")
+    n = k.cast("string")
+    robots = F.when(k % 2 == 0, '<meta name="ROBOTS" content="noindex"><meta name="robots" content="follow">').otherwise("")
+    target = F.when(k % 3 == 0, F.col("url")).when(k % 3 == 1, "/other").otherwise("mailto:x@example.com")
+    links = F.concat(F.lit('<link rel="canonical" href="'), target, F.lit('"><link rel="alternate" hreflang="de" href="/de"><link rel="stylesheet" href="/s.css">'), F.when(k % 2 == 1, '<link rel="alternate" href="/feed">').otherwise(""))
     graph = F.concat(F.lit('<meta property="OG:TITLE" content="T'), n, F.lit('"><meta property="og:image" content="/i'), n, F.lit('.png">'))
-    data = F.concat(F.lit('<script type="application/ld+json">{"@type": ["Article", "article"], "author": {"@type": "Person"}}</script>'), F.when(K % 4 == 0, '<script type="application/ld+json">{oops</script>').otherwise(""))
+    data = F.concat(F.lit('<script type="application/ld+json">{"@type": ["Article", "article"], "author": {"@type": "Person"}}</script>'), F.when(k % 4 == 0, '<script type="application/ld+json">{oops</script>').otherwise(""))
     body = F.concat(F.lit('<body><img src="/a"><img src="/b" alt="x"><img src="/c" alt=""><div role="heading" aria-level="6">H'), n, F.lit("</div>"))
     given = F.coalesce("html", F.lit("<html><head></head><body></body></html>"))
     head = F.concat(F.lit("<head>"), robots, links, graph, data)
