@@ -63,6 +63,29 @@ def test_copied_articles_stay(spark):
     assert all(r.n_chars > 0 for r in H.extract_text(df).collect())
 
 
+def test_shared_over_the_whole_host(spark):
+    """A notice on 6 of 600 pages goes whatever the groups; with equal words, another host's pages are not counted."""
+    notice = "we will be closed on monday for the repair of all our servers and lines"
+    rows = [(k, f"http://hot.com/{k}", f"<div>own words {k}</div>" + (f"<div>{notice}</div>" if k % 100 == 0 else ""), "") for k in range(600)]
+    rows += [(1000 + k, f"http://few{k // 2}.com/{k}", f"<div>{notice}</div><div>{k}</div>", "") for k in range(4)]
+    df = spark.createDataFrame(rows, PAGES).repartition(7)
+    for size in (200, 10):
+        got = {r.page_id: r.text for r in H.extract_text(df, group_pages=size).collect()}
+        assert got == {k: f"own words {k}" for k in range(600)} | {1000 + k: f"{notice}\n{k}" for k in range(4)}
+
+
+def test_host_against_one_group(spark):
+    """Many small groups judge as one suffix array over the whole host does."""
+    rnd = np.random.default_rng(8)
+    parts = [" ".join(f"w{x}" for x in rnd.integers(0, 40, n)) for n in rnd.integers(3, 30, 25)]
+    html = ["".join(f"<{t}>{parts[k]} </{t}>" for t, k in zip(rnd.choice(["div", "article"], 4, p=[0.9, 0.1]), rnd.integers(0, 25, 4))) + f"<p>end {i}" for i in range(80)]
+    cut = [[(t, z) for t, z in H.blocks(x) if z] for x in html]
+    want = H.main_text([([t for t, _ in p], [z for _, z in p]) for p in cut], 8, 3, 0.9, 0.6)
+    df = spark.createDataFrame([(k, f"http://h.com/{k}", x, "") for k, x in enumerate(html)], PAGES)
+    got = {r.page_id: r.text for r in H.extract_text(df, group_pages=7).collect()}
+    assert [got[k] for k in range(80)] == want
+
+
 def test_given_pages(spark):
     """Against the documents that the pages were made from."""
     import re
