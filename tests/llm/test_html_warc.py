@@ -74,6 +74,18 @@ def test_shared_over_the_whole_host(spark):
         assert got == {k: f"own words {k}" for k in range(600)} | {1000 + k: f"{notice}\n{k}" for k in range(4)}
 
 
+def test_copied_pages_of_divs_stay(spark):
+    """Copies of a page without an article element keep their text, in the article element too; what differing pages share goes."""
+    menu = "home about contact help terms jobs press blog more"
+    story = " ".join(f"story{k}" for k in range(40))
+    rows = [(k, f"http://h.com/{k}", f"<div>{menu}</div><div>{f'its own words {k} of page {k} alone' if k >= 5 else story}</div>", "") for k in range(30)]
+    rows += [(100 + k, f"http://all.com/{k}", f"<article><p>{story}</p></article>" if k < 60 else f"<article>{k}</article>", "") for k in range(62)]
+    df = spark.createDataFrame(rows, PAGES).repartition(3)
+    for size in (200, 10):
+        got = {r.page_id: r.text for r in H.extract_text(df, group_pages=size).collect()}
+        assert got == {k: f"its own words {k} of page {k} alone" if k >= 5 else story for k in range(30)} | {100 + k: story if k < 60 else str(k) for k in range(62)}
+
+
 def test_host_against_one_group(spark):
     """Many small groups judge as one suffix array over the whole host does."""
     rnd = np.random.default_rng(8)
