@@ -90,3 +90,28 @@ def test_native_and_labels(spark):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert {r.page_id for r in out.where("verdict = 'block'").collect()} == set(range(60))
+
+
+def test_deep_paths(spark):
+    """Branches that part at the fourth and sixth segment are judged apart."""
+    rows = [(k, f"http://h.com/en/blog/all/{'spam' if k < 60 else 'news'}/x/{k}") for k in range(120)]
+    rows += [(k, f"http://d.com/a/b/c/d/e/{'bad' if k < 180 else 'good'}/{k}") for k in range(120, 240)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, k < 60 or 120 <= k < 180) for k in range(240)], "label_id long, bad boolean")
+    out = U.filter_urls(pages, labels, ()).collect()
+    assert {r.page_id for r in out if r.verdict == "block"} == {*range(60), *range(120, 180)}
+    assert {r.template for r in out if r.page_id < 60} == {"/*/*/*/spam/*/*"}
+
+
+def test_all_levels_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(4000):
+        path = [rnd.choice("ab"), *(rnd.choice("xyz") for _ in range(rnd.randrange(6)))]
+        bad = None if rnd.random() < 0.3 else rnd.random() < (0.9 if path[4:5] == ["x"] else 0.1)
+        rows.append((rnd.choice(["a.com", "b.com"]), path, bad))
+    df = spark.createDataFrame(rows, "host string, pattern array<string>, bad boolean")
+    got = {(r.host, tuple(r.pattern)): (tuple(r.template), r.method_verdict) for r in U.template_tree(df, depth=None).collect()}
+    assert got == brute([(h, tuple(p), b) for h, p, b in rows], depth=6)

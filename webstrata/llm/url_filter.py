@@ -41,8 +41,8 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return name, verdict
 
 
-def pattern(path: Column, depth: int = 3) -> Column:
-    """The path's first ``depth`` segments, the variable ones as wildcards, with what the rest is like."""
+def pattern(path: Column, depth: int | None = 3) -> Column:
+    """The path's first ``depth`` segments (None: all), the variable ones as wildcards, with what the rest is like."""
     shape = F.transform(
         F.filter(F.split(path, "/"), lambda s: s != ""),
         lambda s: F.when(s.rlike(r"^[0-9]+$"), F.lit("*"))
@@ -50,6 +50,8 @@ def pattern(path: Column, depth: int = 3) -> Column:
         .when(s.rlike(r"^[0-9A-Fa-f-]{12,}$") | (F.length(F.regexp_replace(s, "[^0-9]", "")) >= 4), F.lit("*"))
         .otherwise(s),
     )
+    if depth is None:
+        return shape
     return F.concat(F.slice(shape, 1, depth), F.when(F.size(shape) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
 
 
@@ -59,11 +61,12 @@ def url_number(path: Column) -> Column:
 
 
 def template_tree(
-    urls: DataFrame, *, depth: int = 3, support: int = 5, z: float = 1.96, prior: float = 20.0, purity: float = 0.5
+    urls: DataFrame, *, depth: int | None = 3, support: int = 5, z: float = 1.96, prior: float = 20.0, purity: float = 0.5
 ) -> DataFrame:
     """(host, pattern, template, labelled, bad, smoothed, method_verdict) of each pattern.
 
     ``urls``: host, pattern, bad (true, false or null where there is no label).
+    ``depth``: levels that are judged; None: as many as the longest pattern has.
     ``support``: literals with fewer pages become wildcards. ``z``: siblings within so
     many standard errors of their common rate merge. ``prior``: weight, in labels, of
     the table's own rate. ``purity``: below it a template is rejected. All counts are
@@ -76,6 +79,8 @@ def template_tree(
         ),
         "patterns",
     )
+    if depth is None:
+        depth = counts.agg(F.coalesce(F.max(F.size("pattern")), F.lit(0)).alias("levels")).first()["levels"]
     tree = counts.withColumn("template", F.col("pattern"))
     for level in range(depth):  # rare literals, from the top, so that a branch is counted below what it has become
         tree = materialize(tree.withColumn("node", F.slice("template", 1, level + 1)), "tree")
@@ -104,7 +109,7 @@ def wildcard(level: int) -> Column:
     return F.transform("template", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, **tree) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, *, depth: int | None = None, **tree) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, template, smoothed_purity.
 
     ``labels``: label_id, bad (boolean; of several for one id, bad wins; null: no
@@ -112,16 +117,17 @@ def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[
     template. Empty tables give no rows; without labels the method allows all. Rows
     that repeat are judged alike. Extra columns are ignored. Templates are joined by
     host and pattern, dealt over salts, since one host may hold a third of all pages.
+    ``depth``: only so many segments of a path are told apart; None: all.
     """
     host, path = host_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("pattern", pattern(F.col("path")))
+    urls = urls.withColumn("pattern", pattern(F.col("path"), depth))
     if labels is None:
         labelled = urls.withColumn("bad", F.lit(None).cast("boolean"))
     else:
         known = labels.where("label_id is not null and bad is not null").groupBy(F.col("label_id").cast("long").alias("label_id")).agg(F.max("bad").alias("bad"))
         labelled = urls.withColumn("label_id", url_number(F.col("path"))).join(known, "label_id", "left")
-    found = template_tree(labelled.select("host", "pattern", "bad"), **tree)
+    found = template_tree(labelled.select("host", "pattern", "bad"), depth=depth, **tree)
     dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<int>")))
     salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")
     rows = urls.withColumn("salt", salt).join(dealt, ["host", "pattern", "salt"], "left")
