@@ -103,6 +103,30 @@ def test_blocks(spark, corpus, monkeypatch):
     assert run(spark, corpus) == brute(corpus)
 
 
+@pytest.mark.parametrize("most", [2, 3, 5, 50])
+def test_cut_buckets(spark, most):
+    """Sets of a bucket that is cut are compared over its parts; copies are no sets of their own."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets = {1: range(10, 15), 2: range(20, 23), 3: range(30, 37), 4: range(40, 41), 5: range(50, 70)}
+    rows = [(sig, k) for sig, ids in sets.items() for k in ids for _ in range(9)]
+    entries = spark.createDataFrame(rows, "sig long, set_id long").coalesce(1)
+    try:
+        N.wide_batches, wide = lambda df: df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7"), N.wide_batches
+        found = [tuple(r) for r in N.candidates(entries, most).collect()]
+    finally:
+        N.wide_batches = wide
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    members = [(a, b) for kind, a, b in found if kind == N.MEMBER]
+    assert len(members) == len(set(members))
+    pairs = {(a, b) for kind, a, b in found if kind == N.PAIR}
+    for sig, ids in sets.items():
+        assert {(ids[0], k) for k in ids[1:]} <= pairs
+        all_pairs = {(a, b) for a in ids for b in ids if a < b}
+        assert all_pairs <= pairs or {b for a, b in members if a == sig} == set(ids)
+        if len(ids) > N.FEW:
+            assert {b for a, b in members if a == sig} == set(ids)
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "Q R S T U V"), (3, "z"), (3, "z"), (4, None)]
     assert run(spark, rows) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3), (3, 1, 3), (4, 0, 4)]

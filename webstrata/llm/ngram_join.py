@@ -41,6 +41,8 @@ MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 8
 #: Tokens counted together before those seen once are left out.
 COUNTED = 2_000_000
+#: Sets that a task remembers, so as not to index their copies.
+REMEMBERED = 1 << 18
 #: Up to so many sets in a bucket, all pairs are candidates.
 FEW = 4
 #: Sets of an open bucket that one task compares with each other; larger buckets are dealt into blocks.
@@ -176,46 +178,55 @@ def signatures(s: np.ndarray, frequent: Frequent) -> np.ndarray:
 
 
 def index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, set_id) of every text with words."""
+    """(sig, set_id) of every text with words; copies that a task reads are indexed once, as far as it remembers them."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Frequent(np.array(shared.value))
+        known, seen = Frequent(np.array(shared.value)), set()
         for batch in batches:
             texts = utf8(batch.column(0))
             for at in range(0, len(texts), 64):
-                sets = [s for s in W.shingle_sets(texts[at : at + 64], WORDS) if len(s)]
-                sigs = [signatures(s, known) for s in sets]
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                sets = {set_id(s): s for s in W.shingle_sets(texts[at : at + 64], WORDS) if len(s)}
+                sets = {i: s for i, s in sets.items() if i not in seen}
+                seen.update(sets)
+                sigs = [signatures(s, known) for s in sets.values()]
                 if sigs:
-                    ids = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(x) for x in sigs])
+                    ids = np.repeat(np.array(list(sets), np.int64), [len(x) for x in sigs])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(ids)], names=["sig", "set_id"])
 
     return map_batches(with_text(docs), run, "sig long, set_id long")
 
 
 PAIR, MEMBER = 0, 1
+#: Distinct sets of one bucket that are held at once; a larger bucket is cut.
+CUT = 50_000
 
 
-def candidates(entries: DataFrame) -> DataFrame:
+def candidates(entries: DataFrame, most: int = CUT) -> DataFrame:
     """(kind, a, b): PAIR, set, set with a < b; MEMBER, sig, set, for the buckets that need a second look.
 
     Entries are dealt by signature and sorted; buckets are runs of equal signatures, read
-    as a stream, so that a bucket may be of any size.
+    as a stream, so that a bucket may be of any size. Copies are left out as they are read;
+    all sets of a bucket of more than ``most`` that had to be cut are MEMBERs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_sig, rest_id = np.empty(0, np.int64), np.empty(0, np.int64)
         pairs: list[np.ndarray] = []
         held = 0
-        head: tuple[int, int] | None = None  # signature and first set of a bucket that began in an earlier batch
+        head: tuple[int, int, int] | None = None  # of a bucket that was cut: signature, first set, and last set that was written
 
         def out(kind: int, ab: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(ab), kind, np.int32)), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["kind", "a", "b"])
 
-        def work(sig: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+        def distinct(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-            sig, ids = sig[new], ids[new]
+            return sig[new], ids[new]
+
+        def work(sig: np.ndarray, ids: np.ndarray, was_cut: int | None, goes_on: bool) -> Iterator[np.ndarray]:
             start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
             size = np.diff(np.append(start, len(sig)))
             owner = np.repeat(np.arange(len(start)), size)
@@ -227,6 +238,10 @@ def candidates(entries: DataFrame) -> DataFrame:
                 deep = (rank > k) & (size[owner] <= FEW)
                 yield np.stack([ids[start[owner[deep]] + k], ids[deep]], 1)
             large = size[owner] > FEW
+            if was_cut is not None:  # the sets of the other parts are not here, so that few sets in this one say nothing
+                large |= sig == was_cut
+            if goes_on:  # the first set has been written with the first part
+                large[:1] = False
             yield np.stack([sig[large], ids[large]], 1)
 
         for batch in batches:
@@ -234,15 +249,20 @@ def candidates(entries: DataFrame) -> DataFrame:
             ids = np.concatenate([rest_id, batch.column(1).to_numpy()])
             if not len(sig):
                 continue
-            # the last bucket may go on; one that fills more than a batch is cut, each part with the first set in front
-            cut = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
-            if cut == 0 and len(sig) > 50_000:
-                cut, head = len(sig), (int(sig[-1]), int(ids[0]))
+            sig, ids = distinct(sig, ids)
+            goes_on = head is not None
+            if goes_on:  # copies of the set that the part before ended with
+                new = (sig != head[0]) | (ids != head[2]) | (np.arange(len(sig)) == 0)
+                sig, ids = sig[new], ids[new]
+            # the last bucket may go on; one that is too large is cut, each part with the first set in front
+            cut, last = int(np.searchsorted(sig, sig[-1])), head
+            if cut == 0 and len(sig) > most:
+                cut, last = len(sig), (int(sig[-1]), int(ids[0]), int(ids[-1]))
             done_sig, done_id, rest_sig, rest_id = sig[:cut], ids[:cut], sig[cut:], ids[cut:]
-            if head and cut == len(sig):
-                rest_sig, rest_id = np.array([head[0]]), np.array([head[1]])
-            head = None
-            *some, members = work(done_sig, done_id)
+            if cut == len(sig):
+                rest_sig, rest_id = np.array([last[0]]), np.array([last[1]])
+            *some, members = work(done_sig, done_id, last and last[0], goes_on)
+            head = last if len(rest_sig) and last and rest_sig[0] == last[0] else None
             pairs += [p for p in some if len(p)]
             held += sum(map(len, some))
             if len(members):
@@ -253,7 +273,7 @@ def candidates(entries: DataFrame) -> DataFrame:
                 if held > 250_000:
                     yield out(PAIR, pairs[0])
                     pairs, held = [], 0
-        *some, members = work(rest_sig, rest_id)
+        *some, members = work(rest_sig, rest_id, head and head[0], head is not None)
         pairs += [p for p in some if len(p)]
         if len(members):
             yield out(MEMBER, members)
