@@ -44,6 +44,28 @@ def test_crawl_depths(spark):
     assert got == {n: (n.bit_length() - 1, None if n == 1 else n // 2) for n in range(1, 16)}
 
 
+def test_crawl_depths_of_all_edges(spark):
+    """The whole edges shape against a search in Python."""
+    from collections import defaultdict
+
+    from tests.conftest import SMALL
+    from webstrata.plans import catalog
+
+    out, want = defaultdict(lambda: defaultdict(set)), {}
+    for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_partkey").collect():
+        out[str(r.l_suppkey % 100)][r.l_orderkey % 500].add(r.l_partkey % 500)
+    for scan, near in out.items():
+        ring = {min(near)}
+        for depth in range(11):
+            want |= {(scan, n): depth for n in ring}
+            ring = {t for n in ring for t in near.get(n, ()) if (scan, t) not in want}
+    found = catalog.queries()["o069_crawl_depths_all"](spark, SMALL).collect()
+    assert {(r.scan_id, r.node): r.depth for r in found} == want and len(found) == len(want)
+    assert max(want.values()) > 3
+    for r in found:
+        assert r.parent is None if r.depth == 0 else want[r.scan_id, r.parent] == r.depth - 1 and r.node in out[r.scan_id][r.parent]
+
+
 def test_filters_same_finding(spark):
     p = spark.createDataFrame([("o", "s", "1", "SUCCESS", 200, "https://e.com/A", True, "text/html"), ("o", "s", "2", "SKIPPED", 0, "https://e.com/b", False, "text/html; charset=utf-8"), ("o", "s", "3", "HTTP_ERROR", 500, "https://e.com/c", False, "")], "owner_id string, scan_id string, page_id string, fetch_outcome string, status_code int, normalized_url string, is_indexable boolean, content_type string")
     f = spark.createDataFrame([("o", "s", "1", "INFO", "A"), ("o", "s", "1", "ERROR", "B")], "owner_id string, scan_id string, page_id string, severity string, finding_code string")

@@ -353,6 +353,15 @@ def o069_crawl_depths(spark, sf_dir):
     return links.crawl_depths(edges, seeds, 3).select("scan_id", "node", "depth")
 
 
+@query()
+def o069_crawl_depths_all(spark, sf_dir):
+    """All edges of all scans from one seed each; a page is one of the 500 URLs. There is no SQL for it."""
+    number = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("long") % 500
+    edges = shape(spark, sf_dir, "edges").select("scan_id", number("source_page_id").alias("source"), number("target_url").alias("target"), "ordinal")
+    seeds = edges.groupBy("scan_id").agg(F.min("source").alias("node"))
+    return links.crawl_depths(edges, seeds, 10).select("scan_id", "node", "depth", "parent")
+
+
 @query("""select scan_id, count(*) as rows, count(distinct target_url) as distinct_urls, max(ordinal) as max_depth from edges group by 1""", shapes=("edges",))
 def o087_frontier_invariants(spark, sf_dir):
     return links.frontier_invariants(shape(spark, sf_dir, "edges").select("scan_id", F.col("target_url").alias("url"), F.col("ordinal").alias("depth")))
