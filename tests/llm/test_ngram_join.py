@@ -155,6 +155,15 @@ def test_hashes():
     assert differ <= len(np.setxor1d(*sets))
 
 
+def test_long_word_after_a_space():
+    long = b"x" * (3 << 20)
+    alone, _, _ = W.words(long)
+    for before in (b"", b" ", b"a ", b"\n"):
+        found, start, end = W.words(before + long + b" b")
+        assert len(found) == len(before.split()) + 2 and found[-2] == alone[0]
+        assert (start[-2], end[-2]) == (len(before), len(before) + len(long))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001), (1002, 1001), (5000, 5000)]
     got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -45,9 +45,11 @@ def words(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.nd
         to = min(size, at + CHUNK)
         if to < size and not SPACE[buf[to]]:
             gap = np.flatnonzero(SPACE[buf[at:to]])
-            to = at + int(gap[-1]) if len(gap) and gap[-1] else to
-            while to < size and not len(gap) and not SPACE[buf[to]]:  # one word longer than a chunk
-                to += 1
+            if len(gap) and gap[-1]:
+                to = at + int(gap[-1])
+            else:  # one word longer than a chunk, perhaps after the white space that the chunk starts with
+                while to < size and not SPACE[buf[to]]:
+                    to += 1
         found.append(_chunk(buf[at:to], at, fold))
         at = to
     if not found:
