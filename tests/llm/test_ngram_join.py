@@ -111,10 +111,9 @@ def test_cut_buckets(spark, most):
     rows = [(sig, k) for sig, ids in sets.items() for k in ids for _ in range(9)]
     entries = spark.createDataFrame(rows, "sig long, set_id long").coalesce(1)
     try:
-        N.wide_batches, wide = lambda df: df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7"), N.wide_batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
         found = [tuple(r) for r in N.candidates(entries, most).collect()]
     finally:
-        N.wide_batches = wide
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     members = [(a, b) for kind, a, b in found if kind == N.MEMBER]
     assert len(members) == len(set(members))
@@ -136,6 +135,49 @@ def test_repeated_and_null_ids(spark):
     assert sorted(r.doc_id or 0 for r in N.one_of_each(df).collect()) == [0, 0, 5]
 
 
+def test_one_of_each_judges_rows(spark):
+    """Rows that repeat an id are judged by their own texts; columns named like the operator's own stay."""
+    a, other, third = "a b c d e f g h i j k l m n o p", "q r s t u v", "x y z w v u"
+    rows = [(1, a, 10), (5, a + " q", 11), (5, other, 12), (5, other, 13), (7, other, 14), (8, third, 15), (8, third, 16), (9, None, 17), (5, None, 18), (None, a, 19)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, set_id long").repartition(3)
+    for few in (N.SMALL, 0):
+        N.SMALL, kept = few, N.SMALL
+        try:
+            got = N.one_of_each(df)
+            assert got.columns == df.columns and sorted(r.set_id for r in got.collect()) == [10, 12, 13, 15, 16, 17, 18, 19]
+        finally:
+            N.SMALL = kept
+
+
+def test_session_is_left_alone(spark, corpus):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    run(spark, corpus[:20])
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_small_batches():
+    import pyarrow as pa
+
+    from webstrata.llm import common
+
+    texts = ["x" * (k % 7) for k in range(3000)] + ["y" * (3 << 20)] * 7 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(common.small_batches(iter([batch, batch.slice(0, 0)])))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows <= common.BATCH_ROWS and (p.num_rows == 1 or p.nbytes <= common.BATCH_BYTES) for p in parts)
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from webstrata.llm import common
+
+    with common.scratch(spark):
+        path = common.shared_dir(spark, "x")
+        spark.range(3).write.parquet(path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

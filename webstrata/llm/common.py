@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,22 +17,42 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in one Arrow batch: with texts of some kB a batch stays within a few MB.
-ARROW_ROWS = 500
+#: Rows and bytes that are worked on at once: a batch of Spark's is cut before its texts are unpacked.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+_folders: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session names none (tests on one machine), a temporary folder of
-    this process is set up once and removed at exit.
+    Where the session names none (tests on one machine), a temporary folder of this
+    process is set up once and removed at exit; off one machine that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-webstrata-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{str(base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{str(base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators write while it lasts are removed at its end: by then results must be written or collected."""
+    start = len(_folders)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for own, path in _folders[start:]:
+            if own is spark:
+                place = hadoop.Path(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _folders[start:]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,14 +64,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Small Arrow batches, as whole texts are in the rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch in parts of at most BATCH_ROWS rows and BATCH_BYTES bytes, or one row."""
+    for batch in batches:
+        parts = [batch]
+        while parts:
+            part = parts.pop()
+            if part.num_rows <= 1 or part.num_rows <= BATCH_ROWS and part.nbytes <= BATCH_BYTES:
+                yield part
+            else:
+                half = min(part.num_rows // 2, BATCH_ROWS)
+                parts += [part.slice(half), part.slice(0, half)]
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    arrow_rows(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over rows with whole texts, a few at a time, whatever batches the session has set."""
+    return df.mapInArrow(lambda batches: fn(small_batches(batches)), schema)
 
 
 def with_text(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:

@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from webstrata.llm import wordhash as W
-from webstrata.llm.common import map_batches, materialize, utf8, with_text
+from webstrata.llm.common import free_name, map_batches, materialize, utf8, with_text
 from webstrata.llm.components import components
 
 #: A link: 100 * intersection >= 75 * union.
@@ -281,7 +282,6 @@ def candidates(entries: DataFrame, most: int = CUT) -> DataFrame:
             yield out(PAIR, np.unique(np.concatenate(pairs), axis=0))
 
     dealt = entries.repartition("sig").sortWithinPartitions("sig", "set_id")
-    wide_batches(dealt)
     return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
@@ -298,14 +298,9 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = may_link(batch.column(4).to_numpy(), batch.column(5).to_numpy(), words_of(batch.column(6)), words_of(batch.column(7)))
             yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(keep))
 
-    wide_batches(rows)
     return rows.mapInArrow(run, "a long, b long, doc_a long, doc_b long")
 
 
-def wide_batches(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-
-
 def verify(near: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of those pairs (a, b, doc_a, doc_b; a written table) whose texts link.
 
@@ -414,7 +409,6 @@ def across(members: DataFrame, nearest: int | None) -> DataFrame:
         yield out()
 
     dealt = cells.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -443,15 +437,8 @@ def links(docs: DataFrame, counts: DataFrame, sets: DataFrame) -> DataFrame:
     return linked
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
-
-    component_id: the smallest doc_id reachable by links, itself included. Null and
-    empty texts have no shingles and are alone, as are rows with a null doc_id (whose
-    component_id is null). Equal sets are one set from the start, so copies cost no
-    comparison; rows that repeat a doc_id link by their own texts. Very long texts
-    are hashed in stretches; extra columns are ignored; an empty table gives no rows.
-    """
+def documents_and_sets(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, set_id, n_shingles, component_id; see join_documents."""
     counts = materialize(sets_and_counts(docs), "sets")
     rows = counts.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), "n", "bits")
     sets = materialize(rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct")
@@ -461,14 +448,56 @@ def join_documents(docs: DataFrame) -> DataFrame:
     home = sets.join(named.join(least, "component").select("set_id", "least"), "set_id", "left").select("set_id", F.coalesce("least", "doc_id").alias("component_id"))
     known = F.col("doc_id").isNotNull()
     out = rows.join(home, "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "set_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def join_documents(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    component_id: the smallest doc_id reachable by links, itself included. Null and
+    empty texts have no shingles and are alone, as are rows with a null doc_id (whose
+    component_id is null). Equal sets are one set from the start, so copies cost no
+    comparison; rows that repeat a doc_id link by their own texts. Very long texts
+    are hashed in stretches; extra columns are ignored; an empty table gives no rows.
+    """
+    return documents_and_sets(docs).drop("set_id")
+
+
+def with_set_id(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with one more column, the id of the text's set (null for a text without words)."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(place))
+            ids = [set_id(s) if len(s) else None for at in range(0, len(texts), 64) for s in W.shingle_sets(texts[at : at + 64], WORDS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*docs.columns, name])
+
+    return map_batches(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's smallest, all columns as they were; rows without an id stay.
 
-    Texts are shuffled only if more than SMALL rows go.
+    Where rows that repeat an id share its fate, they are told by it; else by id and set, so
+    that a row never goes because of another row's text. Texts are shuffled only if more
+    than SMALL ids go.
     """
-    found = materialize(join_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    found = F.broadcast(found) if found.count() <= SMALL else found
-    return docs.join(found, docs["doc_id"].cast("long") == found["_gone"], "left_anti")
+    goes = F.col("doc_id") != F.col("component_id")
+    told = materialize(documents_and_sets(docs).where("doc_id is not null").groupBy("doc_id", "set_id").agg(F.max(goes).alias("goes")), "told")
+    ids = told.groupBy("doc_id").agg(F.max("goes").alias("some"), F.min("goes").alias("all"))
+    ids = materialize(ids.where("some").select(F.col("doc_id").alias("gone_id"), "all"), "gone")
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= SMALL else df
+
+    own = docs["doc_id"].cast("long") == F.col("gone_id")
+    out = docs.join(near(ids), own, "left_anti")
+    parted = ids.where("not all").select("gone_id")
+    if parted.limit(1).count():
+        name = free_name(docs, "set_id")
+        some = with_set_id(docs.join(near(parted), own, "left_semi"), name)
+        gone = told.where("goes").select(F.col("doc_id").alias("gone_id"), F.col("set_id").alias("gone_set"))
+        same = (some["doc_id"].cast("long") == F.col("gone_id")) & (some[name] == F.col("gone_set"))
+        out = out.unionByName(some.join(gone.join(parted, "gone_id", "left_semi"), same, "left_anti").drop(name))
+    return out
