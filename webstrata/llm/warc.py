@@ -22,6 +22,8 @@ MAGIC = "WARC/1.0\r\n"
 CRLF2 = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SMALL = 100_000
+#: Rows of one payload are dealt to so many places where payloads are joined by shuffle.
+SALTS = 64
 
 
 def base32_sha1(data: Column) -> Column:
@@ -53,7 +55,11 @@ def write_warc(pages: DataFrame, path: str, *, least_bytes: int = 0, compression
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    rows = rows.join(F.broadcast(again) if again.count() <= SMALL else again, "digest", "left")
+    if again.count() <= SMALL:
+        rows = rows.join(F.broadcast(again), "digest", "left")
+    else:  # one payload, such as the empty one, may be in a third of all rows
+        dealt = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["digest", "salt"], "left")
     text = record_text(least_bytes)
     out = rows.select(text.alias("value")).write.option("lineSep", CRLF2).option("maxRecordsPerFile", records_per_file)
     (out.option("compression", compression) if compression else out).text(path)
@@ -76,6 +82,11 @@ def record_text(least_bytes: int) -> Column:
     return F.concat(head, block)
 
 
+def content_key() -> list[Column]:
+    """What tells a chunk in any evaluation: equal keys are equal bytes."""
+    return [F.octet_length("chunk").cast("long").alias("size"), F.xxhash64("chunk").alias("k1"), F.xxhash64(F.lit(10), F.col("chunk")).alias("k2")]
+
+
 def field(head: Column, name: str) -> Column:
     found = F.regexp_extract(head, rf"(?i)(?:^|\r\n){name}: *([^\r\n]*)", 1)
     return F.when(found != "", found)
@@ -85,6 +96,8 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, no, chunk): the files cut at each magic, which is not part of a chunk; before the first is a chunk, too.
 
     Spark's reader splits large files, deals the splits out and finds the magic on its own.
+    ``block`` and ``no`` order the chunks of one evaluation; another one may split the files
+    elsewhere, so that only chunks themselves are the same in both.
     """
     rows = spark.read.option("lineSep", MAGIC).text(path)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"), F.col("value").cast("binary").alias("chunk"))
@@ -159,11 +172,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     cut = chunks(spark, path)
     f = parsed(F.col("chunk"))
-    size = F.octet_length("chunk").cast("long")
+    columns = ("page_id", "url", "record_type", "refers_to", "stated_digest", "http_length")
     narrow = materialize(
         cut.select(
-            "file", "block", "no", size.alias("size"), (f["span"] + len(MAGIC)).alias("span"),
-            *(f[k].alias(k) for k in ("page_id", "url", "record_type", "refers_to", "stated_digest", "http_length")),
+            "file", "block", "no", *content_key(), (f["span"] + len(MAGIC)).alias("span"), *(f[k].alias(k) for k in columns),
             base32_sha1(f["payload"]).alias("payload_digest"), F.octet_length(f["payload"]).cast("long").alias("payload_bytes"),
         ),
         "chunks",
@@ -175,15 +187,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     placed = narrow.select("file", "no", "size", "span", offset.alias("offset"), first.alias("first")).where(~F.col("first"))
     linked = materialize(chain(placed.select("file", "no", "offset", "span")), "chain")
     whole = narrow.join(linked.where("record_no > 0 and not torn").select("file", "no"), ["file", "no"])
-    # records that have the magic inside: their chunks are put together again
-    torn = materialize(linked.where("torn").select("file", "no", F.abs("record_no").alias("record_no"), "offset"), "torn")
-    parts = cut.drop("block").join(F.broadcast(torn) if torn.count() <= SMALL else torn, ["file", "no"])
+    # records that have the magic inside: their chunks are read again, told by what is in them, and put together
+    key = ["file", "size", "k1", "k2"]
+    torn = linked.where("torn").select("file", "no", F.abs("record_no").alias("record_no"), "offset")
+    torn = materialize(torn.join(narrow.select("no", *key), ["file", "no"]).drop("no"), "torn")
+    few = torn.count() <= SMALL
+    wanted = torn.select(*key).distinct()
+    bytes_ = cut.select("file", *content_key(), "chunk").join(F.broadcast(wanted) if few else wanted, key, "left_semi").dropDuplicates(key)
+    parts = torn.join(bytes_, key, "left")
+    lost = F.raise_error(F.concat(F.lit("a part of a record is no longer in "), F.col("file"))).cast("binary")
+    parts = parts.withColumn("chunk", F.coalesce("chunk", lost))
     joined = parts.groupBy("file", "record_no").agg(F.sort_array(F.collect_list(F.struct("offset", "chunk"))).alias("parts"))
     glue = F.aggregate(
         F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0]["chunk"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["chunk"])
     )
     g = parsed(F.col("raw"))
-    columns = ("page_id", "url", "record_type", "refers_to", "stated_digest", "http_length")
     mended = joined.select(glue.alias("raw")).where("raw is not null").select(
         *(g[k].alias(k) for k in columns), base32_sha1(g["payload"]).alias("payload_digest"), F.octet_length(g["payload"]).cast("long").alias("payload_bytes")
     )
