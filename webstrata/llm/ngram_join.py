@@ -465,13 +465,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 def with_set_id(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with one more column, the id of the text's set (null for a text without words)."""
-    place = docs.columns.index("text")
+    names, place = [*docs.columns, name], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(place))
             ids = [set_id(s) if len(s) else None for at in range(0, len(texts), 64) for s in W.shingle_sets(texts[at : at + 64], WORDS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*docs.columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=names)
 
     return map_batches(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
