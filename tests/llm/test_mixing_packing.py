@@ -66,31 +66,82 @@ def test_mixed_documents(spark):
     assert words == {k: v for k, v in taken.items() if v} and max(n.values()) <= 3
 
 
-def test_mixed_documents_follow_the_plan(spark):
+ODD = [(k, " ".join(f"w{k}x{j}" for j in range(k % 23)), "hot") for k in range(300)] + [(1000 + k, f"\ta{k}  b c\n d e f", f"s{k % 9}") for k in range(60)]
+ODD += [(2000, None, "hot"), (2001, " \n", "none"), (2002, "x y z", None), (None, "one two", "hot"), (None, "three", "hot"), (None, None, None), (3000, "p q r s", "s1"), (3000, "p q r s", "s1"), (3001, "p q", "s2"), (3001, "p q r s t u", "s2")]
+
+
+@pytest.mark.parametrize("small", [None, 0])
+def test_mixed_documents_follow_the_plan(spark, small, monkeypatch):
     """Rows and parts against the plan, row by row: hot, small, null and empty sources, rows without words, repeated rows and ids; both joins."""
-    plan = [(k, " ".join(f"w{k}x{j}" for j in range(k % 23)), "hot") for k in range(300)] + [(1000 + k, f"\ta{k}  b c\n d e f", "s%d" % (k % 9)) for k in range(60)]
-    plan += [(2000, None, "hot"), (2001, " \n", "none"), (2002, "x y z", None), (None, "one two", "hot"), (3000, "p q r s", "s1"), (3000, "p q r s", "s1"), (3001, "p q", "s2"), (3001, "p q r s t u", "s2")]
-    df = docs(spark, plan)
-    times = defaultdict(list)
-    for r in M.mix(df).collect():
-        times[r.doc_id, r.source].append((r.size, r.taken))
+    if small is not None:
+        monkeypatch.setattr(M, "SMALL", small)
+    df = docs(spark, ODD)
+    taken = defaultdict(list)
+    for r in M.mix(df, block=16).collect():
+        taken[r.doc_id, r.source, r.size].append(r.taken)
     want = []
-    for doc_id, text, source in plan:
-        size, taken = max(times[doc_id, source])
-        words = (text or "").split()
-        if taken and words:
-            want += [(doc_id or -1, source or "", text)] * (taken // size)
-            if taken % size:
-                want.append((doc_id or -1, source or "", " ".join(words[: taken % size])))
-    few = M.SMALL
-    try:
-        for M.SMALL in (few, 0):
-            assert sorted((r.doc_id or -1, r.source or "", r.text) for r in M.mixed_documents(df).collect()) == sorted(want)
-    finally:
-        M.SMALL = few
+    for key in {(i, s, len((t or "").split())) for i, t, s in ODD}:
+        texts = [t for i, t, s in ODD if (i, s, len((t or "").split())) == key]
+        for text, n in zip(texts, taken[key], strict=True):
+            words = (text or "").split()
+            if words:
+                want += [(key[0] or -1, key[1] or "", text)] * (n // len(words))
+            if words and n % len(words):
+                want.append((key[0] or -1, key[1] or "", " ".join(words[: n % len(words)])))
+    got = M.mixed_documents(df, block=16)
+    assert got.columns == df.columns and sorted((r.doc_id or -1, r.source or "", r.text) for r in got.collect()) == sorted(want)
     assert M.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_columns_with_the_names_inside_stay(spark):
+    df = spark.createDataFrame([(k, f"a b {k}", "s", "x", "y", k, "z") for k in range(5)], "doc_id long, text string, source string, key string, _key string, slot long, in_0 string")
+    got = M.mixed_documents(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in df.collect()}
+
+
+def evenness(keys, share, stretch):
+    """The largest difference, in slots, of a source's count in a stretch of the mix to its share."""
+    return max(abs(keys[at : at + stretch].count(k) - share[k] * stretch) for at in range(0, len(keys) - stretch, stretch) for k in share)
+
+
+def even_docs(spark):
+    return docs(spark, [(k, " ".join(f"w{k}x{j}" for j in range(8)), "abc"[0 if k % 10 < 6 else 1 if k % 10 < 9 else 2]) for k in range(2000)])
+
+
+def test_mix_is_even(spark, monkeypatch):
+    """Any stretch of what comes out has each source about as often as its share; without the schedule's points it has not."""
+    df = even_docs(spark)
+    total = {r.source: r.target for r in M.mix(df).select("source", "target").distinct().collect()}
+    share = {s: t / sum(total.values()) for s, t in total.items()}
+    out = [r.source for r in M.mixed_blocks(df, block=8).collect()]
+    assert evenness(out[: int(0.9 * len(out))], share, 100) <= 5
+    laid = [r.source for r in M.mixed_documents(df, block=8).collect()]
+    assert evenness(laid[: int(0.9 * len(laid))], share, 100) <= 5
+    slots = sorted((r.doc_id, r.first_slot) for r in M.mix(df, block=8).collect())
+    monkeypatch.setattr(M, "GOLDEN", 0)
+    assert evenness([r.source for r in M.mixed_blocks(df, block=8).collect()], share, 100) > 20
+    assert sorted((r.doc_id, r.first_slot) for r in M.mix(df, block=8).collect()) != slots
+
+
+def test_blocks_hold_the_taken_words(spark):
+    """Blocks against the words of the documents: each piece is where it says, and together they are what the mix takes."""
+    df = docs(spark, ODD)
+    words = defaultdict(set)
+    for i, t, s in ODD:
+        words[i, s].add(tuple((t or "").split()))
+    taken = defaultdict(int)
+    last, fill = -1, defaultdict(int)
+    for r in M.mixed_blocks(df, block=16).collect():
+        assert r.slot >= last and any(list(w[r.start : r.start + r.words]) == r.text.split() and r.words > 0 for w in words[r.doc_id, r.source])
+        last = r.slot
+        fill[r.slot] += r.words
+        taken[r.doc_id, r.source] += r.words
+    want = defaultdict(int)
+    for r in M.mix(df, block=16).collect():
+        want[r.doc_id, r.source] += r.taken
+    assert max(fill.values()) <= 16 and taken == {k: v for k, v in want.items() if v}
+
+
 def test_schedule_is_even(spark):
     """Any stretch of the schedule has each source about as often as its share."""
     src = spark.createDataFrame([("sa", "a", 6000, 6000.0), ("sb", "b", 3000, 3000.0), ("sc", "c", 1000, 1000.0)], "key string, source string, source_size long, target double")

@@ -4,7 +4,8 @@ Targets: all words are shared out by weight; no source is asked for more than a
 few times its size, the excess goes to the others. Each source's documents are
 shuffled by a hash and cut into blocks of equal length. The slots of the schedule
 are the points of a golden-ratio sequence mapped through the cumulative weights;
-the k-th slot of a source takes its k-th block, epoch after epoch.
+the k-th slot of a source takes its k-th block, epoch after epoch. The slots are the
+order of the mix: whatever comes out is told its slot, and texts are laid out by it.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ GOLDEN, RANGE = 2654435769, 1 << 32
 #: More sources than this are refused: their table goes to every task.
 MOST_SOURCES = 1_000_000
 SMALL = 100_000
-#: A source's rows are dealt to so many places where its ranges are not sent to all tasks.
-SALTS = 64
+#: Words in a block.
+BLOCK = 1024
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
@@ -36,7 +37,7 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of each row: the number of words; a null text has none."""
+    """(doc_id, source, size, text_hash) of each row; size: the number of words; a null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,9 +45,10 @@ def sizes(docs: DataFrame) -> DataFrame:
             for t in utf8(batch.column(2)):
                 word = ~W.SPACE[np.frombuffer(t, np.uint8)]
                 n.append(int(word[:1].sum() + np.count_nonzero(word[1:] & ~word[:-1])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["doc_id", "source", "size", "text_hash"])
 
-    return map_batches(with_text(docs, "doc_id", "source"), run, "doc_id long, source string, size long")
+    rows = with_text(docs, "doc_id", "source").withColumn("text_hash", F.xxhash64("text"))
+    return map_batches(rows, run, "doc_id long, source string, size long, text_hash long")
 
 
 def targets(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
@@ -80,11 +82,6 @@ def key_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def shuffle_hash(seed: int, doc_id: Column | str = "doc_id", key: Column | str = "key") -> Column:
-    """40 bits that order a source's documents; ``doc_id`` is a long, ``key`` as by key_of."""
-    return F.pmod(F.xxhash64(F.lit(seed), doc_id, key), F.lit(1 << 40))
-
-
 def stream(rows: DataFrame, seed: int) -> DataFrame:
     """Adds pos: where the row's words begin in its source's shuffled stream.
 
@@ -93,16 +90,17 @@ def stream(rows: DataFrame, seed: int) -> DataFrame:
     """
     n = rows.count()
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) / 500)), 2, 24))
-    rows = rows.withColumn("h", shuffle_hash(seed)).withColumn("part", F.shiftright("h", 40 - bits))
+    # 40 bits that order a source's documents; the text counts, so that rows without an id are shuffled, too
+    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "text_hash"), F.lit(1 << 40))).withColumn("part", F.shiftright("h", 40 - bits))
     sums = rows.groupBy("key", "part").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("key", "part", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("base"))
-    within = Window.partitionBy("key", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "part").orderBy("h", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(base, ["key", "part"]).withColumn("pos", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("h", "part", "base")
 
 
 def schedule(spark: SparkSession, sources: DataFrame, block: int) -> DataFrame:
-    """(slot, key, rank, at, words): the slots in order; each takes ``words`` words from ``at`` of its source's stream.
+    """(slot, key, epoch, at, words): the slots in order; each takes ``words`` words from ``at`` of its source's stream.
 
     ``sources``: key, source, source_size, target. A source needs whole epochs of its
     blocks and part of another, together its target in words; the last slot is cut to
@@ -139,80 +137,107 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int) -> DataFrame:
     had = sums.groupBy("key").agg(F.sum("n").alias("had"))
     owed = plan.join(had, "key", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < need")
     late = owed.select("key", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"))
-    late = late.select((F.lit(total) + F.col("rank")).alias("slot"), "key", "rank")
+    # no more than the sequence's discrepancy: a few for each source
+    late = late.select((F.lit(total) + F.row_number().over(Window.orderBy("rank", "key")) - 1).alias("slot"), "key", "rank")
     slots = join_small(ranked.unionByName(late), plan, ["key"]).where("rank < need")
     at = (F.col("rank") % F.col("blocks")) * block
     last = (F.col("rank") == F.col("need") - 1) & (F.col("rest") > 0)
     end = F.least(at + block, F.when(last, F.col("rest")).otherwise(F.col("source_size")))
-    return slots.select("slot", "key", "rank", at.alias("at"), (end - at).alias("words"))
+    return slots.select("slot", "key", F.floor(F.col("rank") / F.col("blocks")).alias("epoch"), at.alias("at"), (end - at).alias("words"))
 
 
-def mix(docs: DataFrame, *, epochs: int = EPOCHS, seed: int = 9) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, pos.
+def scheduled(docs: DataFrame, epochs: int, seed: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sources, pieces): the rows with pos; the sources with targets; (key, pos, epoch, slot, start, words), what each slot takes of a row.
 
-    ``taken``: words of the document that the schedule takes, repeats counted. Null
-    texts have size 0 and take 0, a null source is a source of its own, null ids are
-    rows like others; extra columns are ignored; an empty table gives no rows. Rows
-    that repeat lie next to each other in the stream. Reruns agree: the order is a
-    hash of doc_id and seed.
+    ``start``: the row's words before the piece. Rows with words are told by key and pos.
     """
-    spark = docs.sparkSession
     rows = materialize(sizes(docs).withColumn("key", key_of(F.col("source"))), "sizes")
     sources = materialize(targets(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")), epochs), "sources")
-    words, n = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
-    block = int(np.clip(words // (2000 * max(n, 1)), 16, 1024))
     placed = materialize(stream(rows, seed), "stream")
     first, last = F.col("pos") - F.col("pos") % block, F.col("pos") + F.col("size") - 1
-    pieces = placed.where("size > 0").select("key", "pos", "size", F.explode(F.sequence(first, last, F.lit(block).cast("long"))).alias("at"))
-    slots = schedule(spark, sources, block)
-    overlap = F.least(F.col("pos") + F.col("size"), F.col("at") + F.col("words")) - F.greatest("pos", "at")
-    joined = pieces.join(slots, ["key", "at"]).select("key", "pos", F.greatest(overlap, F.lit(0)).alias("n"))
-    taken = joined.groupBy("key", "pos").agg(F.sum("n").alias("taken"))
-    # rows without words share a position with the row after them
-    full = placed.withColumn("own", F.when(F.col("size") > 0, F.col("pos")))
-    out = full.join(taken.withColumnRenamed("pos", "own"), ["key", "own"], "left")
+    parts = placed.where("size > 0").select("key", "pos", "size", F.explode(F.sequence(first, last, F.lit(block).cast("long"))).alias("at"))
+    joined = parts.join(schedule(docs.sparkSession, sources, block), ["key", "at"])
+    start = F.greatest(F.col("at") - F.col("pos"), F.lit(0))
+    words = F.least(F.col("pos") + F.col("size"), F.col("at") + F.col("words")) - F.greatest("pos", "at")
+    pieces = joined.select("key", "pos", "epoch", "slot", start.alias("start"), words.alias("words")).where("words > 0")
+    return placed, sources, materialize(pieces, "pieces")
+
+
+def mix(docs: DataFrame, *, epochs: int = EPOCHS, seed: int = 9, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, slots, first_slot.
+
+    ``taken``: words of the document in the slots of the schedule, repeats counted;
+    ``slots``: how many have some of it, ``first_slot``: the first of them. Null
+    texts have size 0 and take 0, a null source is a source of its own, null ids are
+    rows like others; extra columns are ignored; an empty table gives no rows. Rows
+    that repeat lie next to each other in the stream. Reruns agree: the order is a
+    hash of doc_id, text and seed.
+    """
+    placed, sources, pieces = scheduled(docs, epochs, seed, block)
+    taken = pieces.groupBy("key", "pos").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("slots"), F.min("slot").alias("first_slot"))
+    # rows without words share a position with the row after them, and take nothing
+    none = F.lit(0).cast("long")
+    out = placed.where("size > 0").join(taken, ["key", "pos"], "left").drop("pos")
+    out = out.unionByName(placed.where("size = 0").drop("pos").withColumns({"taken": none, "slots": none, "first_slot": F.lit(None).cast("long")}))
     out = join_small(out.drop("source"), sources, ["key"])
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pos")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", "source", "size", "source_size", "target", zero("taken"), zero("slots"), "first_slot")
 
 
-def ranges(plan: DataFrame, seed: int) -> DataFrame:
-    """(key, parts, low, high): the plan (key, doc_id, size, taken; only rows that are taken) as ranges of the shuffle hash.
+def with_rows(docs: DataFrame, placed: DataFrame, plan: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` joined with the plan's rows for them (key, pos, ...), and the names that its own columns have in the result.
 
-    ``parts``: 0 for a whole copy, else the words of a part. A source's stream is taken from
-    its start, epoch after epoch, so along the hash its documents come one time more often,
-    then one is cut, then the rest come one time less often: three ranges a source at most.
+    A row is told by id, source and text; of rows equal in all three, by a number.
+    """
+    own = [f"in_{i}" for i in range(len(docs.columns))]
+    col = {c: F.col(n) for c, n in zip(docs.columns, own, strict=True)}
+    ident = lambda c: {"row_id": F.coalesce(c.cast("long"), F.lit(0).cast("long")), "no_id": c.isNull()}
+    on = ["row_id", "no_id", "key", "text_hash"]
+    rows = placed.where("size > 0").withColumns(ident(F.col("doc_id")))
+    text = docs.toDF(*own).withColumns({**ident(col["doc_id"]), "key": key_of(col["source"]), "text_hash": F.xxhash64(F.coalesce(col["text"], F.lit("")))})
+    if rows.groupBy(*on).count().where("count > 1").limit(1).count():
+        same = Window.partitionBy(*on)
+        rows, text = rows.withColumn("copy", F.row_number().over(same.orderBy("pos"))), text.withColumn("copy", F.row_number().over(same.orderBy(F.lit(1))))
+        on = [*on, "copy"]
+    wanted = materialize(rows.select(*on, "pos", "size").join(plan, ["key", "pos"]), "wanted")
+    return join_small(text, wanted, on), own
+
+
+def first_words(text: Column, start: Column, words: Column) -> Column:
+    """``words`` words of a text from ``start`` on, with one space between."""
+    return F.concat_ws(" ", F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), (start + 1).cast("int"), words.cast("int")))
+
+
+def mixed_blocks(docs: DataFrame, *, epochs: int = EPOCHS, seed: int = 9, block: int = BLOCK) -> DataFrame:
+    """The mix as blocks, in the order of their slots: slot, doc_id, source, start, words, text.
+
+    A row is what one block has of one document: ``words`` words after the first ``start``.
+    Edge cases as in ``mix``; a block is cut at documents' and sources' ends.
     """
-    one = plan.groupBy("key", shuffle_hash(seed).alias("h")).agg(F.max(F.struct("size", "taken")).alias("most"))
-    whole, rest = F.floor(F.col("most.taken") / F.col("most.size")).cast("int"), F.col("most.taken") % F.col("most.size")
-    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    return one.groupBy("key", parts.alias("parts")).agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    placed, _, pieces = scheduled(docs, epochs, seed, block)
+    rows, own = with_rows(docs, placed, pieces)
+    col = {c: F.col(n) for c, n in zip(docs.columns, own, strict=True)}
+    out = rows.select("slot", col["doc_id"].cast("long").alias("doc_id"), col["source"].alias("source"), "start", "words", first_words(col["text"], F.col("start"), F.col("words")).alias("text"), "pos")
+    return out.orderBy("slot", "pos").drop("pos")
 
 
-def mixed_documents(docs: DataFrame, *, epochs: int = EPOCHS, seed: int = 9) -> DataFrame:
-    """The rows that the mix takes, as often as it takes them, all columns as they were.
+def mixed_documents(docs: DataFrame, *, epochs: int = EPOCHS, seed: int = 9, block: int = BLOCK) -> DataFrame:
+    """The rows that the mix takes, as often as it takes them, all columns as they were, in the order of the schedule.
 
-    A document taken one and a half times comes twice: whole, and with the first half
-    of its words. Only the last block of a source cuts a document, so such parts are
-    few; n_chars, where there is one, follows the text. Rows of one id in one source
-    are served like the longest of them; rows without words are not taken. Texts are not
-    shuffled: what becomes of a row is told by its hash and its source's ranges, which are
-    sent to all tasks if they are counted to be few, else joined by source, salted.
+    A copy of a document lies where the slot that takes its first words is. A document
+    taken one and a half times comes twice: whole, and with the first half of its words.
+    Only the last block of a source cuts a document, so such parts are few; n_chars, where
+    there is one, follows the text. Rows without words are not taken.
     """
-    plan = mix(docs, epochs=epochs, seed=seed).where("taken > 0").withColumn("key", key_of(F.col("source")))
-    told = ranges(plan, seed).select(F.col("key").alias("_key"), F.col("parts").alias("_parts"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    told = materialize(told, "mix")
-    keyed = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("_key", key_of(F.col("source")))
-    keyed = keyed.withColumn("_h", shuffle_hash(seed, F.col("doc_id").cast("long"), F.col("_key")))
-    on = ["_key"]
-    if told.count() <= SMALL:
-        told = F.broadcast(told)
-    else:
-        on, told = ["_key", "_salt"], told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = keyed.withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
-    rows = keyed.join(told, on).where(F.col("_h").between(F.col("_low"), F.col("_high"))).withColumn("_words", F.explode("_parts"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.concat_ws(" ", F.slice(words, F.lit(1), F.col("_words").cast("int")))
-    rows = rows.withColumn("text", F.when(F.col("_words") > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    placed, _, pieces = scheduled(docs, epochs, seed, block)
+    copies = pieces.groupBy("key", "pos", "epoch").agg(F.min(F.struct("start", "slot")).alias("first"), F.sum("words").alias("words"))
+    copies = copies.select("key", "pos", F.col("first.slot").alias("slot"), "words")
+    rows, own = with_rows(docs, placed, copies)
+    col = {c: F.col(n) for c, n in zip(docs.columns, own, strict=True)}
+    part = F.col("words") < F.col("size")
+    out = {c: col[c] for c in docs.columns}
+    out["text"] = F.when(part, first_words(col["text"], F.lit(0), F.col("words"))).otherwise(col["text"])
+    if "n_chars" in out:
+        out["n_chars"] = F.when(part, F.length(out["text"])).otherwise(col["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    rows = rows.orderBy("slot", "pos", "words")
+    return rows.select(*(out[c].alias(c) for c in docs.columns))
