@@ -23,6 +23,9 @@ def test_read_back(spark):
     convs = {1: [("system", "be </s> kind"), ("user", "q"), ("assistant", "a1"), ("user", "<|x|>\n"), ("assistant", "</s>\n"), ("user", "bye")], 2: [("user", None)], 3: [("assistant", "only")], 4: [(None, "x"), ("as|>\n", "y")], None: [("user", "n"), ("assistant", "m")]}
     for k, t in enumerate(ODD):
         convs[100 + k] = [("user", t), ("assistant", t + t)]
+        convs[200 + k] = [(t, "by an odd role"), ("assistant", "yes"), (t, t)]
+    for k, role in enumerate((">\n", ">", "|>\n", ">\n|>\n", "\\>\n", "|", "<|", "assistant|", "a</s>\n")):
+        convs[300 + k] = [(role, "x"), ("assistant", role), (role, "")]
     rows = [(c, k, role, text, "clash") for c, turns in convs.items() for k, (role, text) in enumerate(turns)]
     df = spark.createDataFrame(list(reversed(rows)), SCHEMA)
     examples = format_examples(df).cache()

@@ -38,3 +38,24 @@ def test_persistent_index(spark):
     late = exact_dedup(docs(spark, [(9, "x"), (10, "new")]), index)
     assert {(r.doc_id, r.keep_id, r.kept) for r in late.collect()} == {(9, 1, False), (10, 10, True)}
     index.drop()
+
+
+def test_an_arrival_that_is_run_again(spark):
+    """Under its name it gives the same rows and adds nothing twice; other arrivals see its texts."""
+    index = DigestIndex(spark, buckets=4)
+    first, second = docs(spark, [(1, "x"), (2, "x"), (3, "y")]), docs(spark, [(7, "y"), (8, "z")])
+    for _ in range(2):
+        assert {r.doc_id for r in dedup_documents(first, index, "monday").collect()} == {1, 3}
+    for _ in range(2):
+        assert {r.doc_id for r in dedup_documents(second, index, "tuesday").collect()} == {8}
+    assert dedup_documents(second, index).count() == 0 and index.read().count() == 3
+    index.compact()
+    assert index.read().count() == 3 and dedup_documents(docs(spark, [(9, "z"), (10, "new")]), index).count() == 1
+    index.drop()
+
+
+def test_columns_with_the_names_inside_stay(spark):
+    df = spark.createDataFrame([(1, "x", "a", "b", "c"), (2, "x", "d", "e", "f"), (3, "y", "g", "h", "i")], "doc_id long, text string, _digest string, digest string, told string")
+    index = DigestIndex(spark, buckets=4)
+    assert sorted(tuple(r) for r in dedup_documents(df, index).collect()) == [(1, "x", "a", "b", "c"), (3, "y", "g", "h", "i")]
+    index.drop()

@@ -25,7 +25,7 @@ def test_hosts_and_rules(spark):
     assert U.filter_urls(df.limit(0)).count() == 0
 
 
-def brute(urls, depth=3, support=5, z=1.96, prior=20.0, purity=0.5):
+def brute(urls, depth=3, support=5, z=1.96, prior=10.0, purity=0.5):
     """{(host, pattern): (template, verdict)} from rows (host, pattern, bad)."""
     stat = defaultdict(lambda: [0, 0, 0])
     for host, pattern, bad in urls:
@@ -115,3 +115,16 @@ def test_all_levels_against_brute_force(spark):
     df = spark.createDataFrame(rows, "host string, pattern array<string>, bad boolean")
     got = {(r.host, tuple(r.pattern)): (tuple(r.template), r.method_verdict) for r in U.template_tree(df, depth=None).collect()}
     assert got == brute([(h, tuple(p), b) for h, p, b in rows], depth=6)
+
+
+def test_a_bad_branch_among_good_ones(spark):
+    """At the default parameters: a spam branch of one host among many hosts' clean pages, few of them labelled; a few bad labels alone block nothing."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(k, f"http://h{k % 40}.com/{rnd.choice(['news', 'blog', 'wiki'])}/{k}", rnd.random() < 0.15 if rnd.random() < 0.4 else None) for k in range(4000)]
+    rows += [(k, f"http://h7.com/pills/{k}", rnd.random() < 0.95 if rnd.random() < 0.4 else None) for k in range(4000, 4100)]
+    pages = spark.createDataFrame([(k, u) for k, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(k, bad) for k, _, bad in rows if bad is not None], "label_id long, bad boolean")
+    out = {r.page_id: r for r in U.filter_urls(pages, labels).collect()}
+    assert {k for k, r in out.items() if r.verdict == "block"} == set(range(4000, 4100))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Control strings of this and other common templates: the place where a backslash goes in.
 INSIDE = r"(?<=\[)(?=/?INST\])|(?<=<)(?=/?s>|\||<SYS|</SYS)|(?<=\|)(?=>)"
@@ -31,7 +32,8 @@ def unescape(c: Column) -> Column:
 
 
 def head(role: Column) -> Column:
-    return F.concat(F.lit("<|"), escape(role), F.lit("|>\n"))
+    """The role is escaped together with the bar before it: it must not end the head by its first characters."""
+    return F.concat(F.lit("<"), escape(F.concat(F.lit("|"), role)), F.lit("|>\n"))
 
 
 def format_examples(conversations: DataFrame) -> DataFrame:
@@ -45,31 +47,20 @@ def format_examples(conversations: DataFrame) -> DataFrame:
     A conversation is one row while it is formatted: its size is bounded by what
     a model can read, not by the table.
     """
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    pieces = F.transform(
-        "turns",
-        lambda t: F.struct(
-            t["turn"].alias("turn"), (t["role"] == "assistant").alias("target"),
-            head(t["role"]).alias("head"), escape(t["text"]).alias("body"),
-        ),
-    )
-    convs = convs.select("conv_id", pieces.alias("pieces"))
-    # offset of each turn in the whole conversation: prefixes are cut from one string
-    sizes = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))
-    ends = F.transform(F.sequence(F.lit(1), F.size("pieces")), lambda k: F.aggregate(F.slice("sizes", 1, k), F.lit(0), lambda a, x: a + x))
-    whole = F.concat_ws("", F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))))
-    convs = convs.withColumn("sizes", sizes).select("conv_id", "pieces", ends.alias("ends"), whole.alias("whole"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), head(role).alias("head"), escape(text).alias("body"))
+    # where each turn ends in the whole conversation: prefixes are cut from one string
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    size = F.length("head") + F.length("body") + len(END)
+    rows = rows.select("conv_id", "turn", "head", "body", (F.col("role") == "assistant").alias("target"), F.row_number().over(order).alias("no"), F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("end"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("no", "turn", "target", "head", "body", "end"))).alias("pieces"))
+    convs = convs.select("conv_id", "pieces", F.concat_ws("", F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END)))).alias("whole"))
     spans = F.filter(
         F.transform(
-            F.arrays_zip("pieces", "ends"),
-            lambda x, i: F.struct(
-                x["ends"].alias("end"), x["pieces"]["target"].alias("target"), x["pieces"]["turn"].alias("turn"),
-                F.length(x["pieces"]["body"]).alias("chars"), (i == F.size("pieces") - 1).alias("final"),
-            ),
+            "pieces", lambda p: F.struct(p["end"].alias("end"), p["target"].alias("target"), p["turn"].alias("turn"), F.length(p["body"]).alias("chars"), (p["no"] == F.size("pieces")).alias("final"))
         ),
         lambda s: s["target"] | s["final"],
-    )
+    )
     rows = convs.select("conv_id", "whole", F.size(spans).alias("n"), F.posexplode(spans).alias("example_no", "span"))
     span = F.col("span")
     return rows.select(
@@ -92,7 +83,7 @@ def parse_turns(formatted: Column) -> Column:
     return F.transform(
         parts,
         lambda p: F.struct(
-            unescape(F.substring(p, F.lit(3), F.instr(p, "|>\n") - 3)).alias("role"),
+            F.substring(unescape(F.substring(p, F.lit(2), F.instr(p, "|>\n") - 2)), F.lit(2), F.length(p)).alias("role"),
             unescape(F.substring(p, F.instr(p, "|>\n") + 3, F.length(p))).alias("text"),
         ),
     )

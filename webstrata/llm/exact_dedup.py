@@ -24,10 +24,13 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests of all documents kept so far: (digest binary, keep_id).
+    """Digests of all documents kept so far: (digest binary, keep_id, batch).
 
     ``buckets``: of the table; for 100 TB some thousands, so that one bucket of an
-    index of 10^11 digests sorts within a task.
+    index of 10^11 digests sorts within a task. ``batch``: which arrival an entry is of;
+    an arrival that is run again under the same name, as after a failure, does not
+    count its own entries as seen. After many arrivals ``compact`` makes each bucket
+    one sorted file again.
     """
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = 32):
@@ -40,15 +43,28 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def unseen(self, firsts: DataFrame) -> DataFrame:
-        """Those of ``firsts`` (digest, keep_id, ...; one row a digest) whose digest the index lacks."""
+    def unseen(self, firsts: DataFrame, batch: str | None = None) -> DataFrame:
+        """Those of ``firsts`` (digest, keep_id, ...; one row a digest) whose digest the index lacks, but for entries of ``batch``."""
         if not self.exists():
             return firsts
-        return firsts.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        known = self.read() if batch is None else self.read().where(~F.col("batch").eqNullSafe(batch))
+        return firsts.join(known.select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, firsts: DataFrame) -> None:
-        rows = firsts.select("digest", "keep_id").repartition(self.buckets, "digest")
-        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
+    def append(self, firsts: DataFrame, batch: str | None = None) -> None:
+        """Adds ``firsts`` (digest, keep_id), but what a run of the same batch has added before."""
+        new = self.unseen(firsts) if batch is not None else firsts
+        self._write(new.select("digest", "keep_id", F.lit(batch).cast("string").alias("batch")), self.table)
+
+    def _write(self, rows: DataFrame, table: str) -> None:
+        rows = rows.repartition(self.buckets, "digest")
+        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(table)
+
+    def compact(self) -> None:
+        """One sorted file a bucket; the old table goes once the new one is written."""
+        new = f"{self.table}_{uuid.uuid4().hex}"
+        self._write(self.read(), new)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.table}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
@@ -99,25 +115,30 @@ def near_or_dealt(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= SMALL else small
 
 
-def dedup_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def dedup_documents(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, one row a text, all columns as they were.
 
     Rows are judged by digest and id, so that a repeated id with another text is judged by
     its own text; of fully repeated rows one stays. What goes is told by a table of ids and
     digests; texts are shuffled only if more than SMALL rows go, and then once.
+    ``batch``: the arrival's name. The index is written before the rows are; under the
+    same name the arrival may be run again and gives the same rows.
     """
     rows = materialize(digests(docs), "digests")
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-    new = materialize(index.unseen(firsts), "unseen")
-    index.append(new)
+    new = materialize(index.unseen(firsts, batch), "unseen")
+    index.append(new, batch)
     each = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     stays = (each["digest"] == new["digest"]) & each["doc_id"].eqNullSafe(new["keep_id"])
-    gone = materialize(each.join(new, stays, "left_anti").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i")), "gone")
-    twice = materialize(each.where("times > 1").join(new, stays, "left_semi").select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i")), "twice")
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    same = (F.col("_digest") == F.col("_d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_i"))
+    ident = (F.col("digest").alias("told"), F.col("doc_id").alias("told_id"))
+    gone = materialize(each.join(new, stays, "left_anti").select(*ident), "gone")
+    twice = materialize(each.where("times > 1").join(new, stays, "left_semi").select(*ident), "twice")
+    own = [f"in_{i}" for i in range(len(docs.columns))]  # no name of a column clashes with those above
+    text, doc_id = (own[docs.columns.index(c)] for c in ("text", "doc_id"))
+    keyed = docs.toDF(*own).withColumn("digest", F.unhex(F.sha2(normalised(F.col(text)), 256)))
+    same = (F.col("digest") == F.col("told")) & F.col(doc_id).cast("long").eqNullSafe(F.col("told_id"))
     kept = keyed.join(near_or_dealt(gone), same, "left_anti")
     if twice.limit(1).count():
         again = near_or_dealt(twice)
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
-    return kept.drop("_digest")
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, "digest"]))
+    return kept.select(*own).toDF(*docs.columns)

@@ -61,7 +61,7 @@ def url_number(path: Column) -> Column:
 
 
 def template_tree(
-    urls: DataFrame, *, depth: int | None = 3, support: int = 5, z: float = 1.96, prior: float = 20.0, purity: float = 0.5
+    urls: DataFrame, *, depth: int | None = 3, support: int = 5, z: float = 1.96, prior: float = 10.0, purity: float = 0.5
 ) -> DataFrame:
     """(host, pattern, template, labelled, bad, smoothed, method_verdict) of each pattern.
 
@@ -69,7 +69,8 @@ def template_tree(
     ``depth``: levels that are judged; None: as many as the longest pattern has.
     ``support``: literals with fewer pages become wildcards. ``z``: siblings within so
     many standard errors of their common rate merge. ``prior``: weight, in labels, of
-    the table's own rate. ``purity``: below it a template is rejected. All counts are
+    the table's own rate: at a rate of 0.2 it takes five labels, all bad, to fall below one half.
+    ``purity``: below it a template is rejected. All counts are
     over all rows, aggregated before they are shuffled; what comes out has a row for
     each pattern, not for each page.
     """
