@@ -35,10 +35,32 @@ def test_language_edges(spark):
     kept = L.accepted_documents(odd, model)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {None, 10_004}
     empty = docs.limit(0)
+    assert [r.lang_pred for r in L.predict(spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "½ ª")], "doc_id long, text string"), model).orderBy("doc_id").collect()][0] == "und"
     assert L.fit(empty).langs == [] and L.identify(empty).count() == 0
     assert [r.lang_pred for r in L.predict(docs.limit(1), L.fit(empty)).collect()] == ["und"]
 
 
+#: Texts in none of the given tables' languages, and text that is no language.
+FOREIGN = (
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "xqzv kjwp qqzx vbnm zxcv wqpo jkxz qvwx zzkj pqwx vjkq xzwv bqpz kxjv wzqx",
+)
+
+
+def test_foreign_texts_and_junk_are_rejected(spark):
+    """Planted foreign texts and junk go, from the pipeline's stage, too; of the given documents, 99 in 100 stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = spark.createDataFrame([(-k - 1, t, None, "s", len(t)) for k, t in enumerate(FOREIGN)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.unionByName(planted), "").select("doc_id").collect()}
+    assert not any(k < 0 for k in kept) and len(kept) >= 0.99 * docs.count()
+
+
 def brute(text):
     text = text or ""
     words = WORD.findall(text)
@@ -77,6 +99,25 @@ def test_quality_against_brute_force(spark, part):
             continue
         *base, failed, shares = brute(texts[r.doc_id])
         assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed] == [*base, failed]
-        assert [r.dup_5gram_share, r.dup_8gram_share, r.dup_12gram_share] == pytest.approx(shares)
+        assert [r.dup_5gram_share, r.dup_8gram_share, r.dup_10gram_share] == pytest.approx(shares)
         assert r.kept == (not failed and r.dup_line_share <= Q.LINES and all(s <= m for s, m in zip(shares, Q.NGRAMS.values(), strict=True)))
     assert Q.quality(rows.limit(0)).count() == 0
+
+
+def test_repetition_that_the_base_rule_passes(spark):
+    """A passage, a line or a phrase that comes again fails the coverage limits, though less than half of the words are in repeated windows."""
+    own = [f"word{k}" for k in range(400)]
+    passage = " ".join(f"again{k}" for k in range(45))
+    rows = [
+        (1, " ".join(own), True), (2, f"{' '.join(own[:150])} {passage} {' '.join(own[150:160])} {passage}", False),
+        (3, "\n".join([" ".join(own[k : k + 10]) for k in range(0, 200, 10)] + ["buy this now"] * 22), False),
+        (4, " ".join(own[:300]) + " " + " ".join(["a b c d e f"] * 2), True),
+    ]
+    got = {r.doc_id: r for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string, kept boolean").drop("kept")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: got[i].kept for i in got} == {i: k for i, _, k in rows}
+
+
+def test_line_share_is_in_characters(spark):
+    r = Q.quality(spark.createDataFrame([(1, "éééé\nabcd\nabcd\néé")], "doc_id long, text string")).first()
+    assert r.dup_line_share == pytest.approx(4 / 14)

@@ -2,13 +2,13 @@
 
 A text is a vector of hashed byte n-grams, weighted by TF-IDF and scaled to length
 one. Each language has several centroids (spherical k-means over a bounded sample
-of labelled texts). The nearest centroid by cosine decides; a text further from it
-than nearly all of the language's own sample is marked as rejected.
+of labelled texts). The nearest centroid by cosine decides; a text much further from it
+than other texts of the language and of that length is rejected. How far these are is
+measured on a second sample, that the centroids are not made from.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +21,13 @@ from webstrata.llm.common import map_batches, with_text
 
 DIMS = 1 << 12
 NGRAMS = (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes after lower-casing: all of ASCII but a-z becomes a space.
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[k for k in range(128) if not 97 <= k <= 122]] = 32
-#: A text of fewer bytes is accepted at a smaller cosine: short vectors are far from all centroids.
-FULL_LENGTH = 400
+#: Lengths in characters at which distances are measured: short vectors are far from all centroids.
+LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024, 2048)
+#: At a length where a language has fewer texts, the next shorter length's distances count.
+LEAST_TEXTS = 8
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
@@ -35,6 +36,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def counts(texts: list[str]) -> np.ndarray:
     """float32 (texts, DIMS): hashed counts of byte n-grams of the lower-cased words; digits and symbols only part words."""
     out = np.zeros((len(texts), DIMS), np.float32)
@@ -51,7 +56,7 @@ def counts(texts: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """idf (DIMS), centroids (k, DIMS) of length one, each one's language and the least cosine that is accepted."""
+    """idf (DIMS), centroids (k, DIMS) of length one, each one's language, and the least cosine that is accepted: a row for each centroid, a column for each of LENGTHS."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -62,14 +67,16 @@ class Model:
         x = np.log1p(tf) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    def least_cosine(self, centroid: int, chars: int) -> float:
+        return float(np.interp(np.log2(max(chars, 1)), np.log2(LENGTHS), self.least[centroid]))
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if has_letter(t)]
         out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
         if known and self.langs:
             near = self.vectors(counts([texts[i] for i in known])) @ self.centroids.T
-            short = np.sqrt(np.minimum([len(texts[i]) / FULL_LENGTH for i in known], 1.0))
-            for i, k, s, part in zip(known, near.argmax(1), near.max(1), short, strict=True):
-                out[i] = (self.langs[k], float(min(max(s, 0.0), 1.0)), bool(s < self.least[k] * part))
+            for i, k, s in zip(known, near.argmax(1), near.max(1), strict=True):
+                out[i] = (self.langs[k], float(min(max(s, 0.0), 1.0)), bool(s < self.least_cosine(k, len(texts[i]))))
         return out
 
 
@@ -83,54 +90,71 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, *, sample: int = 250, clusters: int = 4, slack: float = 0.5) -> Model:
-    """Learns from about ``sample`` texts of each language (rows of ``docs``: doc_id, text, lang).
+def nothing_learned() -> Model:
+    return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros((0, len(LENGTHS))))
+
+
+def fit(docs: DataFrame, *, sample: int = 250, measured: int = 150, clusters: int = 4, slack: float = 0.5, outside: float = 0.05, most_langs: int = 500) -> Model:
+    """Learns from about ``sample`` + ``measured`` texts of each language (rows of ``docs``: doc_id, text, lang).
 
-    Null languages, held-out and null ids and texts without letters are left out. The sample
-    is taken by a hash of doc_id, so reruns agree; only its feature counts (sparse)
-    come to the driver: at most about 2 * sample * languages vectors. ``slack``: a text
-    is rejected below this share of the cosine that all but one in a hundred of the
-    language's sample reach.
+    Null languages, held-out and null ids and texts without letters are left out; of more
+    than ``most_langs`` languages, those with the most texts are learned. Both samples
+    are taken by a hash of doc_id, so reruns agree; only their feature counts (sparse)
+    come to the driver: at most about 2 * (sample + measured * LENGTHS) * languages vectors.
+
+    ``sample`` texts give the centroids, the others the distances: each is cut to each of
+    LENGTHS that it has. A text is rejected below ``slack`` of the cosine that all but
+    ``outside`` of the language's measured texts of its length reach.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    each = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rank, parts = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)), None
-    for lang, n in sorted(each.items()):
-        part = (F.col("lang") == lang) & (rank < int(min(1.0, sample / n) * (1 << 30)))
-        parts = part if parts is None else parts | part
-    if parts is None:
-        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
+    each = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    rank, role = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)), F.lit(0)
+    for r in each.collect():
+        # of few texts, the share of each sample
+        whole = min(1.0, (sample + measured) / r["n"])
+        first = int(whole * sample / (sample + measured) * (1 << 30))
+        role = F.when(F.col("lang") == r["lang"], F.when(rank < first, 1).when(rank < int(whole * (1 << 30)), 2).otherwise(0)).otherwise(role)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, texts = (batch.column(i).to_pylist() for i in range(3))
-            some = [i for i, t in enumerate(texts) if LETTER.search(t)]
-            at, value = [], []
-            for i in some:
-                tf = counts([texts[i]])[0]
-                at.append(np.flatnonzero(tf).astype(np.int32))
-                value.append(tf[at[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in some], pa.int64()), pa.array([langs[i] for i in some], pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))],
-                names=["doc_id", "lang", "at", "value"],
-            )
-
-    found = map_batches(rows.where(parts).select(F.col("doc_id").cast("long"), "lang", "text"), features, "doc_id long, lang string, at array<int>, value array<float>")
-    learned = found.toArrow().to_pylist()
-    learned.sort(key=lambda r: (r["lang"], r["doc_id"], r["at"]))
-    tf = np.zeros((len(learned), DIMS), np.float32)
-    for row, r in zip(tf, learned, strict=True):
-        row[r["at"]] = r["value"]
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-    model = Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
+            out = []
+            for doc_id, lang, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if has_letter(text):
+                    cuts = [(0, text)] if role == 1 else [(n, text[:n]) for n in LENGTHS if len(text) >= n and has_letter(text[:n])]
+                    for chars, part in cuts:
+                        tf = counts([part])[0]
+                        at = np.flatnonzero(tf)
+                        out.append((doc_id, lang, chars, at.astype(np.int32), tf[at]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "lang", "chars", "at", "value"])
+
+    wanted = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", role.alias("role"), "text").where("role > 0")
+    found = map_batches(wanted, features, "doc_id long, lang string, chars int, at array<int>, value array<float>").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["lang"], r["chars"], r["doc_id"], r["at"]))
+    if not any(r["chars"] == 0 for r in found):
+        return nothing_learned()
+
+    def dense(rows: list[dict]) -> np.ndarray:
+        tf = np.zeros((len(rows), DIMS), np.float32)
+        for row, r in zip(tf, rows, strict=True):
+            row[r["at"]] = r["value"]
+        return tf
+
+    learned = [r for r in found if r["chars"] == 0]
+    tf = dense(learned)
+    model = nothing_learned()
+    model.idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
     x, langs = model.vectors(tf), np.array([r["lang"] for r in learned])
     for lang in sorted(set(langs.tolist())):
-        own = x[langs == lang]
-        c = spherical_means(own, clusters)
-        close = (own @ c.T).max(1)
+        c = spherical_means(x[langs == lang], clusters)
+        close = [[float(v) for v in (model.vectors(dense(part)) @ c.T).max(1)] if (part := [r for r in found if r["lang"] == lang and r["chars"] == n]) else [] for n in LENGTHS]
+        least = [slack * float(np.quantile(v, outside)) if len(v) >= LEAST_TEXTS else 0.0 for v in close]
+        for k in range(1, len(least)):
+            least[k] = least[k] or least[k - 1]
         model.centroids = np.concatenate([model.centroids, c])
         model.langs += [lang] * len(c)
-        model.least = np.concatenate([model.least, np.full(len(c), slack * np.quantile(close, 0.01))])
+        model.least = np.concatenate([model.least, np.repeat([least], len(c), 0)])
     return model
 
 

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from webstrata.llm import wordhash as W
 from webstrata.llm.common import map_batches, utf8, with_text
 
-#: n of the word n-grams, and the share of characters in repeated ones beyond which a text is rejected.
-NGRAMS = {5: 0.30, 8: 0.25, 12: 0.20}
-LINES = 0.30
+#: n of the word n-grams, and the share of characters in repeated ones beyond which a text is rejected; the same for
+#: lines: the limits published with the MassiveText corpus (Rae et al. 2021, appendix A).
+NGRAMS = {5: 0.15, 8: 0.12, 10: 0.10}
+LINES = 0.20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 WHITE = b" \t\n\x0b\x0c\r"
@@ -28,13 +29,13 @@ SCHEMA = (
 )
 
 
-def repeated(grams: np.ndarray, first: bool) -> np.ndarray:
-    """Of each n-gram, whether it is found twice or more (``first``), or was found before."""
-    if len(grams) < 2:
-        return np.zeros(len(grams), bool)
-    order = np.argsort(grams, kind="stable")
-    same = grams[order][1:] == grams[order][:-1]
-    out = np.zeros(len(grams), bool)
+def repeated(grams: np.ndarray, valid: np.ndarray, first: bool) -> np.ndarray:
+    """Of each valid n-gram, whether it is found twice or more (``first``), or was found before."""
+    out, place = np.zeros(len(grams), bool), np.flatnonzero(valid)
+    if len(place) < 2:
+        return out
+    order = place[np.argsort(grams[place], kind="stable")]
+    same = grams[order[1:]] == grams[order[:-1]]
     out[order[1:]] = same
     if first:
         out[order[:-1]] |= same
@@ -43,40 +44,60 @@ def repeated(grams: np.ndarray, first: bool) -> np.ndarray:
 
 def covered(hit: np.ndarray, words: int, n: int) -> np.ndarray:
     """Of each word, whether one of the marked n-grams covers it."""
-    edge = np.zeros(words + 1, np.int32)
+    edge = np.zeros(words + n + 1, np.int32)
     at = np.flatnonzero(hit)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + n, -1)
-    return np.cumsum(edge[:-1]) > 0
+    edge[at] += 1
+    edge[at + n] -= 1
+    return np.cumsum(edge[:words]) > 0
 
 
-def measure(text: bytes, hashes: np.ndarray, chars: np.ndarray) -> tuple:
-    """All columns but doc_id. hashes, chars: of each word, and its code points."""
-    n_words, word_chars = len(hashes), int(chars.sum())
-    seen, dup_lines, dup_chars, line_chars = set(), 0, 0, 0
+def lines_of(text: bytes) -> tuple[int, int, int]:
+    """Of the lines with a word: how many are equal to an earlier one, the characters in these, and in all."""
+    seen, again, again_chars, chars = set(), 0, 0, 0
     for line in text.split(b"\n"):
         if line.strip(WHITE):
-            line_chars += len(line)
+            size = len(line) if line.isascii() else len(line.decode("utf-8", "replace"))
+            chars += size
             if line in seen:
-                dup_lines, dup_chars = dup_lines + 1, dup_chars + len(line)
+                again, again_chars = again + 1, again_chars + size
             seen.add(line)
-    n_symbols = int(np.count_nonzero(SYMBOL[np.frombuffer(text, np.uint8)]))
-    n_repeat = int(np.count_nonzero(covered(repeated(W.windows(hashes, 3), True), n_words, 3))) if n_words >= 4 else 0
-    base_failed = n_words < 50 or 100 * n_repeat > 50 * n_words
-    lines = dup_chars / line_chars if line_chars else 0.0
-    shares = [float(chars[covered(repeated(W.windows(hashes, n), False), n_words, n)].sum()) / max(word_chars, 1) for n in NGRAMS]
-    kept = not base_failed and lines <= LINES and all(s <= most for s, most in zip(shares, NGRAMS.values(), strict=True))
-    return n_words, word_chars, n_symbols, dup_lines, n_repeat, base_failed, kept, lines, *shares
+    return again, again_chars, chars
 
 
-def measure_batch(texts: list[bytes]) -> list[tuple]:
-    """Words are hashed over the whole batch, then each text is measured on its own."""
+def measure_batch(texts: list[bytes]) -> list[np.ndarray]:
+    """All columns of SCHEMA but doc_id. Words are hashed, and repeats found, over the whole batch at once: an n-gram's hash has its text's number in it."""
     data = b"\n".join(texts)
     hashes, start, end = W.words(data, fold=False)
     points = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
     chars = (points[end] - points[start]).astype(np.int64)
-    bound = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in texts)]))
-    return [measure(t, hashes[a:b], chars[a:b]) for t, a, b in zip(texts, bound[:-1], bound[1:], strict=True)]
+    edge = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    bound = np.searchsorted(start, edge)
+    n_words, owner = np.diff(bound), np.repeat(np.arange(len(texts)), np.diff(bound))
+    salt = W.mix(np.arange(1, len(texts) + 1, dtype=np.uint64) * W.STEP)[owner]
+    symbols = np.concatenate(([0], np.cumsum(SYMBOL[np.frombuffer(data, np.uint8)])))
+    ends = np.minimum(edge[1:] - 1, len(data))
+
+    def per_text(of_words: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(of_words, dtype=np.int64)))
+        return total[bound[1:]] - total[bound[:-1]]
+
+    def repeats(n: int, first: bool) -> np.ndarray:
+        grams = W.windows(hashes, n)
+        if not len(grams):
+            return np.zeros(len(hashes), bool)
+        inside = owner[: len(grams)] == owner[n - 1 :]
+        return covered(repeated(grams ^ salt[: len(grams)], inside, first), len(hashes), n)
+
+    word_chars = per_text(chars)
+    n_repeat = per_text(repeats(3, True))
+    base_failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)
+    again, again_chars, line_chars = np.array([lines_of(t) for t in texts], np.int64).reshape(-1, 3).T
+    line_share = again_chars / np.maximum(line_chars, 1)
+    shares = [per_text(np.where(repeats(n, False), chars, 0)) / np.maximum(word_chars, 1) for n in NGRAMS]
+    kept = ~base_failed & (line_share <= LINES)
+    for share, most in zip(shares, NGRAMS.values(), strict=True):
+        kept &= share <= most
+    return [n_words, word_chars, symbols[ends] - symbols[edge[:-1]], again, n_repeat, base_failed, kept, line_share, *shares]
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -89,12 +110,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, rows = batch.column(0), utf8(batch.column(1)), []
+            ids, texts, parts = batch.column(0), utf8(batch.column(1)), []
             for at in range(0, len(texts), 64):
-                rows += measure_batch(texts[at : at + 64])
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7 + 1 + len(NGRAMS))]
+                parts.append(measure_batch(texts[at : at + 64]))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * (1 + len(NGRAMS))
             names = [x.split()[0] for x in SCHEMA.split(", ")]
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     return map_batches(with_text(docs, "doc_id"), run, SCHEMA)
