@@ -16,11 +16,14 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from webstrata.functions import urls
+from webstrata.sources.tables import spread
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style noscript title textarea iframe xmp noembed noframes".split())
@@ -253,7 +256,22 @@ def resolved(base: str, reference: str) -> str | None:
         return None
 
 
-def metas(page: Node, attribute: str, name: str) -> Iterator[str]:
+class Index:
+    """A page's elements in document order, and by tag: the tree is walked once for all facts."""
+
+    def __init__(self, page: Node):
+        self.page, self.nodes = page, list(page.walk())
+        self.by_tag: dict[str, list[Node]] = {}
+        for node in self.nodes:
+            self.by_tag.setdefault(node.tag, []).append(node)
+
+    def find(self, *tags: str) -> list[Node]:
+        if len(tags) == 1:
+            return self.by_tag.get(tags[0], [])
+        return [n for n in self.nodes if n.tag in tags] if any(t in self.by_tag for t in tags) else []
+
+
+def metas(page: Index, attribute: str, name: str) -> Iterator[str]:
     for node in page.find("meta"):
         if clean(node.get(attribute)).lower() == name:
             yield clean(node.get("content"))
@@ -278,12 +296,11 @@ def name_of(node: Node, labels: dict[str, str]) -> str:
     return " ".join(found)
 
 
-def headings(page: Node, labels: dict[str, str]) -> dict[str, list[str]]:
-    nodes = list(page.walk())
+def headings(page: Index, labels: dict[str, str]) -> dict[str, list[str]]:
+    by_role = [n for n in page.nodes if "role" in n.attrs and "heading" in tokens(n.get("role"))]
     out = {}
     for tag, most in HEADINGS.items():
-        own = [n for n in nodes if n.tag == tag]
-        own += [n for n in nodes if "role" in n.attrs and clean(n.get("aria-level")) == tag[1] and n.tag != tag and "heading" in tokens(n.get("role"))]
+        own = page.find(tag) + [n for n in by_role if clean(n.get("aria-level")) == tag[1] and n.tag != tag]
         values: list[str] = []
         for node in own:
             if len(values) >= most:
@@ -340,7 +357,7 @@ class SchemaTypes:
                     self.items += len(self.types) > before
                 stack.extend(reversed([v for k, v in item.items() if k != "@type"]))
 
-    def read(self, page: Node) -> None:
+    def read(self, page: Index) -> None:
         used = blocks = 0
         for script in page.find("script"):
             if blocks >= MOST["blocks"] or used >= MOST["json"]:
@@ -367,7 +384,7 @@ class SchemaTypes:
                 self.issue("JSON_LD_TYPE_MISSING")
             else:
                 self.valid += 1
-        for node in page.walk():
+        for node in page.nodes:
             if "itemscope" in node.attrs and "itemtype" in node.attrs:
                 if len(self.types) >= MOST["types"]:
                     break
@@ -408,14 +425,11 @@ def fingerprint(page: Node, most: int = 50_000) -> str | None:
 
 def page_facts(url: str, html: str, scope_host: str | None) -> dict:
     """All facts of a page in one pass over its tree; see FACTS."""
-    page = parse(html)
-    by_tag: dict[str, list[Node]] = {}
-    for node in page.walk():
-        by_tag.setdefault(node.tag, []).append(node)
+    page = Index(parse(html))
     first = lambda values: next(iter(values), "")
-    title = first(n.text() for n in by_tag.get("title", ()))
+    title = first(n.text() for n in page.find("title"))
     labels: dict[str, str] = {}
-    for node in page.walk():
+    for node in page.nodes:
         if ident := clean(node.get("id")):
             if value := clean(node.get("aria-label")) or clean(node.text()):
                 labels[ident] = cut(value, CAPS["heading"])
@@ -424,7 +438,7 @@ def page_facts(url: str, html: str, scope_host: str | None) -> dict:
         "meta_description": cut(first(metas(page, "name", "description")), CAPS["description"]),
         "meta_keywords": cut(first(metas(page, "name", "keywords")), CAPS["keywords"]),
         "meta_robots": cut(", ".join(filter(None, metas(page, "name", "robots"))), CAPS["robots"]),
-        "html_lang": cut(clean(first(n.get("lang") for n in by_tag.get("html", ()))), CAPS["lang"]),
+        "html_lang": cut(clean(first(n.get("lang") for n in page.find("html"))), CAPS["lang"]),
         "open_graph_title": cut(first(metas(page, "property", "og:title")), CAPS["title"]),
         "open_graph_description": cut(first(metas(page, "property", "og:description")), CAPS["description"]),
         "open_graph_image_url": "",
@@ -434,7 +448,7 @@ def page_facts(url: str, html: str, scope_host: str | None) -> dict:
     canonical, declared, invalid = "", 0, 0
     alternates: list[dict] = []
     bad_alternates = stylesheets = 0
-    for link in by_tag.get("link", ()):
+    for link in page.find("link"):
         rel, href = tokens(link.get("rel")), clean(link.get("href"))
         target = resolved(url, href) if href else None
         good = target is not None and urls.is_http(target)
@@ -456,7 +470,7 @@ def page_facts(url: str, html: str, scope_host: str | None) -> dict:
         except ValueError:
             relation = "NON_SELF"
     out |= {"canonical_url": canonical, "canonical_relation": relation, "canonical_declared": declared, "canonical_invalid": invalid}
-    out |= {"hreflang": alternates, "hreflang_invalid": bad_alternates, "stylesheet_count": stylesheets, "script_count": len(by_tag.get("script", ()))}
+    out |= {"hreflang": alternates, "hreflang_invalid": bad_alternates, "stylesheet_count": stylesheets, "script_count": len(page.find("script"))}
     out |= headings(page, labels)
     types = SchemaTypes()
     types.read(page)
@@ -464,19 +478,15 @@ def page_facts(url: str, html: str, scope_host: str | None) -> dict:
         "schema_types": types.types, "schema_item_count": types.items, "schema_valid_count": types.valid,
         "schema_error_count": types.errors, "schema_warning_count": types.warnings, "schema_issue_codes": types.issues,
     }
-    images = by_tag.get("img", [])
+    images = page.find("img")
     missing = [k for k, image in enumerate(images, 1) if needs_alternative(image, labels)]
-    body = first_node(by_tag, "body")
+    body = next(iter(page.find("body")), None)
     out |= {"image_count": len(images), "missing_alt": len(missing), "missing_alt_sample": missing[: MOST["ordinals"]]}
-    out |= {"word_count": len(WORDS.findall(body.text())) if body else 0, "links": page_links(page, url, scope_host), "layout_fingerprint": fingerprint(page)}
+    out |= {"word_count": len(WORDS.findall(body.text())) if body else 0, "links": page_links(page, url, scope_host), "layout_fingerprint": fingerprint(page.page)}
     return out
 
 
-def first_node(by_tag: dict[str, list[Node]], tag: str) -> Node | None:
-    return by_tag.get(tag, [None])[0]
-
-
-def page_links(page: Node, url: str, scope_host: str | None) -> list[dict]:
+def page_links(page: Index, url: str, scope_host: str | None) -> list[dict]:
     out: list[dict] = []
     for node in page.find("a", "area"):
         if len(out) >= MOST["links"]:
@@ -493,19 +503,21 @@ def page_links(page: Node, url: str, scope_host: str | None) -> list[dict]:
 
 
 def map_pages(df: DataFrame, schema: str, read: Callable[..., dict], columns: list[str], rows: int = 200) -> DataFrame:
-    """Adds the fields of ``read(*columns)`` to each row. One Python pass; small batches, as bodies differ in size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
-    kept = [c for c in df.columns if c not in names]
+    """Adds the fields of ``read(*columns)`` to each row, ``rows`` at a time. One Python pass; other columns go through as they are; a small table is dealt to all cores."""
+    found_schema = T.StructType.fromDDL(schema)
+    kept = [f for f in df.schema if f.name not in found_schema.names]
+    names, place = [*(f.name for f in kept), *found_schema.names], [df.columns.index(f.name) for f in kept]
+    inputs, fields = [df.columns.index(c) for c in columns], list(to_arrow_schema(found_schema))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [read(*row) for row in zip(*(batch[c] for c in columns), strict=True)]
-            facts = pd.DataFrame({n: pd.Series([f[n] for f in found], dtype=object) for n in names}, index=batch.index)
-            yield pd.concat([batch[kept], facts], axis=1)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                found = [read(*row) for row in zip(*(batch.column(i).to_pylist() for i in inputs), strict=True)]
+                facts = [pa.array([f[x.name] for f in found], x.type) for x in fields]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in place), *facts], names=names)
 
-    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept] + [schema])
-    return df.mapInPandas(run, types)
+    return spread(df).mapInArrow(run, T.StructType([*kept, *found_schema.fields]))
 
 
 def parse_pages(df: DataFrame, *, url: str = "url", html: str = "html", scope: str = "scope_host", keep: list[str] | None = None) -> DataFrame:
@@ -530,7 +542,7 @@ RENDERED = (
 
 def rendered_facts(url: str, html: str) -> dict:
     """The second rule set, for pages after their scripts ran: visible words, first values, h1 by text."""
-    page = parse(html)
+    page = Index(parse(html))
     first = lambda values: next(iter(values), "")
     canonical = first(clean(n.get("href")) for n in page.find("link") if "canonical" in tokens(n.get("rel")))
     hidden = lambda n: n.tag in ("script", "style", "noscript", "template") or "hidden" in n.attrs

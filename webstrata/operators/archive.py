@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import html, urls
 from webstrata.operators.folds import fold
-from webstrata.operators.links import written
+from webstrata.sources.tables import written
 
 #: Bounds of one page's archive: fixed values.
 MOST_FILES, MOST_INPUT = 100, 50 * 1024 * 1024

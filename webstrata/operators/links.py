@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webstrata.sources.tables import written
+
 
 def link_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("owner_id", "scan_id", "source_page_id").agg(F.count_if("is_internal").alias("internal_links"), F.count_if(~F.col("is_internal")).alias("external_links"))
@@ -74,23 +74,5 @@ def crawl_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> Dat
     return reached
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder; a temporary one is set where the session names none."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-webstrata-")
-        spark.sparkContext.setCheckpointDir(base)
-    return str(base).rstrip("/")
-
-
 def frontier_invariants(pages: DataFrame) -> DataFrame:
     return pages.groupBy("scan_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("url").alias("distinct_urls"), F.max("depth").alias("max_depth"))

@@ -86,11 +86,17 @@ def seo_gaps(pages: DataFrame) -> DataFrame:
     return pages.where((F.upper("fetch_outcome") == "SUCCESS") & empty)
 
 
-def scan_summary(pages: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per scan; findings are counted per page before the join, which keeps the page key's partitioning."""
+def scan_summary(pages: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Per scan. Findings are counted per page before the join, which keeps the page key's partitioning;
+    without ``findings`` they are those in the pages' own column, and there is no join."""
     status = F.col("status_code")
     within = lambda a: F.count_if((status >= a) & (status < a + 100))
-    return with_counts(pages, findings).groupBy("owner_id", "scan_id").agg(
+    if findings is None:
+        issue = F.filter("findings", lambda f: F.upper(f["severity"]).isin(*rules.ISSUE_SEVERITIES))
+        counted = pages.withColumns({"finding_count": F.greatest(F.size("findings"), F.lit(0)).cast("long"), "issue_finding_count": F.greatest(F.size(issue), F.lit(0)).cast("long")})
+    else:
+        counted = with_counts(pages, findings)
+    return counted.groupBy("owner_id", "scan_id").agg(
         F.count(F.lit(1)).alias("total_urls"), F.count_if(is_issue()).alias("issue_pages"), F.sum("finding_count").alias("finding_count"),
         within(200).alias("status_2xx"), within(300).alias("status_3xx"), within(400).alias("status_4xx"), within(500).alias("status_5xx"),
         F.count_if((status < 200) | (status >= 600)).alias("no_response"),

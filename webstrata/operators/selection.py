@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.functions import rules, urls
-from webstrata.operators.links import written
+from webstrata.sources.tables import written
 
 #: Paths that are not pages: fixed values.
 DOWNLOAD = r"(?i)\.(?:7z|avi|csv|docx?|exe|gz|mp3|mp4|mov|pdf|rar|tar|webm|xlsx?|zip)$"

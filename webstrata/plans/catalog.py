@@ -119,7 +119,7 @@ select owner_id, scan_id, count(*) as total_urls, count(*) filter (lower(outcome
 def o078_scan_summary(spark, sf_dir):
     """Flagship: stored pages, parsed, classified, with findings, summed up per scan."""
     facts = jobs.build_page_facts(fetches(spark, sf_dir)).select("owner_id", "scan_id", "page_id", "fetch_outcome", "status_code", "findings")
-    summary = pages.scan_summary(facts.drop("findings"), jobs.findings_of(facts))
+    summary = pages.scan_summary(facts)
     return summary.select("owner_id", "scan_id", *long("total_urls", "issue_pages", "finding_count", "status_2xx", "status_3xx", "status_4xx", "status_5xx", "no_response"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import html, rules, urls
 from webstrata.operators import archive, capture, pages, selection, workflow
-from webstrata.operators.links import shared, written
+from webstrata.sources.tables import shared, written
 from webstrata.plans import catalog, jobs
 from webstrata.plans.catalog import long, query
 from webstrata.plans.shapes import page_metrics, shape
