@@ -161,6 +161,20 @@ def test_css_aliases(spark):
     assert got == {"a.css": "a.css", "b.css": "a.css", "c.css": "c.css", "d.css": "c.css", "e.css": "e.css"}
 
 
+def test_css_chain_of_imports(spark):
+    """Copies of a chain of fifteen imports become one chain; the last links are found to be equal after as many rounds."""
+    import webstrata.operators.archive as archive
+
+    css, paths = [], []
+    for copy in "ab":
+        for k in range(16):
+            name = f"{copy}{k:02}.css"
+            paths.append(("j", f"https://e.com/{name}", name))
+            css.append(("j", name, f"https://e.com/{name}", f'@import "{copy}{k - 1:02}.css#x"; p{{top:{k}px}}' if k else "p{top:0}"))
+    got = {r.path: r.canonical_path for r in archive.css_alias_closure(spark.createDataFrame(css, "job_id string, path string, source_url string, body string"), spark.createDataFrame(paths, "job_id string, url string, path string")).collect()}
+    assert got == {f"{c}{k:02}.css": f"a{k:02}.css" for c in "ab" for k in range(16)}
+
+
 def test_plan_site_archive(spark):
     from webstrata.plans.jobs import plan_site_archive
 

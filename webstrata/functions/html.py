@@ -609,6 +609,21 @@ def rewrite_css_text(css: str, base: str, paths: dict[str, str], source: str = "
     return URL_IN_CSS.sub(put, css)
 
 
+def references_in_css(css: str, base: str) -> list[str]:
+    """The URLs that ``reference`` looks up for a stylesheet: each resolved, with and without its fragment."""
+    out: list[str] = []
+    for m in URL_IN_CSS.finditer(css):
+        raw = clean(next((g for g in (m[1], m[2], m[3], m[5], m[6]) if g is not None), ""))
+        if KEPT_SCHEMES.match(raw):
+            continue
+        try:
+            target = urljoin(base, raw)
+        except ValueError:
+            continue
+        out += [target, target.partition("#")[0]]
+    return list(dict.fromkeys(out))
+
+
 def rewrite_page(html: str, base: str, paths: dict[str, str]) -> str:
     """References to local paths or redacted; no base element; values a visitor typed are blank."""
     page = parse(html)
@@ -698,6 +713,12 @@ def as_map(pairs) -> dict[str, str]:
     return dict(pairs) if pairs is not None else {}
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def css_references(css: pd.Series, base: pd.Series) -> pd.Series:
+    """array<string> of references_in_css; null css: none."""
+    return pd.Series([references_in_css(c or "", b or "") for c, b in zip(css, base, strict=True)], dtype=object)
+
+
 neutralize_html = _html_udf(neutralize)
 layout_fingerprint = _html_udf(lambda html: fingerprint(parse(html)))
 #: (html, base url, map<url, local path>)

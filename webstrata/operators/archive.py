@@ -111,26 +111,32 @@ def asset_dedup(files: DataFrame) -> DataFrame:
     return out.select(*files.columns, F.when(F.col("_asset"), F.coalesce("_first", "path")).otherwise(F.col("path")).alias("canonical_path"))
 
 
-def css_alias_closure(css: DataFrame, paths: DataFrame, rounds: int = 10) -> DataFrame:
+def css_alias_closure(css: DataFrame, paths: DataFrame) -> DataFrame:
     """(job_id, path, source_url, canonical_path, body): stylesheets whose rewritten texts are equal become one.
 
     css: job_id, path, source_url, body. paths: job_id, url, path of all archived
     resources. Each round rewrites with the aliases found so far; texts that have become
-    equal add aliases; it ends when a round adds none. Only CSS rows take part.
+    equal add aliases; it ends when a round adds none. Stylesheets that have become one
+    stay one, so that there are at most as many rounds as stylesheets; a chain of imports
+    takes a round a link. Only CSS rows take part, each with the paths of what it refers to.
     """
-    state = written(css.withColumn("canonical_path", F.col("path")))
-    for _ in range(rounds):
-        alias = state.select("job_id", "path", "canonical_path")
-        targets = paths.join(alias, ["job_id", "path"], "left").select("job_id", "url", F.coalesce("canonical_path", "path").alias("to"))
-        table = targets.groupBy("job_id").agg(F.map_from_entries(F.collect_set(F.struct("url", "to"))).alias("known"))
-        done = state.join(table, "job_id", "left").withColumn("rewritten", html.rewrite_css(F.col("body"), F.col("source_url"), F.col("known")))
-        done = done.withColumn("hash", F.sha2("rewritten", 256))
+    sheet = ["job_id", "path", "source_url"]
+    refers = css.select(*sheet, F.explode(F.array_distinct(html.css_references(F.col("body"), F.col("source_url")))).alias("url"))
+    # what a stylesheet refers to, found once: aliases change, references don't
+    refers = written(refers.join(paths.select("job_id", "url", F.col("path").alias("target")).dropDuplicates(["job_id", "url"]), ["job_id", "url"]))
+    state = written(css.select(*sheet, "body", F.col("path").alias("canonical_path")))
+    while True:
+        alias = state.groupBy("job_id", F.col("path").alias("target")).agg(F.min("canonical_path").alias("to"))
+        known = refers.join(alias, ["job_id", "target"], "left").select(*sheet, "url", F.coalesce("to", "target").alias("to"))
+        own = known.groupBy(*sheet).agg(F.map_from_entries(F.collect_list(F.struct("url", "to"))).alias("known"))
+        same = [state[c].eqNullSafe(own[c]) for c in sheet]
+        done = state.join(own, same, "left").select(*(state[c] for c in (*sheet, "body", "canonical_path")), "known")
+        done = done.withColumn("rewritten", html.rewrite_css(F.col("body"), F.col("source_url"), F.col("known"))).withColumn("hash", F.sha2(F.coalesce("rewritten", F.lit("")), 256))
         first = done.groupBy("job_id", "hash").agg(F.min("path").alias("first"))
-        new = written(done.join(first, ["job_id", "hash"]).select("job_id", "path", "source_url", "body", F.col("first").alias("canonical_path"), F.col("canonical_path").alias("was"), "rewritten"))
-        state = new.drop("was", "rewritten")
+        new = written(done.join(first, ["job_id", "hash"]).select(*sheet, "body", F.col("first").alias("canonical_path"), F.col("canonical_path").alias("was"), "rewritten"))
         if new.where("canonical_path <> was").limit(1).count() == 0:
-            break
-    return new.select("job_id", "path", "source_url", "canonical_path", F.col("rewritten").alias("body"))
+            return new.select(*sheet, "canonical_path", F.col("rewritten").alias("body"))
+        state = new.drop("was", "rewritten")
 
 
 def archive_files(files: DataFrame) -> DataFrame:

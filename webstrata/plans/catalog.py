@@ -45,10 +45,31 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
 
 
+def uuid5_sql(space: str, name: str) -> str:
+    """The name-based UUID in SQL: of a namespace (a UUID string) and a name."""
+    digest = f"sha1(unhex(replace({space}, '-', '')) || encode({name}))"
+    variant = "substr('89ab', cast(ceil(position(substr(d, 17, 1) in '048c159d26ae37bf') / 4.0) as int), 1)"
+    return f"(select concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), '5' || substr(d, 14, 3), {variant} || substr(d, 18, 3), substr(d, 21, 12)) from (select {digest} as d))"
+
+
 def long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
+#: The parts of the given URLs, and the forms made of them, in SQL.
+URL_SQL = """with u as (select page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+') as origin, split_part(split_part(url, '://', 2), '/', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path,
+  [x for x in string_split(regexp_extract(url, '[?]([^#]*)', 1), '&') if x <> ''] as params from pages),
+  v as (select *, coalesce(nullif(path, ''), '/') as whole, coalesce(nullif(rtrim(path, '/'), ''), '/') as plain, list_sort([x for x in params if not regexp_matches(x, '^(utm_(source|medium|campaign|term|content)|fbclid|gclid|mc_cid|mc_eid)=')]) as kept,
+   list_sort([x for x in params if not regexp_matches(x, '^(utm_[^=]+|ref|from|gclid|fbclid)=')]) as design_kept, list_distinct([concat(split_part(x, '=', 1), '=%5BREDACTED%5D') for x in params]) as hidden from u),
+  w as (select *, concat(origin, whole, case when len(kept) > 0 then concat('?', array_to_string(kept, '&')) else '' end) as normalized,
+   concat(origin, plain, case when len(design_kept) > 0 then concat('?', array_to_string(design_kept, '&')) else '' end) as design,
+   concat(origin, whole, case when len(hidden) > 0 then concat('?', array_to_string([concat(split_part(x, '=', 1), '=%5BREDACTED%5D') for x in params], '&')) else '' end) as redacted,
+   case when contains(url, '#') then null else concat(origin, whole, case when len(params) > 0 then concat('?', array_to_string(params, '&')) else '' end) end as site,
+   sha256(concat(origin, plain, case when len(params) > 0 then concat('?', array_to_string(params, '&')) else '' end)) as route_hash,
+   concat(host, lower(path), case when path = '' then '/index.html' when path like '%/' then 'index.html' when contains(split_part(path, '/', -1), '.') then '' else '.html' end) as local_path,
+   concat(origin, regexp_replace(case when path like '%/' then path else regexp_replace(path, '[^/]*$', '') end, '[^/]*/$', ''), 'up?a=2&b=1') as resolved from v) """
+
+
 # --- stored pages ----------------------------------------------------------------------------------------------------
 
 
@@ -123,12 +144,41 @@ def o078_scan_summary(spark, sf_dir):
     return summary.select("owner_id", "scan_id", *long("total_urls", "issue_pages", "finding_count", "status_2xx", "status_3xx", "status_4xx", "status_5xx", "no_response"))
 
 
-@query()
+#: Page identifiers of the stored responses, and hrefs as URLs write them, in SQL.
+PAGE_UUID = "(select concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4), substr(d, 21, 12)) from (select sha256(concat('page', page_no)) as d))"
+DECODED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+
+
+@query(CLASSES + f""", l as (select scan_id, {PAGE_UUID} as source_page_id, unnest(regexp_extract_all(body, '<a href="([^"]*)">[^<]*</a>', 1)) as href, unnest(regexp_extract_all(body, '<a href="[^"]*">([^<]*)</a>', 1)) as said,
+    unnest(range(len(regexp_extract_all(body, '<a href="[^"]*">[^<]*</a>')))) as ordinal, regexp_extract(body, '^', 0) as none, page_no from p),
+  t as (select l.*, concat(regexp_extract(pages.url, '^[a-z]+://[^/?#]+'), array_to_string([case when ascii(c) > 127 then url_encode(c) else c end for c in string_split({DECODED.format('href')}, '')], '')) as target_url from l join pages on pages.page_id = l.page_no)
+select scan_id, source_page_id, {uuid5_sql('source_page_id', "concat(ordinal, ':', target_url)")} as edge_id, target_url, sha256(target_url) as target_hash, trim({DECODED.format('said')}) as anchor_text, 'a' as tag, true as is_internal, true as is_followable,
+  cast(ordinal as int) as ordinal from t""")
 def o051_page_links(spark, sf_dir):
     return jobs.links_of(jobs.build_page_facts(fetches(spark, sf_dir))).drop("owner_id")
 
 
-@query()
+@query(CLASSES + f"""select page_no, {PAGE_UUID} as page_id, outcome as fetch_outcome, case when not parsed then '' when status_code not between 200 and 299 then 'HTTP_STATUS_NOT_INDEXABLE' when header_noindex then 'X_ROBOTS_TAG_NOINDEX' else 'INDEXABLE' end as indexability_reason,
+  trim({DECODED.format("regexp_extract(body, '(?s)<title>(.*?)</title>', 1)")}) as title, trim({DECODED.format("regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1)")}) as h1,
+  len(regexp_extract_all(regexp_replace(regexp_replace(split_part(split_part(body, '<body>', 2), '</body>', 1), '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '&#?[A-Za-z0-9]+;', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+')) as word_count,
+  'MISSING' as canonical_relation, len(regexp_extract_all(body, '<a href=')) as internal_links, cast(0 as bigint) as external_links from p""")
+def o117_page_facts(spark, sf_dir):
+    """The facts of the next query that SQL can read from the given pages."""
+    facts = jobs.build_page_facts(fetches(spark, sf_dir))
+    return facts.select("page_no", "page_id", "fetch_outcome", "indexability_reason", "title", F.array_join("h1", "\n").alias("h1"), "canonical_relation", *long("word_count", "internal_links", "external_links"))
+
+
+@query(CLASSES + f""", k as (select owner_id, scan_id, page_no, error, status_code, unnest(case when error = 'ssrf_blocked' then ['FETCH_BLOCKED_BY_POLICY|fetch.policy-blocked|1|TECHNICAL|INFO'] when error <> '' then ['FETCH_FAILED|fetch.failed|1|TECHNICAL|ERROR'] when cut then ['BODY_TRUNCATED|fetch.body-truncated|1|TECHNICAL|WARNING'] else
+    list_concat(list_concat(case when status_code >= 400 then ['HTTP_ERROR|http.error|1|TECHNICAL|ERROR'] else [] end, case when status_code between 300 and 399 then ['HTTP_REDIRECT_RESPONSE|http.redirect-response|1|TECHNICAL|WARNING'] else [] end),
+    list_concat(case when page_no % 13 = 0 then ['REDIRECT_CHAIN|redirect.chain|1|SEO|WARNING'] else [] end, case when status_code between 200 and 299 then ['META_DESCRIPTION_MISSING|meta-description.missing|2|CONTENT|INFO'] else [] end)) end) as f from p),
+  i as (select owner_id, scan_id, {PAGE_UUID} as page_id, split_part(f, '|', 1) as finding_code, split_part(f, '|', 2) as rule_id, cast(split_part(f, '|', 3) as int) as rule_version, split_part(f, '|', 4) as category, split_part(f, '|', 5) as severity from k)
+select *, {uuid5_sql('page_id', "concat(rule_id, ':', rule_version)")} as finding_id from i""")
+def o023_page_findings(spark, sf_dir):
+    """The findings of all pages, a row each."""
+    return jobs.findings_of(jobs.build_page_facts(fetches(spark, sf_dir))).drop("evidence_json")
+
+
+@query(URL_SQL + "select page_id, normalized, sha256(normalized) as url_hash, design, redacted, site, route_hash, local_path, resolved from w")
 def o008_normalize_url(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     u = F.col("url")
@@ -146,14 +196,32 @@ def o021_url_path(spark, sf_dir):
     return p.select("page_id", urls.url_path(u).alias("path"), urls.url_hash(u).alias("url_hash"), urls.is_http_url(u).alias("is_http"), urls.in_scope_of(u, F.lit("Tionsh.example.net")).alias("in_scope"))
 
 
-@query()
+#: Paths that page ids give to pages, each with its role and template; the 11th kind keeps its own.
+ROLES = (
+    ("/en", "HOME", "/en"), ("/en/pricing", "PRICING", "/en/pricing"), ("/en/Blog", "BLOG_INDEX", "/en/blog"), ("/en/blog/Post-x", "BLOG_DETAIL", "/en/blog/{slug}"), ("/log-in", "AUTH_LOGIN", "/log-in"),
+    ("/a/vs/b", "COMPARISON_DETAIL", "/a/vs/{slug}"), ("/products/12", "PRODUCT_DETAIL", "/products/{id}"), ("/en/about", "MARKETING_LANDING", "/en/about"), ("/a/b/c", "UNKNOWN", "/a/b/c"), ("/tin-tuc/", "BLOG_INDEX", "/tin-tuc"),
+)
+
+
+def by_case(n: int) -> str:
+    return " ".join(f"when {k} then '{r[n]}'" for k, r in enumerate(ROLES))
+
+
+@query(f"""select page_id, case when page_id % 13 = 12 then 'ERROR_4XX' else case page_id % 11 {by_case(1)} else 'MARKETING_LANDING' end end as role,
+  case when page_id % 13 = 12 then '/{{error-4xx}}' else case page_id % 11 {by_case(2)} else concat('/', split_part(url, '/', 4), '/', case when regexp_matches(url, '^[a-z]+://[^/]+/[a-z]+/[0-9]+([/?#]|$)') then '{{id}}' else lower(regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+/([^/?#]*)', 1)) end) end end as template from pages""")
 def o034_semantic_role(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    role = rules.semantic_role(F.col("url"), F.lit(200), F.array().cast("array<string>"))
+    p, k = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("page_id")
+    url = F.col("url")
+    for n, (path, _, _) in enumerate(ROLES):
+        url = F.when(k % 11 == n, F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0), F.lit(path))).otherwise(url)
+    p = p.withColumn("url", url)
+    role = rules.semantic_role(F.col("url"), F.when(k % 13 == 12, 410).otherwise(200), F.array().cast("array<string>"))
     return p.select("page_id", role.alias("role"), rules.route_template(F.col("url"), role, F.lit("en")).alias("template"))
 
 
-@query()
+@query(f"""select page_id, trim({DECODED.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) as title, trim({DECODED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) as h1,
+  cast(len(regexp_extract_all(regexp_replace(regexp_replace(split_part(split_part(html, '<body>', 2), '</body>', 1), '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '&#?[A-Za-z0-9]+;', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+')) as int) as word_count,
+  cast(len(regexp_extract_all(html, '<a href=')) as int) as link_count, cast(0 as int) as image_count from pages""")
 def o053_rendered_metadata(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return html.rendered_metadata(p, keep=["page_id"]).select("page_id", "title", "word_count", "link_count", "image_count", F.array_join("h1", "\n").alias("h1"))
@@ -167,7 +235,20 @@ def o057_neutralize_html(spark, sf_dir):
     return p.select("page_id", F.sha2(safe, 256).alias("html_sha256"), F.length(safe).alias("n_chars"))
 
 
-@query()
+#: The choice of pages for a design clone, in SQL.
+CHOSEN = URL_SQL.rstrip() + f""", c as (select host as scan_id, {PAGE_UUID} as id, regexp_replace(url, '^http:', 'https:') as raw_url, regexp_replace(design, '^http:', 'https:') as normalized_url, split_part(path, '/', 2) as locale, status_code,
+    contains(url, '?') as had_query, case when page_no % 37 = 0 then 'ROBOTS_OR_POLICY_BLOCKED' when page_no % 41 = 0 and status_code not between 400 and 599 then 'HTTP_FAILURE' end as reason,
+    case status_code when 404 then 'ERROR_4XX' when 503 then 'ERROR_5XX' else 'MARKETING_LANDING' end as role, case status_code when 404 then '/{{error-4xx}}' when 503 then '/{{error-5xx}}'
+     else concat('/', split_part(path, '/', 2), '/', case when regexp_matches(rtrim(path, '/'), '/[0-9]+$') then '{{id}}' else lower(split_part(rtrim(path, '/'), '/', 3)) end) end as template
+    from (select *, page_id as page_no, case page_id % 17 when 0 then 404 when 1 then 503 when 2 then 301 else 200 end as status_code from w)),
+  d as (select *, row_number() over (partition by scan_id, split_part(normalized_url, '?', 1) order by had_query, status_code // 100, length(normalized_url), normalized_url, id) as first from c where reason is null),
+  t as (select *, row_number() over (partition by scan_id, role, template, status_code // 100 order by had_query, status_code // 100, length(normalized_url), normalized_url, id) as best from d where first = 1),
+  r as (select scan_id, id, raw_url, normalized_url, locale, role, template, reason as verdict from c where reason is not null union all select scan_id, id, raw_url, normalized_url, locale, role, template, 'TRACKING_OR_QUERY_VARIANT' from d where first > 1
+    union all select scan_id, id, raw_url, normalized_url, locale, role, template, case when best = 1 then 'SELECTED' else 'SEMANTIC_TEMPLATE_DUPLICATE' end from t),
+  chosen as (select scan_id, id, raw_url, normalized_url, locale, role, template, case when count(*) over (partition by scan_id) > 1 and row_number() over (partition by scan_id order by raw_url desc, id desc) = 1 then 'BUDGET_LIMITED' else verdict end as verdict from r) """
+
+
+@query(CHOSEN + "select * from chosen")
 def o118_select_design_pages(spark, sf_dir):
     rows = fetches(spark, sf_dir)
     empty = F.array().cast("array<string>")
@@ -189,12 +270,12 @@ def o092_current_view(spark, sf_dir):
 
 
 @query(f"""select page_id, normalized_url, status_code from page_metrics p where (upper(fetch_outcome) = 'SUCCESS' and status_code < 400 or upper(fetch_outcome) = 'SKIPPED') and status_code >= 200 and status_code <= 499
-  and contains(lower(normalized_url), '.example/p/1') and is_indexable and lower(content_type) in ('text/html') and exists (select 1 from findings f where f.owner_id = p.owner_id and f.scan_id = p.scan_id and f.page_id = p.page_id
+  and contains(lower(normalized_url), '.example/p/1') and is_indexable and lower(content_type) in ('text/html', 'application/pdf', 'text/html; charset=utf-8') and exists (select 1 from findings f where f.owner_id = p.owner_id and f.scan_id = p.scan_id and f.page_id = p.page_id
   and upper(severity) in ('ERROR', 'WARNING') and finding_code in ('TITLE_MISSING', 'CLICK', 'VIEW', 'PURCHASE', 'ERROR', 'SIGNUP'))""", shapes=("page_metrics", "findings"))
 def o059_filter_pages(spark, sf_dir):
     out = pages.filter_pages(
         page_metrics(spark, sf_dir), shape(spark, sf_dir, "findings"), outcomes=("SUCCESS", "WARNING"), status_min=200, status_max=499, query=".Example/P/1", indexable=True,
-        content_types=("text/html",), severities=("ERROR", "WARNING"), codes=("TITLE_MISSING", "CLICK", "VIEW", "PURCHASE", "ERROR", "SIGNUP"),
+        content_types=("text/html", "application/pdf", "text/html; charset=utf-8"), severities=("ERROR", "WARNING"), codes=("TITLE_MISSING", "CLICK", "VIEW", "PURCHASE", "ERROR", "SIGNUP"),
     )
     return out.select("page_id", "normalized_url", "status_code")
 
@@ -341,16 +422,16 @@ def o068_expand_frontier(spark, sf_dir):
 
 
 
-GRAPH = "with recursive e as (select distinct 's' as scan_id, l_suppkey as source, l_partkey % 1000 as target from lineitem where l_linenumber <= 2), "
+GRAPH = "with recursive e as (select distinct 's' as scan_id, l_suppkey as source, l_partkey % 1000 as target from lineitem), "
 
 
-@query(GRAPH + """walk as (select 's' as scan_id, cast(1 as bigint) as node, 0 as depth union select e.scan_id, e.target, w.depth + 1 from walk w join e on e.source = w.node where w.depth < 3)
+@query(GRAPH + """walk as (select 's' as scan_id, cast(1 as bigint) as node, 0 as depth union select e.scan_id, e.target, w.depth + 1 from walk w join e on e.source = w.node where w.depth < 10)
   select scan_id, node, min(depth) as depth from walk group by 1, 2""")
 def o069_crawl_depths(spark, sf_dir):
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 2")  # noqa: E741
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
     edges = l.select(F.lit("s").alias("scan_id"), F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 1000).alias("target")).distinct().withColumn("ordinal", F.col("target"))
     seeds = spark.createDataFrame([("s", 1)], "scan_id string, node long")
-    return links.crawl_depths(edges, seeds, 3).select("scan_id", "node", "depth")
+    return links.crawl_depths(edges, seeds, 10).select("scan_id", "node", "depth")
 
 
 @query()
@@ -435,12 +516,24 @@ def o109_archive_files(spark, sf_dir):
     return out.select("job_id", "path", F.lit(1).cast("long").alias("n"), "collision")
 
 
-@query()
+@query(extra=""", o as (select job_id, path, bytes, bytes + 256 + 2 * octet_length(encode(path)) as need, row_number() over (partition by job_id order by file_no, path) as rn from assets),
+  w as (select cast(0 as bigint) as rn, job_id, cast(null as string) as path, 1 as shard, cast(0 as bigint) as filled, cast(0 as bigint) as total, cast(null as string) as problem from (select distinct job_id from assets)
+    union all select rn, job_id, path, case when problem is null and closed then shard + 1 else shard end, cast(case when problem is not null then filled when closed then need else filled + need end as bigint), total, problem
+    from (select o.rn, o.job_id, o.path, o.need, w.shard, w.filled, cast(w.total + o.bytes as bigint) as total, case when o.need > 20000 then 'SITE_FILE_EXCEEDS_SHARD_BUDGET' when w.total + o.bytes > 300000 then 'SITE_ARCHIVE_BUDGET_EXCEEDED' end as problem, w.filled > 0 and w.filled + o.need > 20000 as closed
+      from w join o on o.job_id = w.job_id and o.rn = w.rn + 1))
+  select job_id, path, case when problem is null then shard end as shard, problem from w where rn > 0""", shapes=("assets",))
 def o099_shard_plan(spark, sf_dir):
-    return archive.shard_plan(shape(spark, sf_dir, "assets"), 100_000, 1 << 40)
+    """Shards small enough that files of all kinds are met: those that fit, open a shard, exceed one, or come after the archive is full."""
+    return archive.shard_plan(shape(spark, sf_dir, "assets"), 20_000, 300_000)
 
 
-@query()
+@query(extra=""", o as (select capture_request_id as page_id, url, request_sequence as ordinal, lower(replace(url, 'https://', '')) || case resource_type when 'image' then '.png' when 'stylesheet' then '.css' else '.js' end as local_path, response_bytes as bytes, resource_type,
+    row_number() over (partition by capture_request_id order by request_sequence, url) as rn from network),
+  w as (select cast(0 as bigint) as rn, page_id, cast(null as int) as ordinal, cast(null as string) as url, cast(null as string) as local_path, cast(null as string) as skip, cast([] as string[]) as known, cast(1000 as bigint) as size from (select distinct page_id from o)
+    union all select rn, page_id, ordinal, url, case when skip is null then local_path end, skip, case when skip is null and not list_contains(known, url) then list_append(known, url) else known end, cast(case when skip is null and not list_contains(known, url) then size + bytes else size end as bigint)
+    from (select o.rn, o.page_id, cast(o.ordinal as int) as ordinal, o.url, o.local_path, o.bytes, w.known, w.size, case when list_contains(w.known, o.url) then null when len(w.known) >= 3 then 'FILE_COUNT_BUDGET_EXCEEDED' when w.size + o.bytes > 120000 then 'CLONE_INPUT_BUDGET_EXCEEDED' end as skip
+      from w join o on o.page_id = w.page_id and o.rn = w.rn + 1))
+  select page_id, ordinal, url as source_url, local_path, skip from w where rn > 0""", shapes=("network",))
 def o098_clone_plan(spark, sf_dir):
     n = shape(spark, sf_dir, "network")
     rows = n.select(
@@ -590,8 +683,49 @@ def o090_load_report(spark, sf_dir):
 
 # --- events ----------------------------------------------------------------------------------------------------------
 
+#: Progress events in the order of arrival, and what a scan, clone or capture makes of them, in SQL: state by state.
+ENDED = "('COMPLETED', 'PARTIAL_SUCCESS', 'FAILED', 'CANCELLED')"
+OUTCOMES = {
+    "scan": f"""case when aggregate_version <= version or state in {ENDED} then 'IGNORED_STALE' when status = 'QUEUED' then 'APPLIED' when status = state or status in {ENDED} or state = 'CANCEL_REQUESTED'
+      or state = 'QUEUED' and status = 'RUNNING' or state = 'RUNNING' and status = 'CANCEL_REQUESTED' then 'APPLIED' else 'REJECTED' end""",
+    "clone": f"case when aggregate_version <= version or state in {ENDED} or state = 'CANCEL_REQUESTED' and status not in {ENDED} then 'IGNORED_STALE' else 'APPLIED' end",
+    "capture": f"case when aggregate_version <= version or state in {ENDED} then 'IGNORED_STALE' else 'APPLIED' end",
+}
 
-@query()
+
+def projection_sql(kind: str) -> str:
+    """A scan's QUEUED event only advances the version; a scan that is asked to end goes on, but says so until it ends."""
+    said = "status" if kind != "scan" else f"case when status = 'QUEUED' or state = 'CANCEL_REQUESTED' and status not in {ENDED} then state else status end"
+    ready = f"case when {'status <> ' + repr('QUEUED') + ' and ' if kind == 'scan' else ''} ({said}) in {ENDED} then 'READY' when {'status = ' + repr('QUEUED') if kind == 'scan' else 'false'} then analytics else 'PENDING' end"
+    return f"""walk_{kind} as (select cast(0 as bigint) as rn, aggregate_id, cast(null as string) as message_id, cast(0 as bigint) as aggregate_version, cast(null as string) as outcome, 'QUEUED' as state, cast(0 as bigint) as version, 'PENDING' as analytics from (select distinct aggregate_id from progress)
+      union all select s.rn, s.aggregate_id, s.message_id, s.aggregate_version, s.outcome, case when s.outcome = 'APPLIED' then s.said else s.state end, case when s.outcome = 'APPLIED' then s.aggregate_version else s.version end, case when s.outcome = 'APPLIED' then s.ready else s.analytics end
+      from (select o.rn, o.aggregate_id, o.message_id, cast(o.aggregate_version as bigint) as aggregate_version, w.state, w.version, w.analytics, {OUTCOMES[kind].replace('aggregate_version', 'o.aggregate_version')} as outcome, {said} as said, {ready} as ready
+        from walk_{kind} w join ordered o on o.aggregate_id = w.aggregate_id and o.rn = w.rn + 1) s)"""
+
+
+ORDERED = ", ordered as (select *, row_number() over (partition by aggregate_id order by arrival, message_id) as rn from progress)"
+PROJECTED = "select aggregate_id, message_id, aggregate_version, outcome, state, version as last_version, analytics"
+
+
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as progress of 50 scans, a version each 0.3 s; each fifth state or so is another one."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, turn = F.col("event_id"), F.floor(F.col("event_id") / 50)
+    status = F.when(turn % 7 == 0, "COMPLETED").when(turn % 5 == 0, "CANCEL_REQUESTED").otherwise("RUNNING")
+    return e.select((k % 50).cast("string").alias("scan_id"), k.alias("version"), status.alias("status"), F.timestamp_millis(F.lit(1_700_000_000_000) + k * 6).alias("occurred_at"))
+
+
+#: What of these is sent on, in SQL.
+SENT_SQL = """with recursive e as (select cast(event_id % 50 as string) as scan_id, event_id as version, case when event_id // 50 % 7 = 0 then 'COMPLETED' when event_id // 50 % 5 = 0 then 'CANCEL_REQUESTED' else 'RUNNING' end as status,
+    1700000000000 + event_id * 6 as ms, row_number() over (partition by event_id % 50 order by event_id) as rn from events),
+  w as (select cast(0 as bigint) as rn, scan_id, cast(0 as bigint) as version, cast('' as string) as status, cast(0 as bigint) as ms, false as sent, cast('' as string) as last_status, cast(0 as bigint) as last_ms from (select distinct scan_id from e)
+    union all select rn, scan_id, version, status, ms, sent, case when sent then status else last_status end, case when sent then ms else last_ms end
+    from (select e.rn, e.scan_id, e.version, e.status, e.ms, not (e.status <> 'COMPLETED' and e.ms - w.last_ms < 1000 and e.status = w.last_status) as sent, w.last_status, w.last_ms from w join e on e.scan_id = w.scan_id and e.rn = w.rn + 1))
+  select scan_id, version, status, ms as occurred_ms from w where sent"""
+
+
+
+@query(extra=ORDERED.replace(",", ", ", 1) + ", " + projection_sql("scan") + PROJECTED + " from walk_scan where rn > 0", shapes=("progress",))
 def o111_project_scan_events(spark, sf_dir):
     from webstrata.streaming import events
 
@@ -601,8 +735,7 @@ def o111_project_scan_events(spark, sf_dir):
     return events.project_batch(rows)
 
 
-@query()
+@query(SENT_SQL)
 def o100_sample_progress(spark, sf_dir):
-    e = shape(spark, sf_dir, "outbox")
-    rows = e.select((F.col("id").cast("long") % 50).cast("string").alias("scan_id"), F.col("id").cast("long").alias("version"), F.when(F.col("status") == "DEAD", "COMPLETED").otherwise("RUNNING").alias("status"), F.col("created_at").cast("timestamp").alias("occurred_at"))
-    return workflow.sample_progress(rows)
+    sent = workflow.sample_progress(progress_events(spark, sf_dir))
+    return sent.select("scan_id", "version", "status", F.unix_millis("occurred_at").alias("occurred_ms"))

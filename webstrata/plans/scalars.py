@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import html, rules, urls
 from webstrata.operators import selection
-from webstrata.plans.catalog import fetches, query
+from webstrata.plans.catalog import URL_SQL, fetches, query
 
 ORIGIN = r"^[a-z]+://[^/?#]+"
 STATUS_SQL = "case page_id % 17 when 0 then 404 when 1 then 503 when 2 then 301 else 200 end"
@@ -59,34 +59,34 @@ def o013_is_non_http_ref(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.is_non_http_ref(ref).alias("non_http"))
 
 
-@query()
+@query(URL_SQL + "select page_id, site as canonical_url from w")
 def o014_canonicalize_site(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.canonicalize_site(F.col("url")).alias("canonical_url"))
 
 
-@query()
+@query(URL_SQL + "select page_id, redacted from w")
 def o016_redact_url(spark, sf_dir):
     raw = F.concat("url", F.when(F.col("url").contains("#"), "").otherwise("#f"))
     return pages(spark, sf_dir).select("page_id", urls.redact_url(raw).alias("redacted"))
 
 
-@query()
+@query(URL_SQL + "select page_id, design as design_url from w")
 def o017_normalize_design_url(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.normalize_design_url(F.col("url")).alias("design_url"))
 
 
-@query()
+@query(URL_SQL + "select page_id, route_hash from w")
 def o018_route_hash(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", urls.route_hash(F.col("url")).alias("route_hash"))
 
 
-@query()
+@query(URL_SQL + "select page_id, case when page_id % 2 = 0 or path in ('', '/') or path like '%/' or contains(split_part(path, '/', -1), '.') then local_path else regexp_replace(local_path, '[.]html$', '.css') end as local_path from w")
 def o019_url_to_local_path(spark, sf_dir):
     mime = F.when(F.col("page_id") % 2 == 0, "text/html").otherwise("text/css")
     return pages(spark, sf_dir).select("page_id", urls.url_to_local_path(F.col("url"), mime).alias("local_path"))
 
 
-@query()
+@query(URL_SQL + "select page_id, page_id % 4 <> 0 as path_ok, concat('../../', local_path) as relative from w")
 def o020_archive_paths(spark, sf_dir):
     path = urls.url_to_local_path(F.col("url"), F.lit("text/html"))
     tried = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("../"), path)).otherwise(path)
@@ -136,7 +136,8 @@ def o038_is_external_visual(spark, sf_dir):
 # --- page selection --------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""select page_id, case {STATUS_SQL} when 404 then 'ERROR_4XX' when 503 then 'ERROR_5XX' else 'MARKETING_LANDING' end as role, split_part(url, '/', 4) as locale,
+  case {STATUS_SQL} when 404 then '/{{error-4xx}}' when 503 then '/{{error-5xx}}' else concat('/', split_part(url, '/', 4), '/', case when regexp_matches(url, '^[a-z]+://[^/]+/[a-z]+/[0-9]+([/?#]|$)') then '{{id}}' else lower(regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+/([^/?#]*)', 1)) end) end as template from pages""")
 def o035_route_template(spark, sf_dir):
     url, locale = F.col("url"), F.coalesce(selection.path_locale(F.col("url")), F.lit("und"))
     role = rules.semantic_role(url, F.col("status_code"), F.array().cast("array<string>"))
@@ -144,6 +145,19 @@ def o035_route_template(spark, sf_dir):
     return p.select(F.col("page_no").alias("page_id"), role.alias("role"), locale.alias("locale"), rules.route_template(url, role, locale).alias("template"))
 
 
+@query("select page_id, case page_id % 6 when 0 then split_part(url, '/', 4) when 1 then 'pt-br' when 2 then 'fil' when 3 then 'es-419' when 4 then 'und' else 'vi' end as locale from pages")
+def o036_page_locale(spark, sf_dir):
+    """By path, language of the page, canonical of the same origin, hreflang that names the page itself, or none."""
+    k, origin = F.col("page_id") % 6, F.regexp_extract("url", ORIGIN, 0)
+    own = F.when(k == 0, F.col("url")).otherwise(F.concat(origin, F.lit("/app/"), F.col("page_id").cast("string")))
+    canonical = F.when(k == 2, F.concat(origin, F.lit("/FIL/x"))).when(k == 3, "https://other.example/de/x").when(k == 5, F.concat(origin, F.lit("/en/x"))).otherwise("")
+    entry = lambda language, url: F.struct(F.lit(language).alias("language"), url.alias("url"))
+    hreflang = F.when(k.isin(3, 5), F.array(entry("x-default", own), entry("de", F.concat(origin, F.lit("/y"))), entry("es_419", F.concat(own, F.lit("?q=1"))))).otherwise(F.array().cast("array<struct<language:string,url:string>>"))
+    lang = F.when(k == 1, " PT_br").when(k == 4, "app").when(k == 5, "vi").otherwise("")
+    p = pages(spark, sf_dir).select("page_id", own.alias("url"), F.lit("").alias("final_url"), canonical.alias("canonical_url"), lang.alias("html_lang"), hreflang.alias("hreflang"))
+    return selection.page_locale(selection.design_urls(p)).select("page_id", F.col("page_locale").alias("locale"))
+
+
 CANDIDATES = f"""select page_id as id, split_part(split_part(url, '://', 2), '/', 1) as host, url, url like '%?%' as had_query, page_id % 3 = 0 as self,
   case {STATUS_SQL} when 200 then 0 when 301 then 1 when 404 then 2 else 3 end as status_rank, page_id % 50 as identity, page_id % 4 as role from pages"""
 FIRST = "had_query, not self, status_rank, length(url), url, cast(id as string)"
@@ -176,7 +190,7 @@ def o056_rewrite_references(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.sha2(html.rewrite_references(F.col("html"), F.col("url"), paths), 256).alias("html_sha256"))
 
 
-@query()
+@query(f"""select page_id, concat('@import "assets/base.css"; a {{ background: url("', regexp_extract(url, '{ORIGIN}'), '/css/i.png?k=%5BREDACTED%5D") }}') as css from pages""")
 def o058_rewrite_css(spark, sf_dir):
     origin = F.regexp_extract("url", ORIGIN, 0)
     css = F.concat(F.lit("@import \"/base.css\"; a { background: url('i.png?k="), F.col("page_id").cast("string"), F.lit("') }"))

@@ -84,10 +84,10 @@ SHAPES = {
         case when event_id % 11 = 0 then cast(null as int) when event_id % 7 = 0 then 503 when event_id % 7 = 1 then 302 else 200 end as status,
         case when event_id % 22 = 0 then 'TIMEOUT' when event_id % 11 = 0 then 'RESET' end as error, cast(floor(value * 3) as bigint) as bytes from {events}""",
     "assets": """
-      select cast(doc_id % 7 as string) as job_id, 'RESOURCE' as kind, concat('assets/', cast(doc_id as string), case doc_id % 3 when 0 then '.png' when 1 then '.JPG' else '' end) as path,
+      select cast(cast(floor(doc_id / 250) as bigint) as string) as job_id, 'RESOURCE' as kind, concat('assets/', cast(doc_id as string), case doc_id % 3 when 0 then '.png' when 1 then '.JPG' else '' end) as path,
         case doc_id % 3 when 0 then 'image/png' when 1 then 'image/jpeg' else 'font/woff2; x=1' end as content_type, source as sha256, doc_id as file_no, n_chars as bytes from {documents}""",
     "clone_pages": """
-      select cast(doc_id % 7 as string) as job_id, cast(doc_id as string) as page_id, cast(doc_id as int) as ordinal, concat('https://site.example/', lang, '/', cast(doc_id as string)) as url, concat('pages/', cast(doc_id as string), '.html') as local_path,
+      select cast(cast(floor(doc_id / 250) as bigint) as string) as job_id, cast(doc_id as string) as page_id, cast(doc_id as int) as ordinal, concat('https://site.example/', lang, '/', cast(doc_id as string)) as url, concat('pages/', cast(doc_id as string), '.html') as local_path,
         case doc_id % 6 when 0 then 'FAILED' when 1 then 'QUEUED' when 2 then 'RUNNING' when 3 then 'CANCELLED' else 'SUCCEEDED' end as status,
         case doc_id % 6 when 0 then 'TIMEOUT' when 3 then 'CANCELLED' end as reason, n_chars as input_bytes,
         case when doc_id % 10 = 0 then cast(null as string) else lang end as semantic_role, source as route_template, case when doc_id % 8 = 0 then cast(null as string) else concat('f', cast(doc_id % 3 as string)) end as layout_fingerprint,
@@ -126,7 +126,7 @@ def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_shapes(*names: str) -> str:
     """The shapes as common table expressions, for DuckDB."""
-    return "with " + ", ".join(f"{n} as ({SHAPES[n].format(**{t: t for t in tables_of(n)})})" for n in names) + " "
+    return "with recursive " + ", ".join(f"{n} as ({SHAPES[n].format(**{t: t for t in tables_of(n)})})" for n in names) + " "
 
 
 def page_metrics(spark: SparkSession, sf_dir: str, name: str = "page_metrics") -> DataFrame:

@@ -106,15 +106,14 @@ def o111_project_scan_events_stream(spark, sf_dir):
 @query()
 def o112_sample_progress_stream(spark, sf_dir):
     path = f"{shared(spark)}/sample-{uuid.uuid4().hex}"
-    e = shape(spark, sf_dir, "outbox")
-    rows = e.select((F.col("id").cast("long") % 50).cast("string").alias("scan_id"), F.col("id").cast("long").alias("version"), F.when(F.col("status") == "DEAD", "COMPLETED").otherwise("RUNNING").alias("status"), F.col("created_at").cast("timestamp").alias("occurred_at"))
+    rows = catalog.progress_events(spark, sf_dir)
     rows.write.parquet(f"{path}/in")
     out = events.sample_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
     out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
-@query()
+@query(extra=catalog.ORDERED + ", " + catalog.projection_sql("clone") + ", " + catalog.projection_sql("capture") + catalog.PROJECTED + ", 'clone' as kind from walk_clone where rn > 0 union all " + catalog.PROJECTED + ", 'capture' as kind from walk_capture where rn > 0", shapes=("progress",))
 def o113_project_clone_events(spark, sf_dir):
     rows = shape(spark, sf_dir, "progress")
     rows = rows.withColumns({c: F.col(c).cast("long") for c in (*events.COUNTERS, "aggregate_version")}).withColumn("occurred_at", F.timestamp_seconds(F.col("aggregate_version")))
@@ -122,6 +121,28 @@ def o113_project_clone_events(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+@query(catalog.CLASSES + f"""select {catalog.PAGE_UUID} as page_id, status_code, cast(octet_length(encode(html)) as bigint) as body_bytes, cut as body_truncated, error as error_code, cast(case when page_no % 13 = 0 then 2 else 0 end as int) as hops, true as no_timing from p""")
+def o001_read_fetches(spark, sf_dir):
+    """Stored responses read back with the reader's schema; what the files lack is null."""
+    path = f"{shared(spark)}/fetches-{uuid.uuid4().hex}"
+    catalog.fetches(spark, sf_dir).drop("page_no").write.parquet(path)
+    rows = fetches.read_fetches(spark, path)
+    return rows.select("page_id", "status_code", F.octet_length("body").cast("long").alias("body_bytes"), "body_truncated", "error_code", F.size("redirects").alias("hops"), (F.col("ttfb_ms").isNull() & F.col("accepted_at").isNull()).alias("no_timing"))
+
+
+@query("""select date_trunc('month', observed_at)::date as retention_month, owner_id, count(*) as rows, min(page_id) as first_page from page_metrics group by 1, 2""", shapes=("page_metrics",))
+def o006_write_partitioned(spark, sf_dir):
+    """Facts written by month in two goes, the second replacing the months that it has, and read back."""
+    path = f"{shared(spark)}/months-{uuid.uuid4().hex}"
+    rows = page_metrics(spark, sf_dir).withColumn("retention_month", F.trunc("observed_at", "month")).select("owner_id", "scan_id", "page_id", "retention_month")
+    fetches.write_partitioned(rows, path, fetches.LOGICAL_KEYS["page_metrics"])
+    last = rows.agg(F.max("retention_month").alias("last"))
+    again = rows.join(F.broadcast(last), F.col("retention_month") == F.col("last")).drop("last")  # one row
+    fetches.write_partitioned(again, path, fetches.LOGICAL_KEYS["page_metrics"], mode="overwrite")
+    read = spark.read.parquet(path)
+    return read.groupBy(F.col("retention_month").cast("date").alias("retention_month"), "owner_id").agg(F.count(F.lit(1)).alias("rows"), F.min("page_id").alias("first_page"))
+
+
 def capture_payloads(spark, sf_dir):
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
     row = F.struct(F.col("l_linenumber").alias("request_sequence"), F.concat(F.lit("https://cdn/"), F.col("l_partkey").cast("string")).alias("url"))
@@ -140,7 +161,7 @@ def o005_explode_capture_results(spark, sf_dir):
     return rendered.join(receipts, ["owner_id", "capture_request_id", "batch_id"]).select("capture_request_id", "lcp_value", "cls_status", *long("network_rows", "resource_rows"))
 
 
-@query("""select cast(doc_id % 7 as string) as job_id, count(*) as file_count, min(doc_id) as first_no from documents group by 1""")
+@query("""select cast(cast(floor(doc_id / 250) as bigint) as string) as job_id, count(*) as file_count, min(doc_id) as first_no from documents group by 1""")
 def o007_manifest(spark, sf_dir):
     m = fetches.manifest(shape(spark, sf_dir, "assets").select("job_id", "path", "file_no"), "job_id")
     read = F.from_json("value", "file_count bigint, files array<struct<file_no:bigint,path:string>>")
@@ -190,7 +211,7 @@ def o037_layout_hint(spark, sf_dir):
     return d.select("doc_id", tag.alias("tag"), hint.alias("hint"))
 
 
-@query()
+@query(f"select event_id, {catalog.uuid5_sql("'6ba7b810-9dad-11d1-80b4-00c04fd430c8'", 'event_type')} as uuid from events")
 def o024_uuid5(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", rules.uuid5(F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8"), F.col("event_type")).alias("uuid"))
 
@@ -224,7 +245,10 @@ def o088_report_freshness(spark, sf_dir):
     return pages.report_freshness(e).select("owner_id", "scan_id", "expected", "published", "is_fresh")
 
 
-@query()
+@query(catalog.CHOSEN.rstrip() + """, h as (select scan_id, count(*) filter (verdict = 'SELECTED') > 0 as found from chosen group by 1)
+  select c.scan_id, c.id as page_id, cast(row_number() over (partition by c.scan_id order by c.verdict <> 'SELECTED', c.raw_url, c.id) - 1 as int) as ordinal, c.normalized_url as url, concat(case when c.verdict = 'SELECTED' then 'pages/' else 'rejected/' end, c.id, '.html') as local_path,
+    case when c.verdict = 'SELECTED' then 'QUEUED' else 'CANCELLED' end as status, case when c.verdict <> 'SELECTED' then c.verdict end as reason from chosen c join h on h.scan_id = c.scan_id where h.found
+  union all select scan_id, concat('job-', scan_id), 0, concat('https://', scan_id, '/'), 'index.html', 'QUEUED', null from h where not found""")
 def o106_clone_targets(spark, sf_dir):
     chosen = catalog.queries()["o118_select_design_pages"](spark, sf_dir)
     scans = chosen.select("scan_id").distinct()
@@ -252,11 +276,15 @@ def o119_plan_site_archive(spark, sf_dir):
     return plan["files"].select("job_id", "path", "sha256", "bytes", "shard", "collision")
 
 
-@query()
+@query(extra=""" select job_id, path, min(path) over (partition by job_id, own) as canonical_path from (select *, case when file_no % 6 < 4 then cast(file_no % 6 as string)
+  when file_no >= 4 and floor((file_no - 4) / 250) = floor(file_no / 250) then concat('imports ', file_no % 6) else concat('alone ', path) end as own from assets)""", shapes=("assets",))
 def o108_css_alias_closure(spark, sf_dir):
-    files = shape(spark, sf_dir, "assets")
+    """Four kinds of stylesheets that become one each, and two that import one of the first two; imports of another job's stay alone."""
+    files, k = shape(spark, sf_dir, "assets"), F.col("file_no")
     source = F.concat(F.lit("https://site.example/"), "path")
-    css = files.select("job_id", "path", source.alias("source_url"), F.concat(F.lit("a{b:url(x"), (F.col("file_no") % 6).cast("string"), F.lit(".png)}")).alias("body"))
+    other = F.concat(F.lit("../assets/"), (k - 4).cast("string"), F.when((k - 4) % 3 == 0, ".png").when((k - 4) % 3 == 1, ".JPG").otherwise(""))
+    body = F.when(k % 6 < 4, F.concat(F.lit("a{b:url(x"), (k % 6).cast("string"), F.lit(".png)}"))).otherwise(F.concat(F.lit('@import "'), other, F.lit('";'), F.lit("/* "), (k % 6).cast("string"), F.lit(" */")))
+    css = files.select("job_id", "path", source.alias("source_url"), body.alias("body"))
     out = archive.css_alias_closure(css, files.select("job_id", source.alias("url"), "path"))
     return out.select("job_id", "path", "canonical_path")
 
