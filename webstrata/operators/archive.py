@@ -64,7 +64,7 @@ def clone_plan(resources: DataFrame, most_files: int = MOST_FILES, most_bytes: i
     def step(p: PagePlan, r: dict) -> tuple:
         return r["page_id"], r["ordinal"], r["source_url"], *choose(p, r)
 
-    return fold(resources, ["page_id"], ["ordinal", "source_url"], start, step, "page_id string, ordinal int, source_url string, local_path string, skip string")
+    return fold(resources, ["page_id"], ["ordinal", "source_url", "body_bytes"], start, step, "page_id string, ordinal int, source_url string, local_path string, skip string")
 
 
 def free_path(path: str, used: set[str]) -> str:

@@ -528,7 +528,7 @@ def o099_shard_plan(spark, sf_dir):
 
 
 @query(extra=""", o as (select capture_request_id as page_id, url, request_sequence as ordinal, lower(replace(url, 'https://', '')) || case resource_type when 'image' then '.png' when 'stylesheet' then '.css' else '.js' end as local_path, response_bytes as bytes, resource_type,
-    row_number() over (partition by capture_request_id order by request_sequence, url) as rn from network),
+    row_number() over (partition by capture_request_id order by request_sequence, url, response_bytes) as rn from network),
   w as (select cast(0 as bigint) as rn, page_id, cast(null as int) as ordinal, cast(null as string) as url, cast(null as string) as local_path, cast(null as string) as skip, cast([] as string[]) as known, cast(1000 as bigint) as size from (select distinct page_id from o)
     union all select rn, page_id, ordinal, url, case when skip is null then local_path end, skip, case when skip is null and not list_contains(known, url) then list_append(known, url) else known end, cast(case when skip is null and not list_contains(known, url) then size + bytes else size end as bigint)
     from (select o.rn, o.page_id, cast(o.ordinal as int) as ordinal, o.url, o.local_path, o.bytes, w.known, w.size, case when list_contains(w.known, o.url) then null when len(w.known) >= 3 then 'FILE_COUNT_BUDGET_EXCEEDED' when w.size + o.bytes > 120000 then 'CLONE_INPUT_BUDGET_EXCEEDED' end as skip

@@ -103,14 +103,14 @@ def o111_project_scan_events_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
-@query()
+@query(catalog.SENT_SQL)
 def o112_sample_progress_stream(spark, sf_dir):
     path = f"{shared(spark)}/sample-{uuid.uuid4().hex}"
     rows = catalog.progress_events(spark, sf_dir)
     rows.write.parquet(f"{path}/in")
     out = events.sample_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
     out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return spark.read.parquet(f"{path}/out").select("scan_id", "version", "status", F.unix_millis("occurred_at").alias("occurred_ms"))
 
 
 @query(extra=catalog.ORDERED + ", " + catalog.projection_sql("clone") + ", " + catalog.projection_sql("capture") + catalog.PROJECTED + ", 'clone' as kind from walk_clone where rn > 0 union all " + catalog.PROJECTED + ", 'capture' as kind from walk_capture where rn > 0", shapes=("progress",))
