@@ -63,13 +63,15 @@ def brute(rows):
         at = {min(range(i, i + 4), key=lambda k: grams[k]) for i in range(len(grams) - 3)} | ({0, len(grams) - 1} if grams else set())
         return {k: tuple(words[k : k + RUN]) for k in at}, len(words)
 
-    runs, whole = {}, {}
+    runs, whole, short = {}, {}, {}
     for h, pages in kinds.items():
         for c in pages.values():
             for r in set(picks(h, c)[0].values()):
                 runs[h, r] = runs.get((h, r), 0) + 1
             for t in {t for t, z in c if z >= H.INNER}:
                 whole[h, t] = whole.get((h, t), 0) + 1
+            for t in {t for t, z in c if z < H.INNER and 4 <= len(t.split(" ")) < RUN}:
+                short[h, t] = short.get((h, t), 0) + 1
     out = []
     for h, c in cut:
         found, n = picks(h, c)
@@ -80,7 +82,7 @@ def brute(rows):
                 ok = not (whole[h, t] >= 20 and whole[h, t] >= np.ceil(0.9 * len(kinds[h])))
             else:
                 size = len(t.split(" "))
-                ok = len(hit & set(range(at, at + size))) / size < COVER
+                ok = len(hit & set(range(at, at + size))) / size < COVER and short.get((h, t), 0) < 3
                 at += size
             kept += [t] if ok else []
         out.append("\n".join(kept))
