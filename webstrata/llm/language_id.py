@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm.common import map_batches, with_text
+from webstrata.sources.tables import spread
 
 DIMS = 1 << 12
 NGRAMS = (1, 2, 3)
@@ -179,7 +180,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "rejected"],
             )
 
-    return map_batches(with_text(docs, "doc_id"), run, SCHEMA)
+    return map_batches(spread(with_text(docs, "doc_id")), run, SCHEMA)
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
@@ -199,4 +200,4 @@ def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
                 keep += [not r for _, _, r in shared.value.predict(texts[at : at + 64])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(docs.select(*names), run, docs.schema)
+    return map_batches(spread(docs.select(*names)), run, docs.schema)

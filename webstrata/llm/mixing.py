@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from webstrata.llm import wordhash as W
 from webstrata.llm.common import map_batches, materialize, utf8, with_text
+from webstrata.sources.tables import spread
 
 EPOCHS = 3
 #: The golden ratio's fractional part times 2^32, and the range of the sequence.
@@ -48,7 +49,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["doc_id", "source", "size", "text_hash"])
 
     rows = with_text(docs, "doc_id", "source").withColumn("text_hash", F.xxhash64("text"))
-    return map_batches(rows, run, "doc_id long, source string, size long, text_hash long")
+    return map_batches(spread(rows), run, "doc_id long, source string, size long, text_hash long")
 
 
 def targets(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:

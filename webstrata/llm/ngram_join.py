@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 from webstrata.llm import wordhash as W
 from webstrata.llm.common import free_name, map_batches, materialize, utf8, with_text
 from webstrata.llm.components import components
+from webstrata.sources.tables import spread
 
 #: A link: 100 * intersection >= 75 * union.
 PERCENT = 75
@@ -120,7 +121,7 @@ def sets_and_counts(docs: DataFrame) -> DataFrame:
         if waiting:
             yield tokens()
 
-    return map_batches(with_text(docs, "doc_id"), run, "kind int, a long, b long, n long, bits binary")
+    return map_batches(spread(with_text(docs, "doc_id")), run, "kind int, a long, b long, n long, bits binary")
 
 
 def frequent_tokens(counts: DataFrame) -> np.ndarray:
@@ -197,7 +198,7 @@ def index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     ids = np.repeat(np.array(list(sets), np.int64), [len(x) for x in sigs])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(ids)], names=["sig", "set_id"])
 
-    return map_batches(with_text(docs), run, "sig long, set_id long")
+    return map_batches(spread(with_text(docs)), run, "sig long, set_id long")
 
 
 PAIR, MEMBER = 0, 1

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webstrata.llm.common import map_batches, materialize, with_text
+from webstrata.sources.tables import spread
 
 WINDOW = 2048
 END_ID = 1
@@ -60,7 +61,7 @@ def tokenise(docs: DataFrame, window: int = WINDOW, ranks_path: str | None = Non
             columns = zip(*rows, strict=True) if rows else ([] for _ in range(5))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return map_batches(with_text(docs, "doc_id"), run, PIECES)
+    return map_batches(spread(with_text(docs, "doc_id")), run, PIECES)
 
 
 def combinations(lengths: np.ndarray, window: int, slack: int, most: int) -> list[tuple[int, ...]]:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from webstrata.llm import wordhash as W
 from webstrata.llm.common import map_batches, utf8, with_text
+from webstrata.sources.tables import spread
 
 #: n of the word n-grams, and the share of characters in repeated ones beyond which a text is rejected; the same for
 #: lines: the limits published with the MassiveText corpus (Rae et al. 2021, appendix A).
@@ -118,4 +119,4 @@ def quality(docs: DataFrame) -> DataFrame:
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return map_batches(with_text(docs, "doc_id"), run, SCHEMA)
+    return map_batches(spread(with_text(docs, "doc_id")), run, SCHEMA)
