@@ -250,6 +250,8 @@ LANGUAGES = (
     "na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts "
     "tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu fil haw yue ceb ckb hmn"
 ).split()
+#: One pattern: a list of literals is built and analysed anew for each use.
+LOCALE = rf"^(?:{'|'.join(LANGUAGES)})(?:-[a-z]{{2}}|-[0-9]{{3}})?$"
 
 
 def one_of(names: tuple[str, ...]):
@@ -262,8 +264,7 @@ def path_segments(url: Column) -> Column:
 
 
 def is_locale(c: Column) -> Column:
-    low = F.lower(c)
-    return flag(low.rlike(r"^[a-z]{2,3}(-[a-z]{2}|-[0-9]{3})?$") & F.substring_index(low, "-", 1).isin(*LANGUAGES))
+    return flag(F.lower(c).rlike(LOCALE))
 
 
 def semantic_role(url: Column, status: Column, h1: Column) -> Column:
