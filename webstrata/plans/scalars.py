@@ -184,6 +184,53 @@ def o095_template_winners(spark, sf_dir):
 # --- references ------------------------------------------------------------------------------------------------------
 
 
+def planted(spark: SparkSession, sf_dir: str, what: Column) -> DataFrame:
+    """The pages with more at the start of their bodies."""
+    return pages(spark, sf_dir).withColumn("html", F.replace(F.coalesce("html", F.lit("<body></body>")), F.lit("<body>"), F.concat(F.lit("<body>"), what)))
+
+
+def found(html_: Column, pattern: str) -> Column:
+    """All first groups of a pattern, one after the other."""
+    return F.array_join(F.regexp_extract_all(html_, F.lit(pattern), F.lit(1)), " ")
+
+
+@query(f"""select page_id, concat('assets/x.html', regexp_extract(url, '#.*$'), ' ', regexp_extract(url, '{ORIGIN}'), '/i.png?k=%5BREDACTED%5D data:,x') as sources, concat('assets/x.html', regexp_extract(url, '#.*$'), ' 1x, ', regexp_extract(url, '{ORIGIN}'), '/j.png 2x') as sets,
+  '' as typed, len(regexp_extract_all(html, '<a href=')) as links from pages""")
+def o056_rewritten_references(spark, sf_dir):
+    """References of planted images: to an archived file, to another, and none; what a visitor typed is gone, links stay."""
+    n = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<img src="'), "url", F.lit('"><img src="/i.png?k='), n, F.lit('#f"><img src="data:,x"><img srcset="'), "url", F.lit(' 1x, /j.png 2x"><input value="'), n, F.lit('"><textarea>'), n, F.lit("</textarea>"))
+    out = html.rewrite_references(F.col("html"), F.col("url"), F.create_map("url", F.lit("assets/x.html")))
+    p = planted(spark, sf_dir, more).select("page_id", out.alias("html"))
+    typed = F.concat(found(F.col("html"), '<input value="([^"]*)"'), found(F.col("html"), "<textarea>([^<]*)<"))
+    links = F.size(F.regexp_extract_all("html", F.lit("<a (href)="), F.lit(1))).cast("long")
+    return p.select("page_id", found(F.col("html"), '<img src="([^"]*)"').alias("sources"), found(F.col("html"), '<img srcset="([^"]*)"').alias("sets"), typed.alias("typed"), links.alias("links"))
+
+
+@query(f"""select page_id, concat(case when page_id % 3 = 0 then 'index.html#a' else concat(regexp_extract(url, '{ORIGIN}'), '/other?q=%5BREDACTED%5D#a') end, ' mailto:x') as links from pages""")
+def o055_rewritten_navigation(spark, sf_dir):
+    """Links of planted anchors: to an archived page or to another one, with their fragments, and one that stays as it is."""
+    target = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "#.*$", "")).otherwise("/other?q=1")
+    more = F.concat(F.lit('<a class="x" href="'), target, F.lit('#a"></a><a class="x" href="mailto:x"></a>'))
+    routes = F.create_map(urls.route_hash(F.col("url")), F.lit("pages/index.html"))
+    p = planted(spark, sf_dir, more).select("page_id", html.rewrite_navigation(F.col("html"), F.col("url"), F.lit("pages/x.html"), routes).alias("html"))
+    return p.select("page_id", found(F.col("html"), '<a class="x" href="([^"]*)"').alias("links"))
+
+
+@query("""select page_id, concat('application/x-inert-script', repeat(' application/ld+json', page_id % 3)) as types, 1 as policies, 0 as handlers, case when page_id % 2 = 0 then 'stylesheet' else '' end as rels from pages""")
+def o057_neutralized(spark, sf_dir):
+    """Scripts are inert but for JSON, event handlers, refreshes and script preloads are gone, one policy is there."""
+    k = F.col("page_id")
+    json_ = F.array_join(F.transform(F.sequence(F.lit(0), k % 3), lambda i: F.when(i > 0, '<script type="application/ld+json">{}</script>').otherwise("")), "")
+    link = F.when(k % 2 == 0, '<link rel="stylesheet" href="/a.css">').otherwise('<link rel="preload" as="script" href="/a.js">')
+    more = F.concat(json_, F.lit('<p onclick="x()">a</p><meta http-equiv="refresh" content="1">'), link)
+    p = planted(spark, sf_dir, more).select("page_id", html.neutralize_html(F.col("html")).alias("html"))
+    count = lambda pattern: F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).cast("int")
+    return p.select(
+        "page_id", found(F.col("html"), '<script type="([^"]*)"').alias("types"), count('http-equiv="(Content-Security-Policy|refresh)"').alias("policies"), count("<[^>]* (onclick)=").alias("handlers"), found(F.col("html"), '<link rel="([^"]*)"').alias("rels")
+    )
+
+
 @query()
 def o056_rewrite_references(spark, sf_dir):
     paths = F.create_map("url", F.lit("assets/x.html"))
