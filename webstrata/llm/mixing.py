@@ -201,7 +201,8 @@ def with_rows(docs: DataFrame, placed: DataFrame, plan: DataFrame) -> tuple[Data
         rows, text = rows.withColumn("copy", F.row_number().over(same.orderBy("pos"))), text.withColumn("copy", F.row_number().over(same.orderBy(F.lit(1))))
         on = [*on, "copy"]
     wanted = materialize(rows.select(*on, "pos", "size").join(plan, ["key", "pos"]), "wanted")
-    return join_small(text, wanted, on), own
+    # by merge at any size: what is moved is in proportion to the texts
+    return text.join(wanted.hint("merge"), on), own
 
 
 def first_words(text: Column, start: Column, words: Column) -> Column:
