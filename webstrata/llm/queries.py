@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm import chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality_rules, url_filter, warc
+from webstrata.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality_rules, url_filter, warc
 from webstrata.llm.common import shared_dir
 
 
@@ -63,9 +63,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("payload_bytes").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_language_id, op3_chat_format, op4_url_filter, op5_exact_dedup,
-        op6_packing, op7_quality_rules, op8_html_extraction, op9_source_mixing, op10_warc,
+        op6_packing, op7_quality_rules, op8_html_extraction, op9_source_mixing, op10_warc, op12_byte_bpe,
     )
     return {f.__name__: f for f in found}
