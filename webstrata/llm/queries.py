@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality_rules, url_filter, warc
+from webstrata.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, lexical_search, mixing, ngram_join, packing, quality_rules, url_filter, warc
 from webstrata.llm.common import shared_dir
 
 
@@ -69,9 +69,13 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_language_id, op3_chat_format, op4_url_filter, op5_exact_dedup,
-        op6_packing, op7_quality_rules, op8_html_extraction, op9_source_mixing, op10_warc, op12_byte_bpe,
+        op6_packing, op7_quality_rules, op8_html_extraction, op9_source_mixing, op10_warc, op12_byte_bpe, op13_lexical_search,
     )
     return {f.__name__: f for f in found}

@@ -31,5 +31,17 @@ with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '{WHITE}', '
 select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size, doc_id = min(doc_id) over (partition by h) as kept, h as text_sha256 from d"""
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') as t from documents),
+  stats as (select count(*) filter (len(t) > 0) as n_docs, sum(len(t))::bigint as n_terms from d),
+  q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) as term from benchmark) group by 1, 2),
+  tfs as (select r, term, count(*) as tf from (select r, unnest(t) as term from d) where term in (select term from q) group by 1, 2),
+  weights as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tfs, stats group by term, n_docs),
+  scores as (select item_id, d.r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(t) * n_docs) // n_terms))))::bigint as score
+    from q join tfs using (term) join weights using (term) join d using (r), stats group by 1, 2, 3)
+select item_id, rank::integer as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0) where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_chat_format": OP3, "op5_exact_dedup": OP5}
+    return {"op1_ngram_jaccard_join": OP1, "op3_chat_format": OP3, "op5_exact_dedup": OP5, "op13_lexical_search": OP13}
