@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm import byte_bpe, chat_format, exact_dedup, html_text, language_id, lexical_search, mixing, ngram_join, packing, quality_rules, url_filter, warc
+from webstrata.llm import byte_bpe, chat_format, collocations, exact_dedup, html_text, language_id, lexical_search, mixing, ngram_join, packing, quality_rules, url_filter, warc
 from webstrata.llm.common import shared_dir
 
 
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("payload_bytes").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -76,6 +80,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_language_id, op3_chat_format, op4_url_filter, op5_exact_dedup,
-        op6_packing, op7_quality_rules, op8_html_extraction, op9_source_mixing, op10_warc, op12_byte_bpe, op13_lexical_search,
+        op6_packing, op7_quality_rules, op8_html_extraction, op9_source_mixing, op10_warc,
+        op11_collocations, op12_byte_bpe, op13_lexical_search,
     )
     return {f.__name__: f for f in found}

@@ -31,6 +31,24 @@ with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '{WHITE}', '
 select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size, doc_id = min(doc_id) over (partition by h) as kept, h as text_sha256 from d"""
 
 
+OP11 = rf"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+  words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+  lengths as (select unnest([1, 2, 3, 4, 5]) as k),
+  grams as (select lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as phrase from words, lengths where len(w) >= k),
+  counts as (select lang, k, phrase, count(*) as f from grams group by 1, 2, 3),
+  totals as (select lang, sum(f)::bigint as n from counts where k = 1 group by 1),
+  found as (select lang, phrase, k, f, string_split(phrase, ' ') as w from counts where k > 1 and f >= 100),
+  cuts as (select lang, phrase, k, f, w, unnest(range(1, k)) as c from found),
+  scored as (select x.lang, x.phrase, x.f as a, p.f as l, q.f as r, n, c, (1000::hugeint * x.f * n) // (p.f::hugeint * q.f) as score
+    from cuts x join totals using (lang) join counts p on p.lang = x.lang and p.k = c and p.phrase = array_to_string(w[1:c], ' ')
+    join counts q on q.lang = x.lang and q.k = x.k - c and q.phrase = array_to_string(w[c + 1:], ' ')),
+  least as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+  spans as (select lang, f, k, w, unnest(range(2, k)) as m from found),
+  inside as (select lang, array_to_string(w[s:s + m - 1], ' ') as phrase, max(f) as within from (select lang, f, w, m, unnest(range(1, k - m + 2)) as s from spans) group by 1, 2),
+  kept as (select least.* from least left join inside using (lang, phrase) where within is null or 100 * within < 100 * a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000"""
+
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OP13 = f"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') as t from documents),
@@ -44,4 +62,4 @@ select item_id, rank::integer as rank, doc_id, score from (select *, row_number(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_chat_format": OP3, "op5_exact_dedup": OP5, "op13_lexical_search": OP13}
+    return {"op1_ngram_jaccard_join": OP1, "op3_chat_format": OP3, "op5_exact_dedup": OP5, "op11_collocations": OP11, "op13_lexical_search": OP13}
