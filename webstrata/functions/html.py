@@ -1,9 +1,4 @@
-"""HTML helpers: one tree per page, from which all facts are read.
-
-The tree builder stands on the standard library's tokenizer. It closes void
-elements, ends p, li, td, tr, option and the like where HTML implies it, and takes
-script, style, noscript, title and textarea as raw text.
-"""
+"""Facts of HTML pages: one tree per page (``tree.py``), from which all facts are read."""
 
 from __future__ import annotations
 
@@ -11,8 +6,6 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
-from html import escape
-from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -23,199 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from webstrata.functions import urls
+from webstrata.functions.tree import Node, parse, serialize
 from webstrata.sources.tables import spread
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset("script style noscript title textarea iframe xmp noembed noframes".split())
-HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
-#: Open elements that a start tag ends: fixed values.
-ENDS = {
-    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
-    "option": ("option",), "optgroup": ("option", "optgroup"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
-}
-FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "optgroup": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-ENDS_P = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
-)
 WORDS = re.compile(r"[^\W_]+")
-SPACE = " \t\n\r\f\v"
-
-
-class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
-
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
-        self.tag, self.attrs, self.parent = tag, attrs or {}, parent
-        self.children: list[Node | str] = []
-
-    def get(self, name: str) -> str:
-        return self.attrs.get(name, "")
-
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-
-    def text(self, skip: Callable[[Node], bool] = lambda n: False) -> str:
-        out: list[str] = []
-        stack: list[Node | str] = [self]
-        while stack:
-            item = stack.pop()
-            if isinstance(item, str):
-                out.append(item)
-            elif not skip(item) or item is self:
-                stack.extend(reversed(item.children))
-        return "".join(out)
-
-    def find(self, *tags: str) -> list[Node]:
-        return [n for n in self.walk() if n.tag in tags]
-
-
-class _Builder(HTMLParser):
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#document")
-        self.html: Node | None = None
-        self.body: Node | None = None
-        self.head: Node | None = None
-        self.stack = [self.root]
-        self.raw: Node | None = None
-        self.doctype = ""
-
-    def ensure(self, part: str) -> None:
-        if self.html is None:
-            self.html = Node("html", parent=self.root)
-            self.root.children.append(self.html)
-            self.stack = [self.root, self.html]
-        if part != "html" and self.head is None:
-            self.head = Node("head", parent=self.html)
-            self.html.children.append(self.head)
-            if part == "head":
-                self.stack = [self.root, self.html, self.head]
-        if part == "body" and self.body is None:
-            self.body = Node("body", parent=self.html)
-            self.html.children.append(self.body)
-            self.stack = [self.root, self.html, self.body]
-
-    def place(self, tag: str) -> None:
-        """Head elements stay in the head until the body has begun."""
-        if self.body is None:
-            if tag in HEAD_ONLY:
-                self.ensure("head")
-                if self.stack[-1] is not self.head and self.head not in self.stack:
-                    self.stack = [self.root, self.html, self.head]
-            else:
-                self.ensure("body")
-
-    def handle_decl(self, decl: str) -> None:
-        self.doctype = self.doctype or decl
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.raw is not None:
-            self.raw.children.append(self.get_starttag_text() or "")
-            return
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            values.setdefault(name.lower(), value or "")
-        if tag in ("html", "head", "body"):
-            self.ensure(tag)
-            node = {"html": self.html, "head": self.head, "body": self.body}[tag]
-            for name, value in values.items():
-                node.attrs.setdefault(name, value)
-            return
-        self.place(tag)
-        if tag in ENDS_P:
-            self.close_to("p", ("button", "table", "td", "th"))
-        for name in ENDS.get(tag, ()):
-            self.close_to(name, FENCES[tag])
-        node = Node(tag, values, self.stack[-1])
-        self.stack[-1].children.append(node)
-        if tag in VOID:
-            return
-        self.stack.append(node)
-        if tag in RAW_TEXT:
-            self.raw = node
-
-    def close_to(self, name: str, fences: Iterable[str]) -> None:
-        for k in range(len(self.stack) - 1, 1, -1):
-            if self.stack[k].tag == name:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in fences:
-                return
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.raw is not None:
-            if tag == self.raw.tag:
-                self.raw = None
-                self.stack.pop()
-            else:
-                self.raw.children.append(f"</{tag}>")
-            return
-        if tag in ("html", "body"):
-            return
-        if tag == "head":
-            if self.head in self.stack:
-                self.stack = [self.root, self.html]
-            return
-        if tag == "p" and self.body is not None and not any(n.tag == "p" for n in self.stack):
-            self.handle_starttag("p", [])
-        for k in range(len(self.stack) - 1, 1, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        if self.raw is None and self.body is None:
-            if not data.strip(SPACE):
-                return
-            self.ensure("body")
-        parent = self.raw or self.stack[-1]
-        if parent.tag in ("#document", "html"):
-            if not data.strip(SPACE):
-                return
-            parent = self.body or parent
-        parent.children.append(data)
-
-
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    builder.raw = None
-    builder.ensure("body")
-    if builder.doctype:
-        builder.root.attrs["doctype"] = builder.doctype
-    return builder.root
-
-
-def serialize(node: Node) -> str:
-    out: list[str] = []
-
-    def write(n: Node | str, raw: bool) -> None:
-        if isinstance(n, str):
-            out.append(n if raw else escape(n, quote=False))
-            return
-        if n.tag != "#document":
-            out.append("<" + n.tag + "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items()) + ">")
-        elif "doctype" in n.attrs:
-            out.append(f"<!{n.attrs['doctype']}>")
-        for child in n.children:
-            write(child, n.tag in ("script", "style", "noscript", "iframe", "xmp", "noembed", "noframes"))
-        if n.tag not in VOID and n.tag != "#document":
-            out.append(f"</{n.tag}>")
-
-    write(node, False)
-    return "".join(out)
-
-
 # --- facts -----------------------------------------------------------------------------------------------------------
 
 #: Bounds in UTF-8 bytes and in items: fixed values.
