@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from webstrata.operators import order
 from webstrata.sources.tables import written
 
 
@@ -49,9 +49,9 @@ def expand_frontier(pages: DataFrame, links: DataFrame, known: DataFrame, limits
     new = first.join(known.select("scan_id", "url"), ["scan_id", "url"], "left_anti")
     have = known.groupBy("scan_id").agg(F.count(F.lit(1)).alias("have"))
     new = new.join(have, "scan_id", "left")
-    place = Window.partitionBy("scan_id").orderBy("url")  # a scan has 10^6 URLs at most by its own limit
-    kept = new.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("max_pages") - F.coalesce("have", F.lit(0)))
-    return kept.select("scan_id", "url", "depth", F.col("first.source_page_id").alias("parent_page_id"), F.col("place").alias("ordinal"))
+    room = F.col("max_pages") - F.coalesce("have", F.lit(0))
+    kept = order.first_of_each(new, ["scan_id"], ["url"], room)
+    return kept.select("scan_id", "url", "depth", F.col("first.source_page_id").alias("parent_page_id"), F.col("rank").alias("ordinal"))
 
 
 def crawl_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:

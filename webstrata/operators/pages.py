@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webstrata.functions import rules
+from webstrata.operators import order
 
 PAGE = ["owner_id", "scan_id", "page_id"]
 
@@ -113,11 +114,11 @@ def summary_shares(summary: DataFrame) -> DataFrame:
 
 
 def outcome_latency(pages: DataFrame) -> DataFrame:
-    exact = lambda q: F.expr(f"percentile_disc({q}) within group (order by total_ms)").cast("long")
-    rows = pages.groupBy("fetch_outcome", "status_code").agg(
-        F.count(F.lit(1)).alias("pages"), exact(0.5).alias("p50_ms"), exact(0.95).alias("p95_ms"), F.sum("response_bytes").alias("response_bytes")
-    )
-    return rows.orderBy(F.desc("pages"), "fetch_outcome", "status_code")
+    """Pages, exact median and 95 % latency, and bytes by outcome and status; a few groups hold all pages."""
+    keys = ["fetch_outcome", "status_code"]
+    rows = pages.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), F.sum("response_bytes").alias("response_bytes"))
+    latencies = order.quantiles(pages, keys, "total_ms", {"p50_ms": "0.5", "p95_ms": "0.95"})
+    return order.same(rows, latencies, keys).select(*keys, "pages", "p50_ms", "p95_ms", "response_bytes").orderBy(F.desc("pages"), *keys)
 
 
 def finding_distribution(findings: DataFrame) -> DataFrame:
@@ -135,8 +136,8 @@ def pages_with_findings(pages: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def findings_for_page(findings: DataFrame, most: int = 5000) -> DataFrame:
-    order = Window.partitionBy(*PAGE).orderBy("severity", "rule_id", "finding_id")
-    return findings.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    by = Window.partitionBy(*PAGE).orderBy("severity", "rule_id", "finding_id")
+    return findings.withColumn("position", F.row_number().over(by)).where(F.col("position") <= most)
 
 
 def keyset(df: DataFrame, order: list[str], after: tuple | None, n: int, descending: bool = False) -> DataFrame:

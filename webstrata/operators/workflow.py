@@ -6,8 +6,8 @@ import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from webstrata.operators import order
 from webstrata.operators.folds import fold
 
 ACTIVE_SCAN = ("QUEUED", "RUNNING", "CANCEL_REQUESTED")
@@ -173,25 +173,29 @@ def sample_progress(events: DataFrame) -> DataFrame:
 
 
 def load_report(requests: DataFrame, elapsed_ms: float | None = None, groups: tuple[str, ...] = ()) -> DataFrame:
-    """Counts, latencies (whole ms, nearest rank) and histograms of requests:
-    started_at_ms, finished_at_ms (null: in flight), status, error, bytes."""
+    """Counts and latencies (whole ms, nearest rank) of requests: started_at_ms,
+    finished_at_ms (null: in flight), status, error, bytes.
+
+    One run may hold all requests: quantiles and requests in flight are found in
+    ranges of latencies and of time.
+    """
     ended = F.col("finished_at_ms").isNotNull()
     good = ended & F.col("status").between(200, 399)
     latency = F.when(ended, F.greatest(F.ceil(F.col("finished_at_ms") - F.col("started_at_ms")), F.lit(0)))
     rows = requests.withColumn("latency", latency)
-    quantile = lambda q: F.expr(f"percentile_disc({q}) within group (order by latency)").cast("long")
+    keys = list(groups)
     main = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("started"), F.count_if(ended).alias("completed"), F.count_if(good).alias("succeeded"), F.count_if(ended & ~F.coalesce(good, F.lit(False))).alias("failed"),
         F.count_if(ended & F.col("status").isNull() & (F.col("error") == "TIMEOUT")).alias("timed_out"), F.sum(F.when(ended, F.col("bytes")).otherwise(0)).alias("bytes_received"),
-        F.min("latency").alias("min_ms"), F.round(F.avg("latency"), 2).alias("mean_ms"), quantile(0.5).alias("p50_ms"), quantile(0.95).alias("p95_ms"), quantile(0.99).alias("p99_ms"), F.max("latency").alias("max_ms"),
+        F.min("latency").alias("min_ms"), F.round(F.avg("latency"), 2).alias("mean_ms"), F.max("latency").alias("max_ms"),
         *([F.round(F.count_if(ended) * 1000 / F.lit(elapsed_ms), 2).alias("throughput_rps")] if elapsed_ms else []),
     )
     # +1 at each start, -1 at each end, ends first; summed up per instant before the running sum
     steps = F.explode(F.array(F.struct(F.col("started_at_ms").alias("at"), F.lit(1).alias("d")), F.struct(F.col("finished_at_ms").alias("at"), F.lit(-1).alias("d"))))
-    moves = rows.select(*groups, steps.alias("s")).where("s.at is not null").groupBy(*groups, "s.at", "s.d").agg(F.sum("s.d").alias("step"))
-    order = Window.partitionBy(*groups).orderBy("at", "d")
-    flight = moves.withColumn("n", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*groups).agg(F.max("n").alias("max_in_flight"))
-    return main.join(flight, list(groups)) if groups else main.crossJoin(flight)  # one row each
+    moves = rows.select(*keys, steps.alias("s")).where("s.at is not null").groupBy(*keys, "s.at", "s.d").agg(F.sum("s.d").alias("step"))
+    flight = order.greatest_running_sum(moves, keys, ["at", "d"], "step").withColumnRenamed("peak", "max_in_flight")
+    latencies = order.quantiles(rows, keys, "latency", {"p50_ms": "0.5", "p95_ms": "0.95", "p99_ms": "0.99"})
+    return order.same(order.same(main, latencies, keys), flight, keys)
 
 
 def histogram(requests: DataFrame, column: str, groups: tuple[str, ...] = ()) -> DataFrame:
