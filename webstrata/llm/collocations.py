@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from webstrata.llm import wordhash as W
 from webstrata.llm.common import map_batches, materialize, utf8
+from webstrata.operators.order import first_of_each
 from webstrata.sources.tables import spread
 
 LONGEST, THRESHOLD, TOP = 5, 100, 2000
@@ -293,6 +293,6 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP, bi
     spans = F.explode(F.expr("flatten(transform(sequence(2, n - 1), m -> transform(sequence(1, n - m + 1), s -> array_join(slice(w, s, m), ' '))))"))
     inside = several.where("n > 2").select("lang", spans.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("within"))
     kept = least.join(inside, ["lang", "phrase"], "left").where("within is null or within < a")
-    by = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", F.col("total").alias("n"), "cut.score")
+    placed = kept.select("lang", "phrase", "a", "total", "cut", (-F.col("cut.score")).alias("down"), (-F.col("a")).alias("fewer"))
+    ranked = first_of_each(placed, ["lang"], ["down", "fewer", "phrase"], F.lit(top))  # a language is in many ranges
+    return ranked.select("lang", "rank", "phrase", "a", "cut.l", "cut.r", F.col("total").alias("n"), "cut.score")
