@@ -33,7 +33,7 @@ UNICODE_16 = (
     (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x1E5F1, 0x1E5FA),
 )
 #: Pre-tokens of at most so many characters are remembered, so many of them; then the memory is emptied.
-REMEMBERED_CHARS, REMEMBERED = 48, 1 << 20
+REMEMBERED_CHARS, REMEMBERED = 48, 1 << 19
 #: Texts of code points below this are split by the standard pattern library, which is faster and needs the classes spelled out.
 PLAIN = 0x250
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}
