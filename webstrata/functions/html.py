@@ -413,19 +413,29 @@ def rewrite_css_text(css: str, base: str, paths: dict[str, str], source: str = "
     return URL_IN_CSS.sub(put, css)
 
 
-def references_in_css(css: str, base: str) -> list[str]:
-    """The URLs that ``reference`` looks up for a stylesheet: each resolved, with and without its fragment."""
-    out: list[str] = []
-    for m in URL_IN_CSS.finditer(css):
+def css_template(css: str, base: str) -> tuple[str, list[tuple[str, str, str, str]]]:
+    """A stylesheet as text with places, and for each place what ``rewrite_css_text`` puts there.
+
+    A place has the two URLs that may have a local path (with and without its fragment),
+    what follows a local path, and what stands there if neither has one.
+    """
+    places: list[tuple[str, str, str, str]] = []
+
+    def put(m: re.Match) -> str:
         raw = clean(next((g for g in (m[1], m[2], m[3], m[5], m[6]) if g is not None), ""))
-        if KEPT_SCHEMES.match(raw):
-            continue
+        found = "\0"
         try:
-            target = urljoin(base, raw)
+            if KEPT_SCHEMES.match(raw):
+                found = raw.replace('"', "%22")
+            else:
+                target = urljoin(base, raw)
+                plain, _, fragment = target.partition("#")
+                places.append((target, plain, "#" + fragment if fragment else "", urls.redact_archived(target)))
         except ValueError:
-            continue
-        out += [target, target.partition("#")[0]]
-    return list(dict.fromkeys(out))
+            found = ""
+        return f'@import "{found}"' if m[4] else f'url("{found}")'
+
+    return URL_IN_CSS.sub(put, css), places
 
 
 def rewrite_page(html: str, base: str, paths: dict[str, str]) -> str:
@@ -517,10 +527,15 @@ def as_map(pairs) -> dict[str, str]:
     return dict(pairs) if pairs is not None else {}
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def css_references(css: pd.Series, base: pd.Series) -> pd.Series:
-    """array<string> of references_in_css; null css: none."""
-    return pd.Series([references_in_css(c or "", b or "") for c, b in zip(css, base, strict=True)], dtype=object)
+PLACE = T.StructType([T.StructField(name, T.StringType()) for name in ("target", "plain", "suffix", "otherwise")])
+
+
+@F.pandas_udf(T.StructType([T.StructField("template", T.StringType()), T.StructField("places", T.ArrayType(PLACE))]))
+def css_templates(css: pd.Series, base: pd.Series) -> pd.DataFrame:
+    """(SHA-256 of the text around the places, places) of each stylesheet; null css is empty."""
+    found = [css_template(c or "", b or "") for c, b in zip(css, base, strict=True)]
+    hashes = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t, _ in found]
+    return pd.DataFrame({"template": hashes, "places": [[dict(zip(PLACE.names, p, strict=True)) for p in places] for _, places in found]})
 
 
 neutralize_html = _html_udf(neutralize)

@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webstrata.functions import html, urls
+from webstrata.operators import order
 from webstrata.operators.folds import fold
 from webstrata.sources.tables import written
 
@@ -115,28 +117,59 @@ def css_alias_closure(css: DataFrame, paths: DataFrame) -> DataFrame:
     """(job_id, path, source_url, canonical_path, body): stylesheets whose rewritten texts are equal become one.
 
     css: job_id, path, source_url, body. paths: job_id, url, path of all archived
-    resources. Each round rewrites with the aliases found so far; texts that have become
-    equal add aliases; it ends when a round adds none. Stylesheets that have become one
-    stay one, so that there are at most as many rounds as stylesheets; a chain of imports
-    takes a round a link. Only CSS rows take part, each with the paths of what it refers to.
+    resources. A stylesheet is read once, as a template with places for its references,
+    and rewritten once, at the end. In between, stylesheets are classes: two are equal if
+    their templates are and what stands in their places; where that is a stylesheet, its
+    class does. Each round compares hashes of a template and the classes in its places,
+    so that classes that meet make those which refer to them meet in the next round; a
+    chain of imports takes a round a link, import cycles end when a round joins nothing.
     """
     sheet = ["job_id", "path", "source_url"]
-    refers = css.select(*sheet, F.explode(F.array_distinct(html.css_references(F.col("body"), F.col("source_url")))).alias("url"))
-    # what a stylesheet refers to, found once: aliases change, references don't
-    refers = written(refers.join(paths.select("job_id", "url", F.col("path").alias("target")).dropDuplicates(["job_id", "url"]), ["job_id", "url"]))
-    state = written(css.select(*sheet, "body", F.col("path").alias("canonical_path")))
+    read = written(css.select(*sheet, html.css_templates(F.col("body"), F.col("source_url")).alias("t")).select(*sheet, "t.template", "t.places"))
+    places = read.select(*sheet, F.posexplode("places").alias("place", "p")).select(*sheet, "place", "p.*")
+    one_path = paths.groupBy("job_id", "url").agg(F.min("path").alias("local"))
+    for url in ("target", "plain"):
+        places = places.join(one_path.select("job_id", F.col("url").alias(url), F.col("local").alias(f"{url}_path")), ["job_id", url], "left")
+    places = written(places.select(*sheet, "place", F.coalesce("target_path", "plain_path").alias("local"), "suffix", "otherwise"))
+    sheets = read.select(*sheet, "template")
+    state = written(sheets.select(*sheet, F.col("path").alias("canonical_path")))
     while True:
-        alias = state.groupBy("job_id", F.col("path").alias("target")).agg(F.min("canonical_path").alias("to"))
-        known = refers.join(alias, ["job_id", "target"], "left").select(*sheet, "url", F.coalesce("to", "target").alias("to"))
-        own = known.groupBy(*sheet).agg(F.map_from_entries(F.collect_list(F.struct("url", "to"))).alias("known"))
-        same = [state[c].eqNullSafe(own[c]) for c in sheet]
-        done = state.join(own, same, "left").select(*(state[c] for c in (*sheet, "body", "canonical_path")), "known")
-        done = done.withColumn("rewritten", html.rewrite_css(F.col("body"), F.col("source_url"), F.col("known"))).withColumn("hash", F.sha2(F.coalesce("rewritten", F.lit("")), 256))
-        first = done.groupBy("job_id", "hash").agg(F.min("path").alias("first"))
-        new = written(done.join(first, ["job_id", "hash"]).select(*sheet, "body", F.col("first").alias("canonical_path"), F.col("canonical_path").alias("was"), "rewritten"))
-        if new.where("canonical_path <> was").limit(1).count() == 0:
-            return new.select(*sheet, "canonical_path", F.col("rewritten").alias("body"))
-        state = new.drop("was", "rewritten")
+        alias = state.groupBy("job_id", F.col("path").alias("local")).agg(F.min("canonical_path").alias("to"))
+        stands = F.coalesce(F.concat(F.coalesce("to", "local"), "suffix"), "otherwise")
+        filled = places.join(alias, ["job_id", "local"], "left").groupBy(*sheet).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("place", stands.alias("stands"))))), 256).alias("filled"))
+        keyed = order.same(sheets, filled, sheet, "left").select(*sheet, F.concat_ws(" ", "template", "filled").alias("key"))
+        first = keyed.groupBy("job_id", "key").agg(F.min("path").alias("canonical_path"))
+        moved = order.same(keyed, state.select(*sheet, F.col("canonical_path").alias("was")), sheet).join(first, ["job_id", "key"])
+        moved = written(moved.select(*sheet, "canonical_path", "was"))
+        if moved.where("canonical_path <> was").limit(1).count() == 0:
+            break
+        state = moved.drop("was")
+    known = places.where("local is not null").join(alias, ["job_id", "local"], "left").select(*sheet, "place", F.coalesce("to", "local").alias("to"))
+    urls_of = read.select(*sheet, F.posexplode("places").alias("place", "p")).select(*sheet, "place", "p.target")
+    pairs = order.same(known, urls_of, [*sheet, "place"]).groupBy(*sheet).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("target", "to")))).alias("known"))
+    own = order.same(order.same(css.select(*sheet, "body"), moved.drop("was"), sheet), pairs, sheet, "left")
+    return own.select(*sheet, "canonical_path", html.rewrite_css(F.col("body"), F.col("source_url"), F.col("known")).alias("body"))
+
+
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
+    """(job_id, path, canonical_path, problem): where chains of aliases (job_id, path, to) end.
+
+    Paths are equal whatever their case. Chains are followed by pointer jumping, so that
+    their length doubles each round. A chain that comes back to itself ends nowhere: its
+    paths, and those that lead to them, are a problem.
+    """
+    folded = aliases.where(F.lower("path") != F.lower("to")).groupBy("job_id", F.lower("path").alias("key")).agg(F.min(F.struct("path", "to")).alias("first"))
+    state = written(folded.select("job_id", "key", "first.path", F.col("first.to").alias("at")))
+    longest = state.count()
+    while longest > 0:
+        further = state.select("job_id", F.col("key").alias("stop"), F.col("at").alias("further"))
+        jumped = state.withColumn("stop", F.lower("at")).join(further, ["job_id", "stop"], "left")
+        state = written(jumped.select("job_id", "key", "path", F.coalesce("further", "at").alias("at"), F.col("further").isNotNull().alias("open")))
+        if state.where("open").limit(1).count() == 0:
+            break
+        longest //= 2
+    ends = state.withColumn("stop", F.lower("at")).join(state.select("job_id", F.col("key").alias("stop"), F.lit(True).alias("loops")), ["job_id", "stop"], "left")
+    return ends.select("job_id", "path", F.when(F.col("loops").isNull(), F.col("at")).alias("canonical_path"), F.when(F.col("loops"), "SITE_ARCHIVE_PATH_COLLISION").alias("problem"))
 
 
 def archive_files(files: DataFrame) -> DataFrame:
@@ -151,24 +184,42 @@ def archive_files(files: DataFrame) -> DataFrame:
 def shard_plan(files: DataFrame, most_shard: int, most_total: int) -> DataFrame:
     """(job_id, path, shard, problem): files of a job in order go to the open shard, or to a new one where it is full.
 
-    Whether a file opens a shard depends on all before it; only metadata takes part,
-    bodies stay where they are.
+    Whether a file opens a shard depends on all before it. Running sums give each file
+    its place as if all stood in one line; the shard that a file would open ends before
+    the file that covers the place one shard further on: its successor. From the first
+    file on, successors of successors (of twice as many each round) are the files that
+    open shards. A job's files may be in many tasks; a line is cut into blocks of a
+    shard's size, which at most most_shard / 256 files can start in.
     """
-
-    def step(job: dict, r: dict) -> tuple:
-        need = r["bytes"] + ENTRY_OVERHEAD + 2 * len(r["path"].encode())
-        job["total"] += r["bytes"]
-        if need > most_shard:
-            return r["job_id"], r["path"], None, "SITE_FILE_EXCEEDS_SHARD_BUDGET"
-        if job["total"] > most_total:
-            return r["job_id"], r["path"], None, "SITE_ARCHIVE_BUDGET_EXCEEDED"
-        if job["filled"] and job["filled"] + need > most_shard:
-            job["shard"], job["filled"] = job["shard"] + 1, 0
-        job["filled"] += need
-        return r["job_id"], r["path"], job["shard"], None
-
-    rows = files.select("job_id", "path", "bytes", "file_no")
-    return fold(rows, ["job_id"], ["file_no", "path"], lambda r: {"shard": 1, "filled": 0, "total": 0}, step, "job_id string, path string, shard int, problem string")
+    need = F.col("bytes") + ENTRY_OVERHEAD + 2 * F.octet_length("path")
+    line = ["file_no", "path"]
+    rows = order.running_totals(files.select("job_id", "path", "bytes", "file_no", need.alias("need")), ["job_id"], line, {"total": "bytes"})
+    problem = F.when(F.col("need") > most_shard, "SITE_FILE_EXCEEDS_SHARD_BUDGET").when(F.col("total") > most_total, "SITE_ARCHIVE_BUDGET_EXCEEDED")
+    rows = written(rows.withColumn("problem", problem))
+    placed = order.running_totals(rows.where("problem is null"), ["job_id"], line, {"stop": "need"})
+    placed = written(placed.select("job_id", *line, "stop", (F.col("stop") - F.col("need")).alias("start")))
+
+    block = lambda c: F.expr(f"{c} div {most_shard}")
+    own = F.struct("start", "stop")
+    asked = placed.select("job_id", (F.col("start") + most_shard).alias("at"), F.lit(1).alias("kind"), "start", F.lit(None).cast("struct<start:bigint,stop:bigint>").alias("file"))
+    there = placed.select("job_id", F.col("start").alias("at"), F.lit(0).alias("kind"), "start", own.alias("file"))
+    upto = Window.partitionBy("job_id", "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(there).withColumn("block", block("at")).withColumn("last", F.last("file", ignorenulls=True).over(upto)).where("kind = 1")
+    ends = placed.groupBy("job_id", (block("start") + 1).alias("block")).agg(F.max(own).alias("before"))
+    found = found.join(ends, ["job_id", "block"], "left").withColumn("file", F.coalesce("last", "before"))
+    jump = written(found.where("file.stop > at").select("job_id", "start", F.col("file.start").alias("next")))
+    opened = written(placed.where("start = 0").select("job_id", "start"))
+    while True:
+        more = opened.join(jump, ["job_id", "start"]).select("job_id", F.col("next").alias("start"))
+        grown = written(opened.unionByName(more).distinct())
+        if grown.count() == opened.count():
+            break
+        opened = grown
+        jump = written(jump.join(jump.select("job_id", F.col("start").alias("next"), F.col("next").alias("further")), ["job_id", "next"]).select("job_id", "start", F.col("further").alias("next")))
+    flagged = placed.join(opened.withColumn("opens", F.lit(1)), ["job_id", "start"], "left")
+    numbered = order.running_totals(flagged.select("job_id", *line, F.coalesce("opens", F.lit(0)).alias("opens")), ["job_id"], line, {"shard": "opens"})
+    left_out = rows.where("problem is not null").select("job_id", "path", F.lit(None).cast("int").alias("shard"), "problem")
+    return numbered.select("job_id", "path", F.col("shard").cast("int").alias("shard"), F.lit(None).cast("string").alias("problem")).unionByName(left_out)
 
 
 def object_dedup(objects: DataFrame) -> DataFrame:

@@ -51,6 +51,17 @@ def greatest_running_sum(df: DataFrame, keys: list[str], order: list[str], step:
     return listed.select(*keys, whole["peak"].alias("peak"))
 
 
+def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, str]) -> DataFrame:
+    """``df`` with running sums of whole numbers, each row included: ``totals`` has a new column for each column to add up."""
+    dealt = in_ranges(df, keys, order)
+    sums = dealt.groupBy(*keys, "part").agg(*(F.sum(F.col(c).cast("long")).alias(f"_{name}") for name, c in totals.items()))
+    ahead = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = sums.select(*keys, "part", *(F.coalesce(F.sum(f"_{name}").over(ahead), F.lit(0)).alias(f"_{name}") for name in totals))
+    within = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = same(dealt, starts, [*keys, "part"])
+    return counted.select(*df.columns, *((F.coalesce(F.sum(F.col(c).cast("long")).over(within), F.lit(0)) + F.col(f"_{name}")).alias(name) for name, c in totals.items()))
+
+
 def first_of_each(df: DataFrame, keys: list[str], order: list[str], limit: Column) -> DataFrame:
     """The first ``limit`` rows of each group, with ``rank`` (from 1). ``order`` must tell a group's rows apart; ``limit`` is the same for all of them.
 

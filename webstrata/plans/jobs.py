@@ -50,7 +50,7 @@ def links_of(facts: DataFrame) -> DataFrame:
 
 
 def plan_site_archive(pages: DataFrame, files: DataFrame, css: DataFrame, most_shard: int, most_total: int) -> dict[str, DataFrame]:
-    """The plan of each job's archive: representatives, files on their final paths with their shards, counts, reasons.
+    """The plan of each job's archive: representatives, files on their final paths with their shards, counts, reasons, paths whose aliases end nowhere.
 
     pages: job_id, page_id, ordinal, url, local_path, status, reason, semantic_role,
     route_template, layout_fingerprint, rendered, resource_gaps. files: job_id, page_id,
@@ -61,11 +61,13 @@ def plan_site_archive(pages: DataFrame, files: DataFrame, css: DataFrame, most_s
     own = files.join(chosen.where("representative").select("job_id", "page_id"), ["job_id", "page_id"], "left_semi")
     deduped = archive.asset_dedup(own)
     sheets = archive.css_alias_closure(css, own.select("job_id", F.col("source_url").alias("url"), "path").where("url is not null").distinct())
-    alias = sheets.select("job_id", F.col("path"), F.col("canonical_path").alias("css_path")).distinct()
-    final = deduped.join(alias, ["job_id", "path"], "left").withColumn("path", F.coalesce("css_path", "canonical_path"))
+    aliases = sheets.select("job_id", "path", F.col("canonical_path").alias("to")).unionByName(deduped.select("job_id", "path", F.col("canonical_path").alias("to")))
+    ends = archive.resolve_aliases(aliases.distinct())
+    there = ends.select("job_id", F.lower("path").alias("_key"), F.col("canonical_path").alias("_end"))
+    final = deduped.withColumn("_key", F.lower("path")).join(there, ["job_id", "_key"], "left").withColumn("path", F.coalesce("_end", "path"))
     listed = archive.archive_files(final.select("job_id", "path", "sha256", "bytes", "file_no"))
     judged = chosen.withColumn("reason", F.coalesce(F.when(~F.col("representative"), "LAYOUT_DUPLICATE"), F.col("reason")))
     return {
         "pages": judged, "files": listed.join(archive.shard_plan(listed.where("not collision"), most_shard, most_total), ["job_id", "path"], "left"),
-        "css": sheets, "counts": archive.archive_counts(judged), "reasons": archive.reason_counts(judged),
+        "css": sheets, "problems": ends.where("problem is not null").select("job_id", "path", "problem"), "counts": archive.archive_counts(judged), "reasons": archive.reason_counts(judged),
     }

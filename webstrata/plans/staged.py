@@ -267,13 +267,25 @@ def o120_capture_report(spark, sf_dir):
     return capture.capture_report(j, s, r, a, F.lit(5)).select("capture_request_id", "reconstruction_status", "download_available")
 
 
-@query()
+@query(extra=""", r as (select job_id, page_id from (select *, row_number() over (partition by job_id, semantic_role, route_template, case when semantic_role is null then page_id end, coalesce(layout_fingerprint, 'FINGERPRINT_UNAVAILABLE') order by ordinal, page_id) = 1 or semantic_role is null as rep from clone_pages) where rep),
+  own as (select a.*, file_no % 9 = 0 as css, coalesce(nullif(lower(regexp_extract(path, '(\\.[A-Za-z0-9]+)$', 1)), ''), lower(trim(split_part(content_type, ';', 1)))) as kind2 from assets a join r on r.job_id = a.job_id and r.page_id = cast(a.file_no as string)),
+  sheets as (select job_id, path, min(path) over (partition by job_id, file_no % 4) as to_path from assets where file_no % 9 = 0),
+  final as (select o.job_id, o.sha256, o.bytes, o.file_no, case when css then s.to_path else first(o.path) over (partition by o.job_id, css, o.sha256, kind2 order by o.file_no, o.path) end as path from own o left join sheets s on s.job_id = o.job_id and s.path = o.path),
+  listed as (select job_id, arg_min(path, file_no) as path, arg_min(sha256, file_no) as sha256, arg_min(bytes, file_no) as bytes, min(file_no) as file_no, min(sha256) <> max(sha256) as collision from final group by job_id, lower(path)),
+  o as (select *, bytes + 256 + 2 * octet_length(encode(path)) as need, row_number() over (partition by job_id order by file_no, path) as rn from listed where not collision),
+  w as (select cast(0 as bigint) as rn, job_id, cast(null as string) as path, 1 as shard, cast(0 as bigint) as filled, cast(0 as bigint) as total, cast(null as string) as problem from (select distinct job_id from o)
+    union all select rn, job_id, path, case when problem is null and closed then shard + 1 else shard end, cast(case when problem is not null then filled when closed then need else filled + need end as bigint), total, problem
+    from (select o.rn, o.job_id, o.path, o.need, w.shard, w.filled, cast(w.total + o.bytes as bigint) as total, case when o.need > 16000 then 'SITE_FILE_EXCEEDS_SHARD_BUDGET' when w.total + o.bytes > 200000 then 'SITE_ARCHIVE_BUDGET_EXCEEDED' end as problem, w.filled > 0 and w.filled + o.need > 16000 as closed
+      from w join o on o.job_id = w.job_id and o.rn = w.rn + 1))
+  select l.job_id, l.path, l.sha256, l.bytes, l.collision, case when w.problem is null then w.shard end as shard, w.problem from listed l left join w on w.rn > 0 and w.job_id = l.job_id and w.path = l.path""", shapes=("clone_pages", "assets"))
 def o119_plan_site_archive(spark, sf_dir):
-    p = shape(spark, sf_dir, "clone_pages")
-    files = shape(spark, sf_dir, "assets").withColumn("page_id", F.col("file_no").cast("string")).withColumn("source_url", F.concat(F.lit("https://site.example/"), "path"))
-    css = files.where("file_no % 9 = 0").select("job_id", "path", "source_url", F.concat(F.lit("a{b:url(../x"), (F.col("file_no") % 4).cast("string"), F.lit(".png)}")).alias("body"))
-    plan = jobs.plan_site_archive(p, files, css, 1 << 20, 1 << 40)
-    return plan["files"].select("job_id", "path", "sha256", "bytes", "shard", "collision")
+    """Every ninth asset is a stylesheet; four kinds of them in a job, so that what a job's pages keep becomes a few shards."""
+    p, k = shape(spark, sf_dir, "clone_pages"), F.col("file_no")
+    files = shape(spark, sf_dir, "assets").withColumn("page_id", k.cast("string")).withColumn("source_url", F.concat(F.lit("https://site.example/"), "path"))
+    files = files.withColumn("content_type", F.when(k % 9 == 0, "text/css").otherwise(F.col("content_type")))
+    css = files.where("file_no % 9 = 0").select("job_id", "path", "source_url", F.concat(F.lit("a{b:url(../x"), (k % 4).cast("string"), F.lit(".png)}")).alias("body"))
+    plan = jobs.plan_site_archive(p, files, css, 16_000, 200_000)
+    return plan["files"].select("job_id", "path", "sha256", "bytes", "shard", "problem", "collision")
 
 
 @query(extra=""" select job_id, path, min(path) over (partition by job_id, own) as canonical_path from (select *, case when file_no % 6 < 4 then cast(file_no % 6 as string)
