@@ -3,10 +3,13 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import rows
 from webstrata.operators import pages, workflow
 from webstrata.sources import fetches
 from webstrata.streaming import events
@@ -133,17 +136,78 @@ def test_stream_equals_batch(spark, tmp_path):
     df = as_df(spark, items)
     source = str(tmp_path / "in")
     df.coalesce(1).sortWithinPartitions("arrival").write.parquet(source)
-    stream = events.project_stream(spark.readStream.schema(df.schema).parquet(source).drop("arrival"))
+    stream = events.project_stream(events.state_session(spark).readStream.schema(df.schema).parquet(source).drop("arrival"))
     q = stream.writeStream.format("memory").queryName("projected").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     want = {(r.message_id, r.outcome, r.state) for r in events.project_batch(df).collect()}
-    assert {(r.message_id, r.outcome, r.state) for r in spark.table("projected").collect()} == want
+    assert {(r.message_id, r.outcome, r.state) for r in stream.sparkSession.table("projected").collect()} == want
     rows = df.select(F.col("aggregate_id").alias("scan_id"), F.col("aggregate_version").alias("version"), "status", (F.col("occurred_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("aggregate_version") * 0.3)).alias("occurred_at"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in2"))
-    sampled = events.sample_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in2")))
+    sampled = events.sample_stream(events.state_session(spark).readStream.schema(rows.schema).parquet(str(tmp_path / "in2")))
     q = sampled.writeStream.format("memory").queryName("sampled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    assert {r.version for r in spark.table("sampled").collect()} == {r.version for r in workflow.sample_progress(rows).collect()}
+    assert {r.version for r in sampled.sparkSession.table("sampled").collect()} == {r.version for r in workflow.sample_progress(rows).collect()}
+
+
+def drain(out, path, name):
+    """Runs a stream over what is there and returns all that it has written so far."""
+    out.writeStream.format("parquet").option("path", f"{path}/{name}-out").option("checkpointLocation", f"{path}/{name}-cp").trigger(availableNow=True).start().awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{path}/{name}-out")
+
+
+def test_stream_state_lasts_over_batches(spark, tmp_path):
+    """Several aggregates in several runs: duplicates, collisions and late versions of earlier runs are told by the state."""
+    runs = [
+        [event(1, "RUNNING"), event(3, "RUNNING", message="three"), event(2, "RUNNING", message="late")],
+        [event(3, "RUNNING", message="three"), event(3, "RUNNING", message="three", processed=1, succeeded=1), event(4, "COMPLETED", message=None), event(5, "RUNNING", message="after")],
+        [event(4, "COMPLETED", message=None), event(2, "RUNNING", message="late"), event(9, "RUNNING", message="after")],
+    ]
+    runs = [[e | {"aggregate_id": a} for e in items for a in "st"] for items in runs]
+    own, path, arrival = events.state_session(spark), str(tmp_path), 0
+    for items in runs:
+        as_df(spark, items).withColumn("arrival", F.col("arrival") + arrival).repartition(3).write.mode("append").parquet(f"{path}/in")
+        arrival += len(items)
+        stream = events.project_stream(own.readStream.schema(as_df(spark, items).schema).parquet(f"{path}/in"), arrival="arrival")
+        got = drain(stream, path, "all")
+    every = [e for items in runs for e in items]
+    pick = ("aggregate_id", "message_id", "aggregate_version", "outcome", "state", "last_version", "analytics")
+    want = events.project_batch(as_df(spark, every)).select(*pick)
+    assert rows(got.select(*pick)) == rows(want)
+    assert {r.outcome for r in got.collect()} == {"APPLIED", "IGNORED_DUPLICATE", "COLLISION", "IGNORED_STALE"}
+
+
+def test_stream_state_ends(spark, tmp_path):
+    """An ended aggregate is forgotten some time after its last event; a running one keeps its version. A stream with timers runs on until it is stopped."""
+    own, path = events.state_session(spark), str(tmp_path)
+    first = [event(2, "COMPLETED") | {"aggregate_id": "ended"}, event(2, "RUNNING") | {"aggregate_id": "running"}]
+    again = [event(1, "RUNNING") | {"aggregate_id": a} for a in ("ended", "running")]
+    as_df(spark, first).write.parquet(f"{path}/in")
+    stream = events.project_stream(own.readStream.schema(as_df(spark, first).schema).parquet(f"{path}/in"), keep_hours=3 / 3600, arrival="arrival")
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(processingTime="500 milliseconds").start()
+
+    def upto(n: int) -> set:
+        until, got = time.monotonic() + 60, []
+        while time.monotonic() < until and len(got) < n:
+            time.sleep(0.5)
+            assert q.exception() is None
+            got = spark.read.schema(stream.schema).parquet(f"{path}/out").collect() if (tmp_path / "out").exists() else []
+        return {(r.aggregate_id, r.aggregate_version, r.outcome) for r in got}
+
+    try:
+        assert upto(2) == {("ended", 2, "APPLIED"), ("running", 2, "APPLIED")}
+        time.sleep(6)
+        as_df(spark, again).write.mode("append").parquet(f"{path}/in")
+        assert upto(4) == {("ended", 2, "APPLIED"), ("running", 2, "APPLIED"), ("ended", 1, "APPLIED"), ("running", 1, "IGNORED_STALE")}
+    finally:
+        q.stop()
+
+
+def test_stream_needs_a_session_with_state(spark, tmp_path):
+    as_df(spark, [event(1, "RUNNING")]).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(events.PROVIDER, "")
+    with pytest.raises(ValueError, match="state_session"):
+        events.project_stream(spark.readStream.schema(events.EVENT).parquet(str(tmp_path / "in")))
+    assert events.state_session(spark).conf.get(events.PROVIDER) == events.ROCKSDB and spark.conf.get(events.PROVIDER, "") == before
 
 
 def test_manifest_and_read(spark, tmp_path):

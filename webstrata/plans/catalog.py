@@ -725,7 +725,10 @@ SENT_SQL = """with recursive e as (select cast(event_id % 50 as string) as scan_
 
 
 
-@query(extra=ORDERED.replace(",", ", ", 1) + ", " + projection_sql("scan") + PROJECTED + " from walk_scan where rn > 0", shapes=("progress",))
+SCAN_SQL = ORDERED.replace(",", ", ", 1) + ", " + projection_sql("scan") + PROJECTED + " from walk_scan where rn > 0"
+
+
+@query(extra=SCAN_SQL, shapes=("progress",))
 def o111_project_scan_events(spark, sf_dir):
     from webstrata.streaming import events
 

@@ -90,17 +90,17 @@ def o114_ingest_stream(spark, sf_dir):
     return a.crossJoin(spark.read.parquet(f"{path}/facts/quarantine").agg(F.count(F.lit(1)).alias("quarantined")))  # one row each
 
 
-@query()
+@query(extra=catalog.SCAN_SQL, shapes=("progress",))
 def o111_project_scan_events_stream(spark, sf_dir):
-    """The progress events as a stream; compared with the batch twin in the tests."""
+    """The progress events as a stream, each aggregate's in the order of arrival: what the batch twin gives, and its SQL."""
     path = f"{shared(spark)}/progress-{uuid.uuid4().hex}"
-    rows = shape(spark, sf_dir, "progress").orderBy("arrival", "message_id")
+    rows = shape(spark, sf_dir, "progress")
     rows = rows.withColumns({c: F.col(c).cast("long") for c in (*events.COUNTERS, "aggregate_version")}).withColumn("occurred_at", F.timestamp_seconds(F.col("aggregate_version")))
-    rows = rows.select(*[c.split()[0] for c in events.EVENT.split(", ")])
+    rows = rows.select(*[c.split()[0] for c in events.EVENT.split(", ")], "arrival")
     rows.write.parquet(f"{path}/in")
-    out = events.project_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    out = events.project_stream(events.state_session(spark).readStream.schema(rows.schema).parquet(f"{path}/in"), arrival="arrival")
     out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
 @query(catalog.SENT_SQL)
@@ -108,7 +108,7 @@ def o112_sample_progress_stream(spark, sf_dir):
     path = f"{shared(spark)}/sample-{uuid.uuid4().hex}"
     rows = catalog.progress_events(spark, sf_dir)
     rows.write.parquet(f"{path}/in")
-    out = events.sample_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    out = events.sample_stream(events.state_session(spark).readStream.schema(rows.schema).parquet(f"{path}/in"))
     out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("scan_id", "version", "status", F.unix_millis("occurred_at").alias("occurred_ms"))
 

@@ -1,7 +1,8 @@
 """Projections of progress events: one rule set, used by the batch twin and by the streams.
 
 Order comes from versions; there is no event time. A group is an aggregate (a scan,
-capture or clone); its state is a small record and the ids of messages seen.
+capture or clone); its state is a small record, and a map of the messages seen, of
+which a batch reads and writes only the messages that it brings.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor
 
 from webstrata.operators.folds import fold
 from webstrata.sources import fetches
@@ -151,48 +152,129 @@ def final_projection(outcome_rows: DataFrame) -> DataFrame:
     return outcome_rows.groupBy("aggregate_id").agg(last).select("aggregate_id", "last.*")
 
 
-def project_stream(events: DataFrame, kind: str = "scan", keep_hours: int | None = None) -> DataFrame:
-    """Streaming: outcomes of the events of each micro-batch.
+PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOUR_MS = 3_600_000
 
-    ``keep_hours``: state goes so long after the last event of an ended aggregate, by
-    processing time; for streams that run on. With None state stays, and a stream over
-    what is available now ends by itself.
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` whose streams keep map state and timers, which need RocksDB; ``spark`` stays as it is."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set(PROVIDER, ROCKSDB)
+    return own
+
+
+def keeps_state(events: DataFrame) -> None:
+    if events.sparkSession.conf.get(PROVIDER, "") != ROCKSDB:
+        raise ValueError("this stream keeps map state: read its source with state_session(spark)")
+
+
+class Seen:
+    """The messages of one aggregate, as a mapping over map state: each is read once a batch."""
+
+    def __init__(self, state):
+        self.state, self.read = state, {}
+
+    def __contains__(self, message: str | None) -> bool:
+        if message not in self.read:
+            at = (self.key(message),)
+            self.read[message] = self.state.getValue(at)[0] if self.state.containsKey(at) else None
+        return self.read[message] is not None
+
+    def __getitem__(self, message: str | None) -> str:
+        return self.read[message]
+
+    def __setitem__(self, message: str | None, hashed: str) -> None:
+        self.state.updateValue((self.key(message),), (hashed,))
+        self.read[message] = hashed
+
+    @staticmethod
+    def key(message: str | None) -> str:
+        return "" if message is None else f"={message}"
+
+
+class Projector(StatefulProcessor):
+    """Applies a batch's events to each aggregate. With ``keep_ms`` a message is forgotten so long after it
+    was seen, and all of an ended aggregate so long after its last event."""
+
+    def __init__(self, kind: str, keep_ms: int | None, arrival: str | None):
+        self.kind, self.keep_ms, self.arrival = kind, keep_ms, arrival
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", "record string")
+        self.seen = handle.getMapState("seen", "message string", "hash string", self.keep_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        p = Projection(**json.loads(self.record.get()[0])) if self.record.exists() else Projection()
+        p.seen = Seen(self.seen)
+        parts = rows if self.arrival is None else [pd.concat(list(rows)).sort_values([self.arrival, "message_id"], kind="stable")]
+        for part in parts:
+            yield outcomes(self.kind, p, part)
+        self.record.update((json.dumps({k: v for k, v in vars(p).items() if k != "seen"}),))
+        if self.keep_ms is not None and p.status in TERMINAL | {"EXPIRED"}:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.record.clear()
+        self.seen.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in OUTCOME.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def project_stream(events: DataFrame, kind: str = "scan", keep_hours: float | None = None, arrival: str | None = None) -> DataFrame:
+    """Streaming: outcomes of the events of each micro-batch; ``events`` comes from a ``state_session``.
+
+    ``keep_hours``: state goes so long after its use, by processing time; a running
+    aggregate keeps its record, an ended one goes as a whole. With None state stays, and
+    a stream over what is available now ends by itself. ``arrival``: a column that
+    orders an aggregate's events within a micro-batch; with None they are taken as
+    they come.
+    """
+    keeps_state(events)
+    keep_ms = None if keep_hours is None else int(keep_hours * HOUR_MS)
+    return events.groupBy("aggregate_id").transformWithStateInPandas(Projector(kind, keep_ms, arrival), OUTCOME, "Append", "None" if keep_ms is None else "ProcessingTime")
+
+
+class Sampler(StatefulProcessor):
+    """Sends on a scan's events; its state is the last version seen and the last event sent."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "version long, at double, status string", self.keep_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last_version, last_at, last_status = self.last.get() if self.last.exists() else (-1, None, None)
+        keep = []
+        for r in pd.concat(list(rows)).sort_values("version", kind="stable").itertuples(index=False):
+            at = r.occurred_at.timestamp()
+            if r.version > last_version and (r.status in TERMINAL or last_at is None or not (last_at > at - 1 and last_status == r.status)):
+                last_version, last_at, last_status = int(r.version), at, r.status
+                keep.append((r.scan_id, int(r.version), r.status, r.occurred_at))
+        self.last.update((last_version, last_at, last_status))
+        yield pd.DataFrame(keep, columns=["scan_id", "version", "status", "occurred_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def sample_stream(events: DataFrame, keep_hours: float | None = None) -> DataFrame:
+    """Streaming form of sample_progress; ``events`` comes from a ``state_session``.
+
+    Events of a scan arrive in the order of versions from batch to batch. ``keep_hours``:
+    a scan without events for so long is forgotten.
     """
-    timeout = GroupStateTimeout.NoTimeout if keep_hours is None else GroupStateTimeout.ProcessingTimeTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        p = Projection(**json.loads(state.get[0])) if state.exists else Projection()
-        for rows in batches:
-            yield outcomes(kind, p, rows)
-        state.update((json.dumps(asdict(p)),))
-        if keep_hours is not None and p.status in TERMINAL:
-            state.setTimeoutDuration(keep_hours * 3_600_000)
-
-    return events.groupBy("aggregate_id").applyInPandasWithState(run, OUTCOME, "projection string", "append", timeout)
-
-
-def sample_stream(events: DataFrame) -> DataFrame:
-    """Streaming form of sample_progress: the state is the last event sent. Events of a scan arrive in the order of versions."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_version, last_at, last_status = state.get if state.exists else (-1, None, None)
-        for rows in batches:
-            keep = []
-            for r in rows.sort_values("version", kind="stable").itertuples(index=False):
-                at = r.occurred_at.timestamp()
-                send = r.version > last_version and (r.status in TERMINAL or last_at is None or not (last_at > at - 1 and last_status == r.status))
-                if send:
-                    last_version, last_at, last_status = int(r.version), at, r.status
-                    keep.append((r.scan_id, int(r.version), r.status, r.occurred_at))
-            yield pd.DataFrame(keep, columns=["scan_id", "version", "status", "occurred_at"])
-        state.update((last_version, last_at, last_status))
-
-    return events.groupBy("scan_id").applyInPandasWithState(
-        run, "scan_id string, version long, status string, occurred_at timestamp", "version long, at double, status string", "append", GroupStateTimeout.NoTimeout
-    )
+    keeps_state(events)
+    keep_ms = None if keep_hours is None else int(keep_hours * HOUR_MS)
+    return events.groupBy("scan_id").transformWithStateInPandas(Sampler(keep_ms), "scan_id string, version long, status string, occurred_at timestamp", "Append", "None" if keep_ms is None else "ProcessingTime")
 
 
 def ingest_stream(staged: DataFrame, path: str, checkpoint: str, **trigger):
