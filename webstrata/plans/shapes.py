@@ -58,10 +58,8 @@ SHAPES = {
         cast(floor(o_totalprice / 9000) as bigint) as failed_count, case when o_orderstatus = 'F' then 'DONE' end as terminal_code, o_orderdate as created_at, 500 as max_pages
       from {orders}""",
     "scan_pages": """
-      select cast(l_orderkey % 500 as string) as execution_id, case (l_partkey + l_linenumber) % 9 when 0 then 'QUEUED' when 1 then 'LEASED' when 2 then 'PERSISTING' when 3 then 'FAILED'
-        when 4 then 'SKIPPED' when 5 then 'CANCELLED' else 'SUCCEEDED' end as status from {lineitem} where l_orderkey % 3 = 0
-      union all
-      select cast(l_orderkey % 500 as string) as execution_id, 'SUCCEEDED' as status from {lineitem} where l_orderkey % 500 >= 400 and l_orderkey % 3 <> 0""",
+      select cast(l_orderkey % 500 as string) as execution_id, case when l_orderkey % 500 >= 480 then 'FAILED' when l_orderkey % 500 >= 400 then case when l_orderkey % 500 >= 440 and l_linenumber = 1 then 'SKIPPED' else 'SUCCEEDED' end
+        else case (l_partkey + l_linenumber) % 9 when 0 then 'QUEUED' when 1 then 'LEASED' when 2 then 'PERSISTING' when 3 then 'FAILED' when 4 then 'SKIPPED' when 5 then 'CANCELLED' else 'SUCCEEDED' end end as status from {lineitem}""",
     "network": """
       select cast(l_suppkey % 10 as string) as owner_id, cast(l_orderkey as string) as capture_request_id, concat(cast(l_linenumber as string), '-', cast(l_partkey as string)) as request_id,
         l_linenumber as request_sequence, concat('https://cdn.example/', l_returnflag, '/', cast(l_partkey as string)) as url,

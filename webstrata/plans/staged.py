@@ -12,12 +12,13 @@ from webstrata.sources.tables import shared, written
 from webstrata.plans import catalog, jobs
 from webstrata.plans.catalog import long, query
 from webstrata.plans.shapes import page_metrics, shape
-from webstrata.sources import fetches
+from webstrata.sources import fetches, layouts
 from webstrata.streaming import events
 
 
 def staged(spark, sf_dir):
-    """Events as staged page payloads; each 50th has another owner in its envelope, each 70th a wrong checksum, each 90th is cut."""
+    """Events as staged page payloads; each 50th has another owner in its envelope, each 70th a wrong checksum, each 90th is cut;
+    each 130th has more after it, each 170th is there twice."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.col("event_id")
     ident = F.lower(F.concat(F.lpad(F.hex(k), 8, "0"), F.lit("-0000-4000-8000-000000000000")))
@@ -37,11 +38,11 @@ def staged(spark, sf_dir):
     k = F.col("event_id")
     return rows.select(
         "event_id", F.concat(F.lit("b"), (k % 64).cast("string")).alias("batch_id"), F.when(k % 50 == 0, "other").otherwise(F.col("own")).alias("owner_id"), "page_id", F.lit(1).cast("bigint").alias("result_version"),
-        F.when(k % 90 == 0, F.substring("payload", 1, 40)).when(k % 110 == 0, F.concat(F.lit('{"odd":1,'), F.substring("payload", F.lit(2), F.length("payload")))).otherwise(F.col("payload")).alias("payload"), F.when(k % 70 == 0, "0").otherwise(F.col("good")).alias("payload_sha256"),
+        F.when(k % 90 == 0, F.substring("payload", 1, 40)).when(k % 130 == 0, F.concat("payload", F.lit(" {}"))).when(k % 170 == 0, F.concat("payload", "payload")).when(k % 110 == 0, F.concat(F.lit('{"odd":1,'), F.substring("payload", F.lit(2), F.length("payload")))).otherwise(F.col("payload")).alias("payload"), F.when(k % 70 == 0, "0").otherwise(F.col("good")).alias("payload_sha256"),
     )
 
 
-PROBLEM = "case when event_id % 90 = 0 then 'INVALID_JSON' when event_id % 110 = 0 then 'UNKNOWN_FIELD' when event_id % 50 = 0 then 'ENVELOPE_MISMATCH' when event_id % 70 = 0 then 'CHECKSUM_MISMATCH' end"
+PROBLEM = "case when event_id % 90 = 0 or event_id % 130 = 0 or event_id % 170 = 0 then 'INVALID_JSON' when event_id % 110 = 0 then 'UNKNOWN_FIELD' when event_id % 50 = 0 then 'ENVELOPE_MISMATCH' when event_id % 70 = 0 then 'CHECKSUM_MISMATCH' end"
 GOOD = f"with g as (select * from events where {PROBLEM} is null) "
 
 
@@ -50,6 +51,24 @@ def o002_decode_payloads(spark, sf_dir):
     return fetches.decode_payloads(staged(spark, sf_dir)).select("event_id", "problem")
 
 
+@query("""select id from outbox where created_at > timestamp '2024-07-01 00:00:00' - interval 180 day""", shapes=("outbox",))
+def o115_expire_partitions(spark, sf_dir):
+    """Rows written by month; months that are gone are dropped as folders, the one at the edge is written anew."""
+    path = f"{shared(spark)}/expire-{uuid.uuid4().hex}"
+    rows = shape(spark, sf_dir, "outbox").withColumn("retention_month", F.trunc("created_at", "month"))
+    fetches.write_partitioned(rows, path, ["id"])
+    fetches.expire_partitions(spark, path, F.expr("timestamp_ntz'2024-07-01 00:00:00' - interval 180 day"), "created_at")
+    return spark.read.schema(spark.read.parquet(path).schema).parquet(path).select("id")
+
+
+@query("""select normalized_url, page_id from page_metrics where (normalized_url, page_id) > ('https://site5.example/p/', '') and cast(page_id as bigint) % 3 <> 0 order by 1, 2 limit 26""", shapes=("page_metrics",))
+def o101_page_keyset_ranges(spark, sf_dir):
+    """A page of a table laid out in ranges of the listing's order, of which each third row is deleted."""
+    path, order = f"{shared(spark)}/ranges-{uuid.uuid4().hex}", ["normalized_url", "page_id"]
+    layouts.write_ranges(page_metrics(spark, sf_dir).select(*order), path, order, files=64)
+    return layouts.page_of_ranges(spark, path, order, ("https://site5.example/p/", ""), 25, alive=F.col("page_id").cast("long") % 3 != 0)
+
+
 @query(GOOD + """select concat('https://site.example/', event_id) as normalized_url, sha256(concat('https://site.example/', event_id)) as url_hash, cast(length(event_type) + 2 as int) as title_length, date '2024-01-01' as retention_month from g""")
 def o003_explode_page_metrics(spark, sf_dir):
     metrics, _, _ = fetches.explode_page_results(fetches.decoded(staged(spark, sf_dir))[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +68,9 @@ def decode_payloads(staged: DataFrame) -> DataFrame:
     plain = F.struct(*(F.col(f"parsed.{f.name}").alias(f.name) for f in T.StructType.fromDDL(PAYLOAD)))
     rows = rows.withColumn("result", plain)
     envelope = F.col("result.owner_id").eqNullSafe(F.col("owner_id")) & F.col("result.page_id").eqNullSafe(F.col("page_id")) & F.col("result.result_version").eqNullSafe(F.col("result_version"))
-    trailing = ~F.trim("payload").rlike(r"(?s)^\{.*\}$")
+    # one object and nothing after it: as the items of a list, what trails makes the list invalid or longer
+    whole = F.from_json(F.concat(F.lit("["), "payload", F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
+    trailing = F.coalesce(F.size(whole) != 1, F.lit(True)) | ~F.col("payload").rlike(r"^\s*\{")
     problem = (
         F.when(F.col("parsed").isNull() | F.col("parsed._corrupt").isNotNull() | trailing, "INVALID_JSON")
         .when(F.size(unknown_fields(F.col("payload"))) > 0, "UNKNOWN_FIELD")
@@ -126,6 +130,41 @@ def write_partitioned(df: DataFrame, path: str, keys: list[str], mode: str = "ap
     df.sortWithinPartitions(month, *keys).write.mode(mode).partitionBy(month).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def expire_partitions(spark: SparkSession, path: str, cut: Column, at: str = "observed_at", month: str = "retention_month") -> dict[str, str]:
+    """Removes the rows of month-partitioned facts that are not younger than ``cut``; tells of each month what was done.
+
+    Only ``at`` is read of all months: a month whose rows are all gone is dropped as a
+    folder, one whose rows all stay is not touched. A month at the edge is written anew
+    in a hidden folder, its new files are moved in, then the old ones are deleted: a
+    crash in between repeats rows, which current_view drops, and loses none.
+    """
+    facts = spark.read.parquet(path)
+    edges = facts.groupBy(month).agg(F.count_if(F.col(at) > cut).alias("kept"), F.count(F.lit(1)).alias("rows")).collect()  # a row a month
+    jvm = spark.sparkContext._jvm
+    folder = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs, done = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), {}
+    for r in edges:
+        name = "__HIVE_DEFAULT_PARTITION__" if r[month] is None else str(r[month])
+        own = f"{path}/{month}={name}"
+        if r["kept"] == r["rows"]:
+            done[name] = "kept"
+        elif r["kept"] == 0:
+            fs.delete(folder(own), True)
+            done[name] = "dropped"
+        else:
+            old = [f.getPath() for f in fs.listStatus(folder(own))]
+            hidden = f"{path}/.expire-{uuid.uuid4().hex}"
+            facts.where(F.col(month).eqNullSafe(F.lit(r[month])) & (F.col(at) > cut)).drop(month).write.parquet(hidden)
+            for f in fs.listStatus(folder(hidden)):
+                if not f.getPath().getName().startswith(("_", ".")):
+                    fs.rename(f.getPath(), folder(f"{own}/{f.getPath().getName()}"))
+            for f in old:
+                fs.delete(f, False)
+            fs.delete(folder(hidden), True)
+            done[name] = "rewritten"
+    return done
+
+
 LOGICAL_KEYS = {
     "page_metrics": ["owner_id", "scan_id", "page_id"],
     "findings": ["owner_id", "scan_id", "page_id", "rule_id", "rule_version", "finding_id"],
