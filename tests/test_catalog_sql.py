@@ -11,7 +11,8 @@ duckdb = pytest.importorskip("duckdb")
 #: Of other modules, those whose SQL says what sequential or parsed results must be.
 OTHERS = (
     "o001_read_fetches o006_write_partitioned o007_manifest o008_normalize_url o023_page_findings o024_uuid5 o034_semantic_role o051_page_links o053_rendered_metadata o059_filter_pages o069_crawl_depths o098_clone_plan o099_shard_plan "
-    "o100_sample_progress o106_clone_targets o108_css_alias_closure o111_project_scan_events o113_project_clone_events o117_page_facts o118_select_design_pages"
+    "o100_sample_progress o106_clone_targets o108_css_alias_closure o111_project_scan_events o113_project_clone_events o117_page_facts o118_select_design_pages "
+    "o002_decode_payloads o068_expand_frontier o079_outcome_latency o081_execution_counts o090_load_report o101_page_keyset_ranges o111_project_scan_events_stream o115_expire_partitions o119_plan_site_archive"
 ).split()
 NAMES = sorted({n for n in catalog.oracle_sql() if hasattr(scalars, n) or hasattr(signals, n)} | set(OTHERS))
 
