@@ -27,16 +27,6 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
-def powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-UP, DOWN = powers(CHUNK + 1, BASE), powers(CHUNK + 1, INVERSE)
-
-
 def words(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end (in bytes) of each word. Long inputs go in chunks that end at white space."""
     found, at, size = [], 0, len(data)
@@ -58,13 +48,18 @@ def words(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _chunk(buf: np.ndarray, base: int, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([0], (~SPACE[buf]).view(np.int8), [0])))
+    """A word's hash is the sum over its bytes of byte and place in the word, mixed together before they are summed:
+    no structure of words (as that of polynomials modulo a power of two) makes two of them equal."""
+    inside = ~SPACE[buf]
+    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = (UP, DOWN) if len(buf) <= CHUNK else (powers(len(buf) + 1, BASE), powers(len(buf) + 1, INVERSE))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE[FOLD[buf] if fold else buf] * up[: len(buf)], out=total[1:])
-    value = (total[end] - total[start]) * down[start]
-    return mix(value ^ (end - start).astype(np.uint64)), start + base, end + base
+    at, size = np.flatnonzero(inside), end - start
+    place = (at - np.repeat(start, size)).astype(np.uint64)
+    total = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(mix(BYTE[FOLD[buf[at]] if fold else buf[at]] + place * BASE), out=total[1:])
+    upto = np.cumsum(size)
+    value = total[upto] - total[upto - size]
+    return mix(value ^ size.astype(np.uint64)), start + base, end + base
 
 
 def batch_words(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
