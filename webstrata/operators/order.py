@@ -94,8 +94,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, str]
     histogram over ranges of values tells which range has the rank, and only that
     range's values are gone through: no task holds all values of a group.
     """
-    counts = df.groupBy(*keys, F.col(value).cast("long").alias("_value")).agg(F.count("_value" if value == "_value" else F.col(value)).alias("n"))
-    counts = counts.withColumn("_range", value_range(F.col("_value")))
+    counts = df.groupBy(*keys, F.col(value).cast("long").alias("_value")).agg(F.count(F.col(value)).alias("n"))
+    counts = written(counts).withColumn("_range", value_range(F.col("_value")))  # used three times; the rows are gone through once
     ranges = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("n"))
     listed = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("_range", "n")))).alias("ranges"), F.sum("n").alias("total"))
     start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("_range"))
