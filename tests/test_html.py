@@ -60,6 +60,23 @@ def test_tree_implied_ends():
     assert H.serialize(H.parse("<!doctype html><p title='\"'>a &amp; b<br></p>")) == '<!doctype html><html><head></head><body><p title="&quot;">a &amp; b<br></p></body></html>'
 
 
+def test_fingerprints_of_known_trees():
+    """Hashes of the stream of tags, written out: sorted classes (32 at most), roles, void elements with an end, the tree's order, not the page's."""
+    import hashlib
+
+    many = " ".join(f"c{k:02}" for k in range(40, 0, -1))
+    cases = {
+        '<!doctype html><div class="b  a" id="x" role=" Main ">t<p>x<br></div>': "<html><head></head><body><div.a.b[role=main]><p><br></br></p></div></body></html>",
+        "<b>1<p>2</b>3</p>": "<html><head></head><body><b></b><p><b></b></p></body></html>",
+        "<table><td>x": "<html><head></head><body><table><tbody><tr><td></td></tr></tbody></table></body></html>",
+        "": "<html><head></head><body></body></html>",
+        f'<title>t</title><i class="{many}">': "<html><head><title></title></head><body><i." + ".".join(f"c{k:02}" for k in range(1, 33)) + "></i></body></html>",
+    }
+    for page, stream in cases.items():
+        assert H.fingerprint(H.parse(page)) == hashlib.sha256(stream.encode()).hexdigest(), page
+    assert H.fingerprint(H.parse("<p></p>" * 3), most=4) == hashlib.sha256(b"<html><head></head><body><p></p></body></html>").hexdigest()
+
+
 def test_fingerprint_ignores_text_and_ids():
     a = H.fingerprint(H.parse('<div class="b a" id=x>one</div>'))
     assert a == H.fingerprint(H.parse('<div class="a  b" id=y>two</div>'))

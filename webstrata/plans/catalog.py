@@ -229,7 +229,7 @@ def o053_rendered_metadata(spark, sf_dir):
 
 @query()
 def o057_neutralize_html(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.coalesce("html", F.lit("")))
     known = F.create_map(F.lit("https://cdn.example/a.css"), F.lit("assets/a.css"))
     safe = html.rewrite_references(html.neutralize_html(F.col("html")), F.col("url"), known)
     return p.select("page_id", F.sha2(safe, 256).alias("html_sha256"), F.length(safe).alias("n_chars"))

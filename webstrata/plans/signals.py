@@ -15,12 +15,13 @@ def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = k.cast("string")
     robots = F.when(k % 2 == 0, '<meta name="ROBOTS" content="noindex"><meta name="robots" content="follow">').otherwise("")
     target = F.when(k % 3 == 0, F.col("url")).when(k % 3 == 1, "/other").otherwise("mailto:x@example.com")
-    links = F.concat(F.lit('<link rel="canonical" href="'), target, F.lit('"><link rel="alternate" hreflang="de" href="/de"><link rel="stylesheet" href="/s.css">'), F.when(k % 2 == 1, '<link rel="alternate" href="/feed">').otherwise(""))
+    links = F.concat(F.lit('<link rel="canonical" href="'), target, F.lit('"><link rel="alternate" hreflang="de" href="/de"><link rel="stylesheet" href="/s.css">'), F.when(k % 2 == 1, '<link rel="alternate" href="/feed">').otherwise(""),
+        F.when(k % 3 == 0, '<link rel="preload STYLESHEET" href="/t.css"><link rel="preload" href="/u.css">').otherwise(""))
     said = F.when(k % 5 == 0, F.concat(F.lit('<meta property="og:description" content=" About '), n, F.lit(' "><meta property="og:description" content="later">'))).otherwise("")
     title = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit('<meta property="OG:TITLE" content="T'), n, F.lit('">')))
     image = F.when(k % 3 == 0, "https://cdn.example/x?b=2&amp;a=1#f").when(k % 3 == 1, F.concat(F.lit("/i"), n, F.lit(".png"))).otherwise("javascript:x")
     graph = F.concat(title, said, F.lit('<meta property="og:image" content="'), image, F.lit('">'))
-    data = F.concat(F.lit('<script type="application/ld+json">{"@type": ["Article", "article"], "author": {"@type": "Person"}}</script>'), F.when(k % 4 == 0, '<script type="application/ld+json">{oops</script>').otherwise(""))
+    data = F.concat(F.lit('<script type="application/ld+json">{"@type": ["Article", "article"], "author": {"@type": "Person"}}</script>'), F.when(k % 3 == 1, F.concat(F.lit('<script type="application/ld+json">{"@type": "https://schema.org/Kind'), (k % 5).cast("string"), F.lit('"}</script>'))).otherwise(""), F.when(k % 4 == 0, '<script type="application/ld+json">{oops</script>').otherwise(""))
     # k % 4 images without an alternative, between others that need none or have one
     bare = F.array_join(F.transform(F.sequence(F.lit(0), k % 4), lambda i: F.when(i > 0, '<img src="/a"><img src="/b" alt="x">').otherwise("")), "")
     named = F.when(k % 2 == 0, '<img src="/d" alt=" "><img src="/e" aria-label="y"><img src="/f" aria-hidden="true">').otherwise('<img src="/g" role="presentation">')
@@ -62,7 +63,7 @@ def o046_page_open_graph(spark, sf_dir):
     return signalled(spark, sf_dir).select("page_id", *(F.col(f"open_graph_{x}").alias(x) for x in ("title", "description", "image_url")))
 
 
-@query("select page_id, 'Article|Person' as types, case when page_id % 4 = 0 then 1 else 0 end as errors from pages")
+@query("select page_id, concat('Article|Person', case when page_id % 3 = 1 then concat('|Kind', page_id % 5) else '' end) as types, case when page_id % 4 = 0 then 1 else 0 end as errors from pages")
 def o047_page_structured_data(spark, sf_dir):
     return signalled(spark, sf_dir).select("page_id", F.array_join("schema_types", "|").alias("types"), F.col("schema_error_count").cast("int").alias("errors"))
 
@@ -78,6 +79,6 @@ def o049_image_audit(spark, sf_dir):
     return signalled(spark, sf_dir).select("page_id", F.col("image_count").cast("int").alias("images"), F.col("missing_alt").cast("int").alias("missing_alt"), F.array_join(F.col("missing_alt_sample").cast("array<string>"), "|").alias("ordinals"))
 
 
-@query("select page_id, len(regexp_extract_all(html, '<script[ >]')) + case when page_id % 4 = 0 then 2 else 1 end as scripts, 1 as stylesheets from pages")
+@query("select page_id, len(regexp_extract_all(html, '<script[ >]')) + case when page_id % 4 = 0 then 2 else 1 end + case when page_id % 3 = 1 then 1 else 0 end as scripts, cast(case when page_id % 3 = 0 then 2 else 1 end as int) as stylesheets from pages")
 def o050_asset_counts(spark, sf_dir):
     return signalled(spark, sf_dir).select("page_id", F.col("script_count").cast("long").alias("scripts"), F.col("stylesheet_count").cast("int").alias("stylesheets"))
