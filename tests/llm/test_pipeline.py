@@ -38,3 +38,23 @@ def test_run(spark):
 
     rows = P.run(spark, SMALL).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 2048
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Null and empty texts, null ids and sources, repeated rows, extra columns with names that operators use: each stage keeps the columns."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(None, "the cat and the dog", "en", None, 3), (90_001, None, None, None, 0), (90_002, "", "en", "s", 0), (90_003, "a b c d e f", "en", "s", 1), (90_003, "a b c d e f", "en", "s", 1)], docs.schema)
+    more = docs.unionByName(odd).selectExpr("*", "1 as size", "2L as component_id", "'x' as keep_id", "true as kept", "0.5D as score")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for rows_in in (more, more.limit(0)):
+            out = stage(spark, rows_in, SMALL)
+            assert out.columns == more.columns, name
+            assert out.count() >= 0 and (rows_in is more or out.count() == 0), name
+    kept = {r.doc_id for r in corpus_pipeline.distinct_text(spark, more, SMALL).where("doc_id > 90000").collect()}
+    assert kept == {90_001, 90_003}
+    near = corpus_pipeline.one_of_near_copies(spark, more, SMALL).where("doc_id > 90000").groupBy("doc_id").count().collect()
+    assert {(r[0], r[1]) for r in near} == {(90_001, 1), (90_002, 1), (90_003, 2)}
+    pieces = corpus_pipeline.packed(spark, more, SMALL)
+    assert pieces.where("doc_id = 90001").first().length == 1 and corpus_pipeline.packed(spark, more.limit(0), SMALL).count() == 0
