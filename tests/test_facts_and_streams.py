@@ -9,8 +9,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows
+from tests.conftest import SMALL, rows
 from webstrata.operators import pages, workflow
+from webstrata.plans import staged as staged_queries
 from webstrata.sources import fetches
 from webstrata.streaming import events
 
@@ -218,3 +219,17 @@ def test_manifest_and_read(spark, tmp_path):
     spark.createDataFrame([("p", "https://e.com/")], "page_id string, final_url string").write.parquet(str(tmp_path / "f"))
     row = fetches.read_fetches(spark, str(tmp_path / "f")).first()
     assert row.page_id == "p" and row.status_code is None
+
+
+def test_payloads_are_parsed_once(spark):
+    """Each payload has its fields read by one parser, however many columns, filters and checks use them."""
+    staged_rows = spark.createDataFrame([("b", "o", "p", 1, "{}", "0")], "batch_id string, owner_id string, page_id string, result_version long, payload string, payload_sha256 string")
+    metrics, _, links = fetches.explode_page_results(fetches.decoded(staged_rows)[0])
+    for df in (metrics, links):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(StructField(owner_id") == 1
+        assert plan.count("from_json(") == 3  # the fields, what trails, the names of nested fields
+
+
+def test_staged_events_are_dealt_to_all_cores(spark):
+    assert staged_queries.staged(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

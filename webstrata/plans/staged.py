@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import html, rules, urls
 from webstrata.operators import archive, capture, pages, selection, workflow
-from webstrata.sources.tables import shared, written
+from webstrata.sources.tables import once, shared, spread, written
 from webstrata.plans import catalog, jobs
 from webstrata.plans.catalog import long, query
 from webstrata.plans.shapes import page_metrics, shape
@@ -19,7 +19,7 @@ from webstrata.streaming import events
 def staged(spark, sf_dir):
     """Events as staged page payloads; each 50th has another owner in its envelope, each 70th a wrong checksum, each 90th is cut;
     each 130th has more after it, each 170th is there twice."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     k = F.col("event_id")
     ident = F.lower(F.concat(F.lpad(F.hex(k), 8, "0"), F.lit("-0000-4000-8000-000000000000")))
     link = F.struct(F.concat(F.lit("https://Site.example/"), (k % 97).cast("string")).alias("target_url"), F.lit("x").alias("anchor_text"), F.lit("a").alias("tag"), F.lit(True).alias("is_internal"), (k % 2 == 0).alias("is_followable"), F.lit(0).alias("ordinal"))
@@ -32,9 +32,9 @@ def staged(spark, sf_dir):
         none("array<string>").alias("h1"), none("array<struct<language:string,url:string>>").alias("hreflang"), none("array<struct<url:string,status_code:int>>").alias("redirects"), F.when(k % 3 == 0, F.array(link)).otherwise(F.array(link, link.withField("ordinal", F.lit(1)))).alias("links"),
         F.when(k % 5 == 0, F.array(finding)).otherwise(none("array<struct<rule_id:string,rule_version:int,category:string,severity:string,code:string,message:string,evidence:map<string,string>>>")).alias("findings"),
     )
-    # written between the steps: struct fields would be computed anew for each use
-    rows = written(e.select(k.alias("event_id"), (F.col("user_id") % 10).cast("string").alias("own"), ident.alias("page_id"), result.alias("result")))
-    rows = written(rows.select("event_id", "own", "page_id", fetches.canonical_payload(F.col("result")).alias("payload"), fetches.payload_hash(F.col("result")).alias("good")))
+    rows = once(e.select(k.alias("event_id"), (F.col("user_id") % 10).cast("string").alias("own"), ident.alias("page_id"), "user_id", "event_type"), result=result)
+    rows = once(rows, payload=fetches.canonical_payload(F.col("result")))
+    rows = once(rows.select("event_id", "own", "page_id", "payload"), good=F.sha2("payload", 256))
     k = F.col("event_id")
     return rows.select(
         "event_id", F.concat(F.lit("b"), (k % 64).cast("string")).alias("batch_id"), F.when(k % 50 == 0, "other").otherwise(F.col("own")).alias("owner_id"), "page_id", F.lit(1).cast("bigint").alias("result_version"),
@@ -86,7 +86,7 @@ def o003_explode_page_links(spark, sf_dir):
 def o004_write_facts(spark, sf_dir):
     """Written, replayed, and read back: the replay adds nothing."""
     path = f"{shared(spark)}/facts-{uuid.uuid4().hex}"
-    good, _ = fetches.decoded(staged(spark, sf_dir))
+    good, _ = fetches.decoded(written(staged(spark, sf_dir)))
     for _ in range(2):
         fetches.write_facts(good, path)
     read = lambda n: spark.read.parquet(f"{path}/{n}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.functions import rules
+from webstrata.sources.tables import once
 
 FETCH = (
     "page_id string, owner_id string, scan_id string, requested_url string, final_url string, scope_host string, status_code int, content_type string, "
@@ -51,22 +52,20 @@ def unknown_fields(payload: Column) -> Column:
     schema = T.StructType.fromDDL(PAYLOAD)
     allowed = lambda s: F.array(*(F.lit(f.name) for f in s))
     out = F.array_except(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")), allowed(schema))
-    for field in schema:
-        if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
-            items = F.from_json(F.get_json_object(payload, f"$.{field.name}"), "array<string>")
-            nested = F.transform(items, beyond(allowed(field.dataType.elementType)))
-            out = F.concat(out, F.coalesce(F.flatten(nested), F.array().cast("array<string>")))
-    return out
+    lists = [f for f in schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+    items = F.from_json(payload, T.StructType([T.StructField(f.name, T.ArrayType(T.StringType())) for f in lists]), {"mode": "PERMISSIVE"})  # all lists in one go
+    names = lambda x: F.filter(F.array(*(F.flatten(F.transform(x[f.name], beyond(allowed(f.dataType.elementType)))) for f in lists)), lambda y: y.isNotNull())
+    return F.concat(out, F.flatten(F.flatten(F.transform(F.array(items), names))))
 
 
 def decode_payloads(staged: DataFrame) -> DataFrame:
     """Adds ``result`` (struct) and ``problem`` (null: good) to staged rows:
-    batch_id, owner_id, page_id, result_version, payload, payload_sha256."""
+    batch_id, owner_id, page_id, result_version, payload, payload_sha256. A payload is parsed once, however often its fields are used."""
     schema = T.StructType.fromDDL(PAYLOAD).add("_corrupt", T.StringType())
     parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = staged.withColumn("parsed", parsed)
+    rows = once(staged, parsed=parsed)
     plain = F.struct(*(F.col(f"parsed.{f.name}").alias(f.name) for f in T.StructType.fromDDL(PAYLOAD)))
-    rows = rows.withColumn("result", plain)
+    rows = once(rows, result=plain)
     envelope = F.col("result.owner_id").eqNullSafe(F.col("owner_id")) & F.col("result.page_id").eqNullSafe(F.col("page_id")) & F.col("result.result_version").eqNullSafe(F.col("result_version"))
     # one object and nothing after it: as the items of a list, what trails makes the list invalid or longer
     whole = F.from_json(F.concat(F.lit("["), "payload", F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
@@ -77,12 +76,16 @@ def decode_payloads(staged: DataFrame) -> DataFrame:
         .when(~envelope, "ENVELOPE_MISMATCH")
         .when(payload_hash(F.col("result")) != F.lower("payload_sha256"), "CHECKSUM_MISMATCH")
     )
-    return rows.withColumn("problem", problem).drop("parsed")
+    return once(rows, problem=problem).drop("parsed")
 
 
 def decoded(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine)."""
-    rows = decode_payloads(staged)
+    return parted(decode_payloads(staged))
+
+
+def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantine) of decoded rows."""
     return rows.where("problem is null").drop("problem"), rows.where("problem is not null").drop("result")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A table is small if there is less than this for each core.
 CORE_BYTES = 64 << 20
@@ -31,6 +32,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: as a generator's output, they are not put in place of their names in filters and projections."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small table in few files are dealt to all cores, before each costs a while in Python.
 
