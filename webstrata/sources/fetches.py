@@ -182,15 +182,12 @@ def write_facts(results: DataFrame, path: str, ingested_at: Column | None = None
     A crash in between repeats facts (current_view drops repeats), it never loses any.
     """
     spark, receipts = results.sparkSession, f"{path}/ingestion_receipts"
-    key = results.select("batch_id", "owner_id", "page_id", "result_version")
-    todo = results
-    if exists(spark, receipts):
-        done = spark.read.parquet(receipts).select("owner_id", F.col("aggregate_id").alias("page_id"), "batch_id")
-        batches = key.select("batch_id").distinct()
-        # only receipts of the batches at hand take part
-        todo = results.join(done.join(batches, "batch_id", "left_semi"), ["owner_id", "page_id", "batch_id"], "left_anti")
-    todo = todo.persist()
+    results = todo = results.persist()  # decoded once: for the batches at hand, three tables and the receipts
     try:
+        if exists(spark, receipts):
+            done = spark.read.parquet(receipts).select("owner_id", F.col("aggregate_id").alias("page_id"), "batch_id")
+            # only receipts of the batches at hand take part
+            todo = results.join(done.join(results.select("batch_id").distinct(), "batch_id", "left_semi"), ["owner_id", "page_id", "batch_id"], "left_anti").persist()
         for name, facts in zip(("page_metrics", "findings", "page_links"), explode_page_results(todo), strict=True):
             write_partitioned(facts, f"{path}/{name}", LOGICAL_KEYS[name])
         now = ingested_at if ingested_at is not None else F.current_timestamp()
@@ -201,6 +198,7 @@ def write_facts(results: DataFrame, path: str, ingested_at: Column | None = None
         receipt.write.mode("append").parquet(receipts)
     finally:
         todo.unpersist()
+        results.unpersist()
 
 
 def explode_capture_results(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
