@@ -281,8 +281,12 @@ def ingest_stream(staged: DataFrame, path: str, checkpoint: str, **trigger):
     """Starts a stream of staged payloads into fact tables; replays are skipped by their receipts, bad rows quarantined."""
 
     def write(batch: DataFrame, batch_no: int) -> None:
-        good, bad = fetches.decoded(batch.dropDuplicates(["owner_id", "page_id", "batch_id"]))
-        fetches.write_facts(good, path)
-        bad.write.mode("append").parquet(f"{path}/quarantine")
+        rows = fetches.decode_payloads(batch.dropDuplicates(["owner_id", "page_id", "batch_id"])).persist()  # decoded once for both
+        good, bad = fetches.parted(rows)
+        try:
+            fetches.write_facts(good, path)
+            bad.write.mode("append").parquet(f"{path}/quarantine")
+        finally:
+            rows.unpersist()
 
     return staged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
