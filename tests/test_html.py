@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
+
 from webstrata.functions import html as H
 
 BASIC = """<html><head><title> Home </title><meta name="description" content="About us"><link rel="canonical" href="/home?utm_source=test"></head>
@@ -110,3 +114,13 @@ def test_parse_pages_in_spark(spark):
     assert got[1].title == "T" and got[2].title == "" and got[2].links == []
     seen = H.rendered_metadata(df, keep=["id"]).where("id = 1").first()
     assert seen.title == "T" and seen.word_count == 0
+
+
+def test_rewriting_takes_a_slice_of_a_batch_apart_at_a_time():
+    pages = pa.array([f"{k:05d}" * 2000 for k in range(2000)] + [None])  # 20 MB
+    tracemalloc.start()
+    found = H.in_slices(lambda page: page[:5], pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [f"{k:05d}" for k in range(2000)] + [None]
+    assert peak < 6 << 20
