@@ -124,3 +124,9 @@ def test_rewriting_takes_a_slice_of_a_batch_apart_at_a_time():
     tracemalloc.stop()
     assert found.to_pylist() == [f"{k:05d}" for k in range(2000)] + [None]
     assert peak < 6 << 20
+
+
+def test_a_reference_without_its_semicolon_is_decoded():
+    """As HTML and the reference's parser have it: titles that are cut within ``&amp;``."""
+    f = facts("<title>a &&amp</title><h1>b &amp</h1>")
+    assert f["title"] == "a &&" and f["h1"] == ["b &"]
