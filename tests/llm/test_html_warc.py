@@ -147,6 +147,68 @@ def test_random_pages_against_brute_force(spark):
     check(spark, [(k, f"http://h{k % 3}.com/{k}", x) for k, x in enumerate(html)])
 
 
+def all_runs(rows):
+    """Texts of (page_id, host, blocks) of pages of plain divs: all runs of RUN tokens of all pages of a host, as words. No hashes, no picks."""
+    hosts = {}
+    for _, h, b in rows:
+        hosts.setdefault(h, set()).add(tuple(b))
+    runs, whole, out = {}, {}, {}
+    for h, pages in hosts.items():
+        for b in pages:
+            words = " ".join(b).split(" ")
+            for r in {tuple(words[k : k + RUN]) for k in range(len(words) - RUN + 1)}:
+                runs[h, r] = runs.get((h, r), 0) + 1
+            for t in set(b):
+                whole[h, t] = whole.get((h, t), 0) + 1
+    for i, h, b in rows:
+        words = " ".join(b).split(" ")
+        hit = {j for k in range(len(words) - RUN + 1) if runs[h, tuple(words[k : k + RUN])] >= 3 for j in range(k, k + RUN)}
+        at, kept = 0, []
+        for t in b:
+            size = len(t.split(" "))
+            pages = 3 if 4 <= size < RUN else max(20, 0.9 * len(hosts[h]))
+            if len(hit & set(range(at, at + size))) / size < COVER and not (size < RUN and whole[h, t] >= pages):
+                kept.append(t)
+            at += size
+        out[i] = "\n".join(kept)
+    return out
+
+
+def all_runs_check(spark, rows):
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", "".join(f"<div>{t}</div>" for t in b), "") for i, h, b in rows], PAGES)
+    want = all_runs(rows)
+    for parts, size in ((3, 200), (7, 3)):
+        assert {r.page_id: r.text for r in H.extract_text(df.repartition(parts), group_pages=size).collect()} == want
+    return want
+
+
+def test_every_shared_run_counts(spark):
+    """Passages of 8 to 10 tokens that three pages share are found each, whatever is around them."""
+    passages = [" ".join(f"p{n}x{k}w{j}" for j in range(n)) for n in (8, 9, 10) for k in range(30)]
+    rows = [(3 * k + j, "h.com", [f"own{k} before{j} it{j}", p, f"own{k} after{j} it{j}"]) for k, p in enumerate(passages) for j in range(3)]
+    want = all_runs_check(spark, rows)
+    assert want == {3 * k + j: f"own{k} before{j} it{j}\nown{k} after{j} it{j}" for k in range(90) for j in range(3)}
+
+
+def test_blocks_of_few_tokens(spark):
+    """An open block of few tokens goes if nearly all pages have it, 20 at least."""
+    rows = [(k, "h.com", ["Home", f"own words {k}", "See also"] if k < 19 else ["Home", f"own words {k}"]) for k in range(21)] + [(100 + k, "few.com", ["Home", f"{k}"]) for k in range(19)]
+    want = all_runs_check(spark, rows)
+    assert want == {k: f"own words {k}" + ("\nSee also" if k < 19 else "") for k in range(21)} | {100 + k: f"Home\n{k}" for k in range(19)}
+
+
+def test_random_runs_against_words(spark):
+    """Words of two letters, so that runs and anchors of different passages meet; runs that start and end anywhere."""
+    rnd = np.random.default_rng(11)
+    rows = []
+    for i in range(150):
+        base = rnd.integers(0, 2, 60) if i % 5 else np.arange(60) % 7
+        cuts = sorted({0, 60, *rnd.integers(1, 60, 6).tolist()})
+        rows.append((i, f"h{i % 2}.com", [" ".join(f"v{x}" if j % 9 else f"v{x}n{rnd.integers(0, 6)}" for j, x in enumerate(base[a:b].tolist(), a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+    want = all_runs_check(spark, rows)
+    assert 0 < sum(map(len, want.values())) < sum(len("\n".join(b)) for _, _, b in rows)
+
+
 def test_given_pages(spark):
     """Against the documents that the pages were made from."""
     import re

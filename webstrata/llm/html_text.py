@@ -12,9 +12,10 @@ over their concatenated token streams. It finds the runs of tokens that several
 have, and how many. A run's pages are summed up over all stretches of its host, so that
 no result depends on how pages are dealt. Blocks that shared runs cover are boilerplate.
 
-Not every run is counted over stretches, but the run with the least hash of each few
-neighbours (and a page's first and last): a passage of ``run + SPARSE - 1`` tokens or more
-has such runs, the same ones on each page.
+All runs are counted, in two rounds, as most are on one page only. A run's anchor is the
+part of it, PLACES - 1 tokens shorter, with the least hash: equal runs have equal anchors, and
+a page has fewer anchors than runs. The first round counts anchors over hosts, the second
+all runs whose anchor enough pages have. The others can't be on enough pages, so that nothing is lost.
 
 Copies of a page are content: what tells boilerplate is that the pages around it differ,
 so pages of a host whose texts are equal count as one. Inside an article or main element
@@ -69,8 +70,8 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: Zones of a block. GONE, PART: not content; an article inside a PART is. OTHER: open. SOME: in an article, but in a part
 #: with an open name. INNER, MAIN: in an article or main element, inside a PART, and elsewhere.
 GONE, PART, OTHER, SOME, INNER, MAIN = range(6)
-#: Of so many neighbouring runs, one is counted over stretches.
-SPARSE = 4
+#: Of so many parts of a run, one is its anchor.
+PLACES = 4
 #: Keys of pages that a task remembers, so as not to send their copies on.
 REMEMBERED = 1 << 18
 #: Rows (8 to 100 bytes each) that are sent to all tasks at most.
@@ -232,39 +233,38 @@ class Stream:
         self.owner = np.insert(page, ends, np.arange(len(pages)))
         self.separators = ends + np.arange(len(pages))
 
-    def picked(self, run: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the runs start that are counted over stretches, and their hashes: in each SPARSE neighbouring runs of a page the least, and its first and last."""
+    def runs(self, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of ``run`` tokens start that lie within a page, and their hashes: all of them."""
         hashes = W.windows(self.tokens, run)
-        n = len(hashes)
-        whole = np.arange(n) + run <= self.separators[self.owner[:n]]
-        value = np.where(whole, hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
-        pick = np.zeros(n, bool)
-        if n >= SPARSE:
-            near = np.lib.stride_tricks.sliding_window_view(value, SPARSE)
-            least = np.arange(len(near)) + near.argmin(1)
-            inside = whole[: len(near)] & whole[SPARSE - 1 :] & (self.owner[: len(near)] == self.owner[SPARSE - 1 : SPARSE - 1 + len(near)])
-            pick[least[inside]] = True
-        same = self.owner[:n]
-        pick |= whole & np.append(True, same[1:] != same[:-1])[:n]
-        ends = self.separators - run
-        ends = ends[ends >= 0]
-        ends = ends[whole[ends]]
-        pick[ends] = True
-        at = np.flatnonzero(pick)
+        at = np.arange(len(hashes))
+        at = at[at + run <= self.separators[self.owner[: len(hashes)]]]
         return at, hashes[at]
 
+    def anchors(self, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of these runs, where its anchor starts, and the anchor's hash."""
+        size = anchor_size(run)
+        at, parts = self.runs(run)[0], W.windows(self.tokens, size)
+        if not len(at):
+            return at, np.empty(0, np.uint64)
+        least = at + np.lib.stride_tricks.sliding_window_view(parts, run - size + 1).argmin(1)[at]
+        return least, parts[least]
+
     def shares(self, shared: np.ndarray) -> np.ndarray:
         """For each block, the share of its tokens that are marked; 0 for a block without tokens."""
         hits = np.concatenate(([0], np.cumsum(np.delete(shared, self.separators))))
         return (hits[self.bound[1:]] - hits[self.bound[:-1]]) / np.maximum(np.diff(self.bound), 1)
 
 
-def run_pages(s: Stream, run: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The hashes of the picked runs of a stretch, sorted, and the page of each; one row for a run on a page, by the suffix array."""
-    at, hashes = s.picked(run)
+def anchor_size(run: int) -> int:
+    """Tokens of an anchor."""
+    return max(1, run - PLACES + 1)
+
+
+def run_pages(s: Stream, at: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of runs of ``size`` tokens of a stretch, and the page of each; one row for a run on a page, by the suffix array."""
     if not len(at):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    order, same = suffix_array(s.tokens, run)
+    order, same = suffix_array(s.tokens, size)
     group = np.empty(len(s.tokens), np.int64)
     group[order] = np.cumsum(~same)
     pages = len(s.separators)
@@ -272,39 +272,83 @@ def run_pages(s: Stream, run: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     return hashes[rows], s.owner[at][rows]
 
 
-#: Kinds of marks: a run; a whole block inside an article; a whole open block that is shorter than a run; a host.
-RUN, BLOCK, SHORT, HOST = 0, 1, 2, 3
-#: Tokens of a short block that can be boilerplate by itself; of fewer, only with what is around it.
+#: Kinds of marks: a run; a run's anchor; a whole block inside an article, or an open one of few tokens; a whole open block that is shorter than a run; a host.
+RUN, ANCHOR, BLOCK, SHORT, HOST = range(5)
+#: Tokens of a short block that ``least_pages`` make boilerplate; one of fewer must be on nearly all pages, or have runs around it.
 LEAST_SHORT = 4
 
 
-def block_mark(text: str, zone: int, host: int, run: int) -> int | None:
-    """The mark of a block that is counted as a whole, if it is: in an article always, elsewhere if it is too short for a run."""
+def block_mark(text: str, zone: int, host: int, run: int) -> tuple[int, int] | None:
+    """The kind and mark of a block that is counted as a whole. Open blocks of ``run`` tokens or more are not: pages that have them have all of their runs."""
     if zone in (MAIN, INNER):
-        return digest([text], f"block {host}")
-    return digest([text], f"short {host}") if LEAST_SHORT <= text.count(" ") + 1 < run else None
+        return BLOCK, digest([text], f"block {host}")
+    tokens = text.count(" ") + 1
+    if tokens >= run:
+        return None
+    return (SHORT, digest([text], f"short {host}")) if tokens >= LEAST_SHORT else (BLOCK, digest([text], f"few {host}"))
+
+
+def partial_counts(hosts: np.ndarray, keys: np.ndarray, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A row for each mark of a stretch, with its number of pages and their keys. parts: kind, marks, and the page of each, one row for a mark on a page."""
+    mark, page = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    kind = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
+    order = np.lexsort((mark, kind))
+    mark, page, kind = mark[order], page[order], kind[order]
+    start = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]) | (kind[1:] != kind[:-1]))[: len(mark)])
+    bound = np.append(start, len(mark))
+    who = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(keys[page]))
+    return pa.RecordBatch.from_arrays([pa.array(mark[start]), pa.array(kind[start]), pa.array(hosts[page[start]]), pa.array(np.diff(bound)), who], names=["mark", "kind", "host", "n", "keys"])
+
+
+COUNTS = "mark long, kind int, host long, n long, keys array<long>"
 
 
 def shared_on_hosts(found: DataFrame, least_pages: int, least_main: int, most_share: float) -> DataFrame:
-    """(mark) of the runs and blocks (mark, kind, host, n; partial counts of pages) that enough distinct pages of their host have."""
+    """(mark, kind) of the runs and blocks (mark, kind, host, n; partial counts of pages) that enough distinct pages of their host have."""
     n = found.groupBy("mark", "kind", "host").agg(F.sum("n").alias("n"))
     sizes = materialize(n.where(F.col("kind") == HOST).select("host", F.col("n").alias("pages")), "hosts")
-    runs = n.where(F.col("kind").isin(RUN, SHORT) & (F.col("n") >= least_pages)).select("mark")
+    runs = n.where(F.col("kind").isin(RUN, ANCHOR, SHORT) & (F.col("n") >= least_pages)).select("mark", "kind")
     whole = n.where((F.col("kind") == BLOCK) & (F.col("n") >= least_main))
-    whole = whole.join(F.broadcast(sizes) if sizes.count() <= SMALL else sizes, "host").where(F.col("n") >= F.ceil(F.col("pages") * most_share)).select("mark")
+    whole = whole.join(F.broadcast(sizes) if sizes.count() <= SMALL else sizes, "host").where(F.col("n") >= F.ceil(F.col("pages") * most_share)).select("mark", "kind")
     return materialize(runs.unionByName(whole), "shared")
 
 
+def held(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, mark, kind): what each page has of it. Few marks go to all tasks, else a mark's rows are dealt over salts."""
+    has = found.where(F.col("kind") != HOST).select("mark", "keys")
+    if shared.count() <= SMALL:
+        has = has.join(F.broadcast(shared), "mark")
+    else:
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        has = has.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(SALTS)).cast("int")).join(salted, ["mark", "salt"])
+    return has.select(F.explode("keys").alias("key"), "mark", "kind")
+
+
+def stretches(batches: Iterator[pa.RecordBatch], group_pages: int) -> Iterator[list]:
+    """The columns of up to ``group_pages`` distinct pages (host, key and lists) of rows in the order of host and key: hosts and keys as arrays, the others as lists."""
+    last = None
+    for batch in batches:
+        own, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]
+        if len(key) and last == (own[0], key[0]):
+            new[0] = False
+        last = (own[-1], key[-1]) if len(key) else last
+        batch = batch.filter(pa.array(new))
+        for at in range(0, batch.num_rows, group_pages):
+            part = batch.slice(at, group_pages)
+            yield [c.to_numpy() if i < 2 else c.to_pylist() for i, c in enumerate(part.columns)]
+
+
 def extract_text(pages: DataFrame, *, group_pages: int = 200, run: int = 8, least_pages: int = 3, least_main: int = 20, most_share: float = 0.9, cover: float = 0.6) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     ``group_pages``: at most so many pages share a suffix array; no group grows with the
-    input, and no result depends on the groups. ``run``: tokens in a shared run.
+    input, and no result depends on the groups. ``run``: tokens in a shared run; all are looked at.
     ``least_pages``: pages of the host with distinct texts that make it boilerplate, where
     ``cover`` of a block's tokens lie in such runs, or all of a block of LEAST_SHORT tokens or
     more, but less than a run, is on so many pages. In an article or main element a block
     is boilerplate if ``most_share`` of the host's distinct pages, and ``least_main`` of
-    them, have all of it.
+    them, have all of it; so is an open block of less than LEAST_SHORT tokens.
 
     Null html is an empty page and gives an empty text; pages without a host in their url
     are of one host; repeated rows give equal texts; extra columns are ignored; an empty table gives
@@ -315,9 +359,9 @@ def extract_text(pages: DataFrame, *, group_pages: int = 200, run: int = 8, leas
     rows = spread(pages.select("page_id", "url", F.xxhash64(host).alias("host"), "html"))
 
     def marked(kept: list[tuple[str, int]], host: int) -> tuple[int, list[str], list[int], list[int]]:
-        """A page's key, the texts of its open blocks, and the marks of its blocks: in an article, and open."""
-        inside, short = ({m for t, z in kept if (z in (MAIN, INNER)) == article and (m := block_mark(t, z, host, run)) is not None} for article in (True, False))
-        return digest([t for t, _ in kept], str(host)), [t for t, z in kept if z not in (MAIN, INNER)], sorted(inside), sorted(short)
+        """A page's key, the texts of its open blocks, and the marks of its blocks, by kind."""
+        marks = {m for t, z in kept if (m := block_mark(t, z, host, run)) is not None}
+        return digest([t for t, _ in kept], str(host)), [t for t, z in kept if z not in (MAIN, INNER)], *(sorted(m for kind, m in marks if kind == k) for k in (BLOCK, SHORT))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -332,49 +376,47 @@ def extract_text(pages: DataFrame, *, group_pages: int = 200, run: int = 8, leas
                 seen.clear()
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "key", "texts", "inside", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "key", "texts", "whole", "short"])
 
-    distinct = map_batches(rows, cut, "host long, key long, texts array<string>, inside array<long>, short array<long>")
-    # a host's pages lie together, copies of a page side by side; a large host is dealt over many tasks
+    distinct = map_batches(rows, cut, "host long, key long, texts array<string>, whole array<long>, short array<long>")
     distinct = materialize(distinct, "blocks")
-    dealt = distinct.repartitionByRange("host", "key").sortWithinPartitions("host", "key")
+
+    def deal(df: DataFrame) -> DataFrame:
+        """A host's pages lie together, copies of a page side by side; a large host is dealt over many tasks."""
+        return df.repartitionByRange("host", "key").sortWithinPartitions("host", "key")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            key, own = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]
-            if len(key) and last == (own[0], key[0]):
-                new[0] = False
-            last = (own[-1], key[-1]) if len(key) else last
-            batch = batch.filter(pa.array(new))
-            for at in range(0, batch.num_rows, group_pages):
-                part = batch.slice(at, group_pages)
-                yield from count(part.column(0).to_numpy(), part.column(1).to_numpy(), *(part.column(i).to_pylist() for i in (2, 3, 4)))
-
-    def count(hosts: np.ndarray, keys: np.ndarray, texts: list[list[str]], inside: list[list[int]], short: list[list[int]]) -> Iterator[pa.RecordBatch]:
-        run_hash, page = run_pages(Stream(texts, hosts.view(np.uint64)), run)
-        parts = [(RUN, run_hash.view(np.int64), page), (HOST, hosts, np.arange(len(keys)))]
-        for k, marks in ((BLOCK, inside), (SHORT, short)):
-            parts.append((k, np.array([x for m in marks for x in m], np.int64), np.repeat(np.arange(len(keys)), [len(m) for m in marks])))
-        mark, page = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        kind = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
-        order = np.lexsort((mark, kind))
-        mark, page, kind = mark[order], page[order], kind[order]
-        start = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]) | (kind[1:] != kind[:-1]))[: len(mark)])
-        who = pa.ListArray.from_arrays(pa.array(np.append(start, len(mark)).astype(np.int32)), pa.array(keys[page]))
-        yield pa.RecordBatch.from_arrays([pa.array(mark[start]), pa.array(kind[start]), pa.array(hosts[page[start]]), pa.array(np.diff(np.append(start, len(mark)))), who], names=["mark", "kind", "host", "n", "keys"])
-
-    found = materialize(map_batches(dealt, find, "mark long, kind int, host long, n long, keys array<long>"), "runs")
-    shared = shared_on_hosts(found, least_pages, least_main, most_share)
-    # what each page has of it; few marks go to all tasks, else a mark's rows are dealt over salts
-    has = found.where(F.col("kind") != HOST).select("mark", "keys")
-    if shared.count() <= SMALL:
-        has = has.join(F.broadcast(shared), "mark")
-    else:
-        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        has = has.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(SALTS)).cast("int")).join(salted, ["mark", "salt"])
-    decided = materialize(has.select("mark", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set("mark").alias("shared")), "decided")
+        for hosts, keys, texts, whole, short in stretches(batches, group_pages):
+            s = Stream(texts, hosts.view(np.uint64))
+            anchor, page = run_pages(s, *s.anchors(run), anchor_size(run))
+            parts = [(ANCHOR, anchor.view(np.int64), page), (HOST, hosts, np.arange(len(keys)))]
+            for k, marks in ((BLOCK, whole), (SHORT, short)):
+                parts.append((k, np.array([x for m in marks for x in m], np.int64), np.repeat(np.arange(len(keys)), [len(m) for m in marks])))
+            yield partial_counts(hosts, keys, parts)
+
+    found = materialize(map_batches(deal(distinct), find, COUNTS), "anchors")
+    first = held(found, shared_on_hosts(found, least_pages, least_main, most_share))
+    of = lambda *kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("mark")))
+    first = materialize(first.groupBy("key").agg(of(ANCHOR).alias("anchors"), of(BLOCK, SHORT).alias("shared")), "first")
+
+    def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hosts, keys, texts, anchors in stretches(batches, group_pages):
+            s = Stream(texts, hosts.view(np.uint64))
+            at, hashes = s.runs(run)
+            # an anchor is its host's, so that it need not be told for each page
+            ok = np.isin(s.anchors(run)[1].view(np.int64), np.array([a for own in anchors for a in own], np.int64))
+            runs, page = run_pages(s, at[ok], hashes[ok], run)
+            yield partial_counts(hosts, keys, [(RUN, runs.view(np.int64), page)])
+
+    decided = first.where(F.size("shared") > 0).select("key", "shared")
+    anchored = first.where(F.size("anchors") > 0).select("key", "anchors")
+    if not anchored.isEmpty():
+        # a page has few copies here: a task sends it on once
+        found = materialize(map_batches(deal(distinct.join(anchored, "key").select("host", "key", "texts", "anchors")), find_runs, COUNTS), "runs")
+        runs = held(found, shared_on_hosts(found, least_pages, least_main, most_share)).groupBy("key").agg(F.collect_set("mark").alias("runs"))
+        both = decided.join(runs, "key", "full")
+        decided = both.select("key", F.concat(*(F.coalesce(c, F.array().cast("array<long>")) for c in ("shared", "runs"))).alias("shared"))
+    decided = materialize(decided, "decided")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,9 +449,14 @@ def main_text(kept: list[tuple[str, int]], host: int, shared: list[int], run: in
         return [t for t, _ in kept]
     known, open_ = set(shared), [t for t, z in kept if z not in (MAIN, INNER)]
     s = Stream([open_], np.array([host], np.int64).view(np.uint64))
-    at, hashes = s.picked(run)
+    at, hashes = s.runs(run)
     start = np.zeros(len(s.tokens), np.int64)
     start[at] = np.isin(hashes.view(np.int64), np.array(shared, np.int64))
     share = iter(s.shares(over_runs(start, run)))
-    stays = [block_mark(t, z, host, run) not in known and (z in (MAIN, INNER) or covered < cover) for (t, z), covered in ((b, 0.0 if b[1] in (MAIN, INNER) else next(share)) for b in kept)]
-    return [t for (t, _), ok in zip(kept, stays, strict=True) if ok]
+    out = []
+    for t, z in kept:
+        covered = 0.0 if z in (MAIN, INNER) else next(share)
+        mark = block_mark(t, z, host, run)
+        if (mark is None or mark[1] not in known) and covered < cover:
+            out.append(t)
+    return out
