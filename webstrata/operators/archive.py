@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +22,24 @@ ENTRY_OVERHEAD = 256
 
 @dataclass
 class PagePlan:
-    """What one page's archive holds so far."""
+    """What one page's archive holds so far. The page's URL is looked into when a resource asks for it."""
 
-    origin: tuple[str, str]
-    used: set[str]
+    final_url: str
     size: int
     files: int = 1
     known: dict[tuple, str] = field(default_factory=dict)
 
+    @cached_property
+    def origin(self) -> tuple[str, str]:
+        return site_of(self.final_url)
+
+    @cached_property
+    def used(self) -> set[str]:
+        return {urls.local_path(self.final_url, "text/html").lower()}
+
 
 def site_of(url: str) -> tuple[str, str]:
-    parts = urls.split(url)
-    return parts.scheme, urls.authority(parts, userinfo=False)
+    return urls.site_and_path(url)[:2]
 
 
 def clone_plan(resources: DataFrame, most_files: int = MOST_FILES, most_bytes: int = MOST_INPUT) -> DataFrame:
@@ -44,12 +51,12 @@ def clone_plan(resources: DataFrame, most_files: int = MOST_FILES, most_bytes: i
     """
 
     def start(r: dict) -> PagePlan:
-        return PagePlan(site_of(r["final_url"]), {urls.local_path(r["final_url"], "text/html").lower()}, r["html_bytes"] or 0)
+        return PagePlan(r["final_url"], r["html_bytes"] or 0)
 
     def choose(p: PagePlan, r: dict) -> tuple[str | None, str | None]:
         if r["skip_reason"] is not None or r["body_bytes"] is None:
             return None, r["skip_reason"] or "BODY_UNAVAILABLE"
-        if site_of(r["source_url"]) != p.origin and not r["is_visual"]:
+        if not r["is_visual"] and site_of(r["source_url"]) != p.origin:
             return None, "EXTERNAL_ORIGIN"
         # stylesheets with relative references mean other things at other places
         key = (r["body_sha256"], r["mime"], r["source_url"] if r["resource_type"] == "stylesheet" else "")
@@ -70,12 +77,12 @@ def clone_plan(resources: DataFrame, most_files: int = MOST_FILES, most_bytes: i
 
 
 def free_path(path: str, used: set[str]) -> str:
-    stem, extension = posixpath.splitext(path)
     candidate, k = path, 0
-    while candidate.lower() in used:
+    while (low := candidate.lower()) in used:
         k += 1
+        stem, extension = posixpath.splitext(path)
         candidate = f"{stem}_{k}{extension}"
-    used.add(candidate.lower())
+    used.add(low)
     return candidate
 
 

@@ -16,6 +16,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def unpacked(column: pa.Array) -> list:
+    """``to_pylist``, without a scalar for each value where types allow it."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or not column.null_count and (pa.types.is_integer(kind) or pa.types.is_boolean(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[dict], Any], step: Callable[[Any, dict], tuple | None], schema: str) -> DataFrame:
     """One output tuple, or none, for each row: ``state = start(first row)`` for a group, then ``step(state, row)``."""
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
@@ -25,7 +33,9 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[dict
         key, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            names = batch.schema.names
+            for values in zip(*map(unpacked, batch.columns), strict=True):
+                row = dict(zip(names, values, strict=False))
                 own = tuple(row[k] for k in keys)
                 if own != key or state is None:
                     key, state = own, start(row)
