@@ -231,5 +231,40 @@ def test_payloads_are_parsed_once(spark):
         assert plan.count("from_json(") == 3  # the fields, what trails, the names of nested fields
 
 
+def test_facts_are_written_without_a_cache(spark, tmp_path, monkeypatch):
+    """Rows for several writes lie in files, which go at the end: caches of whole partitions are more than an executor holds."""
+    a, b = str(uuid.uuid4()), str(uuid.uuid4())
+    path, source = str(tmp_path / "facts"), str(tmp_path / "in")
+    both = staged(spark, payload(a, "INFO"), payload(b, "INFO"))
+
+    def persist(*_):
+        raise AssertionError("cached")
+
+    monkeypatch.setattr(type(both), "persist", persist)
+    fetches.write_facts(fetches.decoded(both)[0], path)
+    both.write.parquet(source)
+    assert events_ingest(spark, both, source, path, str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(f"{path}/page_metrics").count() == 2
+    assert not list((tmp_path / "facts").glob("rows-*"))
+
+
+def test_only_rows_without_a_receipt_are_added(spark, tmp_path):
+    """Of a replay that brings old and new pages, the new ones are; rows without a batch have no receipt that they could match."""
+    ids = [str(uuid.uuid4()) for _ in range(3)]
+    path = str(tmp_path / "facts")
+    good = fetches.decoded(staged(spark, *(payload(x, "INFO") for x in ids)))[0]
+    first = good.where(F.col("page_id") != ids[2])
+    odd = good.where(F.col("page_id") == ids[2]).withColumn("batch_id", F.lit(None).cast("string"))
+    when = F.lit(T0)
+    fetches.write_facts(first, path, when)
+    fetches.write_facts(good, path, F.col("result.accepted_at"))
+    fetches.write_facts(odd.unionByName(first), path, when)
+    fetches.write_facts(odd, path, when)
+    count = lambda name, key: dict(rows(spark.read.parquet(f"{path}/{name}").groupBy(key).count()))
+    want = {ids[0]: 1, ids[1]: 1, ids[2]: 3}
+    assert count("page_metrics", "page_id") == count("findings", "page_id") == count("page_links", "source_page_id") == count("ingestion_receipts", "aggregate_id") == want
+    assert not list((tmp_path / "facts").glob("rows-*"))
+
+
 def test_staged_events_are_dealt_to_all_cores(spark):
     assert staged_queries.staged(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -86,7 +86,7 @@ def o003_explode_page_links(spark, sf_dir):
 def o004_write_facts(spark, sf_dir):
     """Written, replayed, and read back: the replay adds nothing."""
     path = f"{shared(spark)}/facts-{uuid.uuid4().hex}"
-    good, _ = fetches.decoded(written(staged(spark, sf_dir)))
+    good = written(fetches.decoded(staged(spark, sf_dir))[0].select(*fetches.RESULT))
     for _ in range(2):
         fetches.write_facts(good, path)
     read = lambda n: spark.read.parquet(f"{path}/{n}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.functions import rules
-from webstrata.sources.tables import once
+from webstrata.sources.tables import laid_down, once
 
 FETCH = (
     "page_id string, owner_id string, scan_id string, requested_url string, final_url string, scope_host string, status_code int, content_type string, "
@@ -174,31 +174,48 @@ LOGICAL_KEYS = {
     "page_links": ["owner_id", "scan_id", "source_page_id", "edge_id"],
     "rendered_page_metrics": ["owner_id", "capture_request_id", "page_id"],
 }
+#: What tells a receipt, and what is read of decoded rows.
+RECEIPT = ["owner_id", "page_id", "batch_id"]
+RESULT = [*RECEIPT, "result_version", "result"]
 
 
 def write_facts(results: DataFrame, path: str, ingested_at: Column | None = None) -> None:
     """Idempotent write of decoded results: batches with a receipt are skipped; facts come first, receipts last.
 
-    A crash in between repeats facts (current_view drops repeats), it never loses any.
+    Results are laid down below ``path`` once, for the receipts and the four writes. A
+    crash in between repeats facts (current_view drops repeats), it never loses any.
     """
+    at = [] if ingested_at is None else [ingested_at.alias("ingested_at")]
+    with laid_down(results.select(*RESULT, *at), path) as rows:
+        append_facts(rows, path, F.col("ingested_at") if at else None)
+
+
+def append_facts(results: DataFrame, path: str, ingested_at: Column | None = None) -> None:
+    """write_facts of rows that are read from files, as they are read several times."""
     spark, receipts = results.sparkSession, f"{path}/ingestion_receipts"
-    results = todo = results.persist()  # decoded once: for the batches at hand, three tables and the receipts
-    try:
-        if exists(spark, receipts):
-            done = spark.read.parquet(receipts).select("owner_id", F.col("aggregate_id").alias("page_id"), "batch_id")
-            # only receipts of the batches at hand take part
-            todo = results.join(done.join(results.select("batch_id").distinct(), "batch_id", "left_semi"), ["owner_id", "page_id", "batch_id"], "left_anti").persist()
-        for name, facts in zip(("page_metrics", "findings", "page_links"), explode_page_results(todo), strict=True):
-            write_partitioned(facts, f"{path}/{name}", LOGICAL_KEYS[name])
-        now = ingested_at if ingested_at is not None else F.current_timestamp()
-        receipt = todo.select(
-            "owner_id", F.col("page_id").alias("aggregate_id"), "batch_id", F.col("result_version").alias("receipt_version"),
-            F.lit(1).alias("metric_rows"), F.greatest(F.size("result.findings"), F.lit(0)).alias("finding_rows"), F.greatest(F.size("result.links"), F.lit(0)).alias("link_rows"), now.alias("ingested_at"),
-        )
-        receipt.write.mode("append").parquet(receipts)
-    finally:
-        todo.unpersist()
-        results.unpersist()
+    if exists(spark, receipts):
+        done = spark.read.parquet(receipts).select("owner_id", F.col("aggregate_id").alias("page_id"), "batch_id")
+        # only receipts of the batches at hand take part
+        done = done.join(results.select("batch_id").distinct(), "batch_id", "left_semi")
+        new = lambda rows: rows.join(done, RECEIPT, "left_anti")
+        n, fresh = results.count(), new(results.select(*RECEIPT)).count()  # keys only: whole rows are moved where some are new
+        if fresh < n:
+            if fresh:
+                with laid_down(new(results), path) as rest:
+                    append_rows(rest, path, ingested_at)
+            return
+    append_rows(results, path, ingested_at)
+
+
+def append_rows(results: DataFrame, path: str, ingested_at: Column | None) -> None:
+    for name, facts in zip(("page_metrics", "findings", "page_links"), explode_page_results(results), strict=True):
+        write_partitioned(facts, f"{path}/{name}", LOGICAL_KEYS[name])
+    now = ingested_at if ingested_at is not None else F.current_timestamp()
+    receipt = results.select(
+        "owner_id", F.col("page_id").alias("aggregate_id"), "batch_id", F.col("result_version").alias("receipt_version"),
+        F.lit(1).alias("metric_rows"), F.greatest(F.size("result.findings"), F.lit(0)).alias("finding_rows"), F.greatest(F.size("result.links"), F.lit(0)).alias("link_rows"), now.alias("ingested_at"),
+    )
+    receipt.write.mode("append").parquet(f"{path}/ingestion_receipts")
 
 
 def explode_capture_results(captures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def laid_down(df: DataFrame, path: str) -> Iterator[DataFrame]:
+    """A reader of ``df``, written once to a folder below ``path`` that is removed at the end.
+
+    For rows that several jobs read: a cache has whole partitions of batches on the heap,
+    and where they don't fit, its serializer holds many batches of each task; files need
+    one row group a task, and a job reads only its columns.
+    """
+    spark = df.sparkSession
+    own = f"{path}/rows-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(own)
+        yield spark.read.schema(df.schema).parquet(own)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are computed once a row: as a generator's output, they are not put in place of their names in filters and projections."""
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from webstrata.operators.folds import fold
 from webstrata.sources import fetches
+from webstrata.sources.tables import laid_down
 
 TERMINAL = frozenset(("COMPLETED", "PARTIAL_SUCCESS", "FAILED", "CANCELLED"))
 SCAN_STATES = TERMINAL | {"QUEUED", "RUNNING", "CANCEL_REQUESTED"}
@@ -146,8 +148,6 @@ def project_batch(events: DataFrame, kind: str = "scan", arrival: str = "arrival
 
 def final_projection(outcome_rows: DataFrame) -> DataFrame:
     """(aggregate_id, state, last_version, analytics) after all events, whatever their order."""
-    from pyspark.sql import functions as F
-
     last = F.max_by(F.struct("state", "last_version", "analytics"), F.struct("last_version", (F.col("outcome") == "APPLIED").cast("int").alias("a"))).alias("last")
     return outcome_rows.groupBy("aggregate_id").agg(last).select("aggregate_id", "last.*")
 
@@ -281,12 +281,11 @@ def ingest_stream(staged: DataFrame, path: str, checkpoint: str, **trigger):
     """Starts a stream of staged payloads into fact tables; replays are skipped by their receipts, bad rows quarantined."""
 
     def write(batch: DataFrame, batch_no: int) -> None:
-        rows = fetches.decode_payloads(batch.dropDuplicates(["owner_id", "page_id", "batch_id"])).persist()  # decoded once for both
-        good, bad = fetches.parted(rows)
-        try:
-            fetches.write_facts(good, path)
+        rows = fetches.decode_payloads(batch.dropDuplicates(fetches.RECEIPT))
+        used = rows.withColumns({"payload": F.when(F.col("problem").isNotNull(), F.col("payload")), "result": F.when(F.col("problem").isNull(), F.col("result"))})
+        with laid_down(used, path) as decoded:  # once for both
+            good, bad = fetches.parted(decoded)
+            fetches.append_facts(good, path)
             bad.write.mode("append").parquet(f"{path}/quarantine")
-        finally:
-            rows.unpersist()
 
     return staged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
