@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import re
 import time
 import uuid
 
@@ -52,6 +53,20 @@ def test_decode_quarantine(spark):
     assert fetches.decode_payloads(put(payload=text + " x")).first().problem == "INVALID_JSON"
 
 
+def test_payloads_in_canonical_form_and_others(spark):
+    """The form that is written here needs no look at its names; all problems are told in both. A name twice in a map is a problem, no error."""
+    page = str(uuid.uuid4())
+    loose = staged(spark, payload(page, "INFO"))
+    exact = loose.withColumn("payload", fetches.canonical_payload(F.from_json("payload", fetches.PAYLOAD)))
+    for df in (loose, exact):
+        text = df.first().payload
+        assert fetches.decode_payloads(df).first().problem is None
+        cases = {"INVALID_JSON": [text + " {}", text + text, text[:-1], "[" + text + "]", re.sub(r'"evidence": ?{', '"evidence":{"a":"0",', text)], "UNKNOWN_FIELD": [text[:-1] + ',"odd":1}', text.replace('"ordinal"', '"odd":1,"ordinal"')]}
+        for want, texts in cases.items():
+            assert [r.problem for t in texts for r in fetches.decode_payloads(df.withColumn("payload", F.lit(t))).collect()] == [want] * len(texts)
+        assert fetches.decode_payloads(df.withColumn("payload_sha256", F.lit("0"))).first().problem == "CHECKSUM_MISMATCH"
+
+
 def test_write_replay(spark, tmp_path):
     a, b = str(uuid.uuid4()), str(uuid.uuid4())
     path = str(tmp_path / "facts")

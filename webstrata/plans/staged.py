@@ -88,7 +88,7 @@ def o004_write_facts(spark, sf_dir):
     path = f"{shared(spark)}/facts-{uuid.uuid4().hex}"
     good = written(fetches.decoded(staged(spark, sf_dir))[0].select(*fetches.RESULT))
     for _ in range(2):
-        fetches.write_facts(good, path)
+        fetches.write_facts(good, path, at_rest=True)
     read = lambda n: spark.read.parquet(f"{path}/{n}")
     out = [read(n).agg(F.count(F.lit(1)).alias(c)) for n, c in (("page_metrics", "metric_rows"), ("findings", "finding_rows"), ("page_links", "link_rows"))]
     out.append(read("ingestion_receipts").agg(F.count(F.lit(1)).alias("receipts"), F.count_distinct("batch_id").alias("batches")))

@@ -285,7 +285,7 @@ def ingest_stream(staged: DataFrame, path: str, checkpoint: str, **trigger):
         used = rows.withColumns({"payload": F.when(F.col("problem").isNotNull(), F.col("payload")), "result": F.when(F.col("problem").isNull(), F.col("result"))})
         with laid_down(used, path) as decoded:  # once for both
             good, bad = fetches.parted(decoded)
-            fetches.append_facts(good, path)
+            fetches.write_facts(good, path, at_rest=True)
             bad.write.mode("append").parquet(f"{path}/quarantine")
 
     return staged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
